@@ -1,0 +1,59 @@
+"""Row-for-row comparison of a Spark result with its DuckDB twin."""
+
+from __future__ import annotations
+
+import datetime as dt
+import math
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings "
+    "pages benchmark labels conversations"
+).split()
+
+
+def duck(sf_dir):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def plain(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else value + 0.0
+    if isinstance(value, dt.datetime):
+        return value.replace(tzinfo=None)
+    return value
+
+
+def kind(value):
+    return "float" if isinstance(value, float) else type(value).__name__
+
+
+def rows_of(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    out = [tuple(plain(row[i]) for i in order) for row in rows]
+    return sorted(names), sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def spark_rows(df):
+    return rows_of(df.columns, [tuple(r) for r in df.collect()])
+
+
+def duck_rows(con, sql):
+    cursor = con.execute(sql)
+    names = [d[0] for d in cursor.description]
+    return rows_of(names, cursor.fetchall())
+
+
+def assert_same(df, con, sql):
+    left_names, left = spark_rows(df)
+    right_names, right = duck_rows(con, sql)
+    assert left_names == right_names
+    assert len(left) == len(right)
+    for a, b in zip(left, right):
+        assert a == b, f"\nspark  {a}\nduckdb {b}"
+        assert [kind(v) for v in a] == [kind(v) for v in b], (left_names, a, b)
+    return len(left)
