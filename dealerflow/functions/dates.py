@@ -43,16 +43,30 @@ def hour_of(text: Column) -> Column:
 
 
 def month_of(day: Column) -> Column:
-    """``yyyyMM`` label of a date."""
-    return F.date_format(day, "yyyyMM")
+    """Month of a date as the number ``yyyymm``: cheap to make and to partition by."""
+    return F.year(day) * 100 + F.month(day)
 
 
-def in_month(month: Column, day: Column, label: str) -> Column:
-    """Rows of one month, stated on the label and on the date.
+def month_label(month: Column) -> Column:
+    """The month number as the text the reports show."""
+    return month.cast("string")
+
 
-    The label prunes the partitions of a landed table, the date range reaches
+def in_months(month: Column, day: Column, first: str, last: str) -> Column:
+    """Rows of a run of months, stated on the month number and on the date.
+
+    The number prunes the partitions of a landed table, the date range reaches
     the row-group statistics where the table is not partitioned by it.
     """
-    first = date(int(label[:4]), int(label[4:]), 1)
-    last = (first + timedelta(days=31)).replace(day=1) - timedelta(days=1)
-    return (month == F.lit(label)) & day.between(F.lit(first), F.lit(last))
+    start = date(int(first[:4]), int(first[4:]), 1)
+    end = (date(int(last[:4]), int(last[4:]), 1) + timedelta(days=31)).replace(day=1)
+    return month.between(int(first), int(last)) & (day >= F.lit(start)) & (day < F.lit(end))
+
+
+def in_month(month: Column, day: Column, label: str) -> Column:
+    return in_months(month, day, label, label)
+
+
+def since(month: Column, day: Column, start: date) -> Column:
+    """Rows from a date on, stated on the month number as well."""
+    return (month >= int(f"{start:%Y%m}")) & (day >= F.lit(start))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealerflow.functions import vocabulary as words
-from dealerflow.functions.dates import in_month
+from dealerflow.functions.dates import in_month, month_label
 from dealerflow.functions.numbers import sum_or_zero
 from dealerflow.operators.joins import null_safe_join
 
@@ -81,7 +81,7 @@ def _auto_pass() -> Column:
 
 def _preapp_fields() -> dict[str, Column]:
     return {
-        "month": F.col("preapp_month"),
+        "month": month_label(F.col("preapp_month")),
         "preapp_cnt": F.col("copies"),
         "preapp_pass": F.col("copies") * _auto_pass(),
     }
@@ -90,7 +90,7 @@ def _preapp_fields() -> dict[str, Column]:
 def _apply_fields() -> dict[str, Column]:
     decision = final_approval()
     return {
-        "month": F.col("apply_month"),
+        "month": month_label(F.col("apply_month")),
         "apply_cnt": F.col("copies"),
         "apply_ok": F.col("copies") * decision,
         "apply_open": F.col("copies") * F.when(decision.isNull(), 1).otherwise(0),
@@ -160,8 +160,9 @@ def effective_rows(contracts: DataFrame, month: str | None = None) -> DataFrame:
     if month is not None:
         contracts = contracts.filter(in_month(F.col("eff_month"), F.col("eff_date"), month))
     effective = F.col("eff_date").isNotNull() & (F.col("app_status") != words.CANCELLED)
-    return contracts.withColumnRenamed("eff_month", "month").select(
-        *FUNNEL_KEYS,
+    return contracts.select(
+        month_label(F.col("eff_month")).alias("month"),
+        *_ROW_KEYS,
         F.when(effective, 1).otherwise(0).cast("bigint").alias("eff_cnt"),
         F.coalesce(F.when(effective, F.col("fin_amt")).otherwise(0.0), F.lit(0.0)).alias("eff_amt"),
     )

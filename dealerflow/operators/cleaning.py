@@ -47,7 +47,7 @@ def _number(raw: DataFrame, name: str, kind: str) -> Column:
 def clean_contracts(raw: DataFrame) -> DataFrame:
     """Contracts with amounts in units of 10 000, parsed dates and plain names.
 
-    ``eff_month`` (``yyyyMM`` of the effective date) is the column a landed
+    ``eff_month`` (the effective date's month as ``yyyymm``) is the column a landed
     table is partitioned by.
     """
     return raw.withColumns({

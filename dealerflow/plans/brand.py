@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from dealerflow.functions.dates import month_label
 from dealerflow.functions.numbers import round_nearest, sum_or_zero
 from dealerflow.functions import vocabulary as words
 from dealerflow.operators.cells import effective_rows
@@ -113,7 +114,7 @@ def _effective_by_month(preapps: DataFrame, contracts: DataFrame, brand: str) ->
     """
     present = preapps.filter(F.col("brand") == brand).select(
         "brand", "channel_id", F.explode(F.array("preapp_month", "apply_month")).alias("month")
-    )
+    ).withColumn("month", month_label(F.col("month")))
     counted = effective_rows(contracts.filter(F.col("brand") == brand)).select(
         "brand", "channel_id", "month", "eff_cnt"
     )

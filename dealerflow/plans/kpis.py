@@ -8,11 +8,13 @@ needs; the scorecard takes all counts from one pass and applies the same
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealerflow.functions import vocabulary as words
-from dealerflow.functions.dates import in_month, month_of
+from dealerflow.functions.dates import in_month, in_months, month_of, since
 from dealerflow.functions.numbers import growth_pct, round_nearest
 from dealerflow.functions.text import is_blank
 from dealerflow.operators.counts import MANAGER, manager_counts
@@ -34,7 +36,8 @@ def _effective_in(month: str) -> Column:
 
 def in_year(p: ReportParams) -> Column:
     """Effective in the calendar year whose active channels are the base."""
-    return F.col("eff_month").between(f"{p.active_year}01", f"{p.active_year}12")
+    first, last = f"{p.active_year}01", f"{p.active_year}12"
+    return in_months(F.col("eff_month"), F.col("eff_date"), first, last)
 
 
 def is_fast_track(p: ReportParams) -> Column:
@@ -51,10 +54,8 @@ def is_fast_track(p: ReportParams) -> Column:
         | ~is_blank(F.col("flash_choice"))
         | sure_pass
     )
-    since = (F.col("eff_month") >= f"{p.fast_track_from:%Y%m}") & (
-        F.col("eff_date") >= F.lit(p.fast_track_from)
-    )
-    return since & route & (F.col("app_id") > 0)
+    recent = since(F.col("eff_month"), F.col("eff_date"), p.fast_track_from)
+    return recent & route & (F.col("app_id") > 0)
 
 
 def is_overdue_fast_track(p: ReportParams) -> Column:
@@ -87,6 +88,13 @@ def row_conditions(p: ReportParams) -> dict[str, Column]:
     }
 
 
+def counts_scope(p: ReportParams) -> Column:
+    """One date bound that holds for every contract any of the KPIs counts."""
+    month_starts = [date(int(m[:4]), int(m[4:]), 1) for m in (p.month, p.prev_month)]
+    earliest = min(p.fast_track_from, date(p.active_year, 1, 1), *month_starts)
+    return since(F.col("eff_month"), F.col("eff_date"), earliest)
+
+
 def _counted(contracts: DataFrame, p: ReportParams, *names: str) -> DataFrame:
     conditions = row_conditions(p)
     return manager_counts(contracts, {name: conditions[name] for name in names})

@@ -28,7 +28,9 @@ def scorecard(
     over every manager that has the KPI, then the table is cut to the managers
     active this month; missing figures become 0.
     """
-    counts = manager_counts(contracts, kpis.row_conditions(p), kpis.channel_conditions(p))
+    counts = manager_counts(
+        contracts, kpis.row_conditions(p), kpis.channel_conditions(p), kpis.counts_scope(p)
+    )
     ranked = kpis.with_used(
         kpis.with_partner(kpis.with_lcv(kpis.with_overdue(kpis.with_active(counts)), p), p), p
     )

@@ -34,6 +34,6 @@ def land(cleaned: DataFrame, name: str, folder: str) -> str:
 def read_landed(spark: SparkSession, like: DataFrame, name: str, folder: str) -> DataFrame:
     """A landed table with the schema of its cleaned form.
 
-    The schema is given, so that month folders such as ``202503`` stay text.
+    The schema is given: nothing is inferred from files or folder names.
     """
     return spark.read.schema(like.schema).parquet(f"{folder}/{name}").select(*like.columns)

@@ -79,7 +79,7 @@ SHARED = f"""
 
 CONTRACTS = f"""
 contracts AS (
-  SELECT *, strftime(eff_date, '%Y%m') AS eff_month FROM (
+  SELECT *, CAST(strftime(eff_date, '%Y%m') AS INTEGER) AS eff_month FROM (
     SELECT l_orderkey * 8 + l_linenumber AS app_id,
       l_extendedprice / 10000e0 AS fin_amt,
       CAST(l_shipdate AS DATE) AS apply_date,
@@ -101,8 +101,8 @@ contracts AS (
 
 PREAPPS = f"""
 preapps AS (
-  SELECT *, strftime(preapp_date, '%Y%m') AS preapp_month,
-    strftime(apply_date, '%Y%m') AS apply_month FROM (
+  SELECT *, CAST(strftime(preapp_date, '%Y%m') AS INTEGER) AS preapp_month,
+    CAST(strftime(apply_date, '%Y%m') AS INTEGER) AS apply_month FROM (
     SELECT CASE WHEN l_quantity <> 49 THEN l_orderkey * 8 + l_linenumber END AS app_id,
       CAST(o_orderdate AS DATE) AS preapp_date,
       CASE WHEN l_quantity <> 50 THEN CAST(l_shipdate AS DATE) END AS apply_date,
@@ -171,7 +171,7 @@ PRE_CELLS = f"""
 pre_cells AS (
   SELECT {cols(KEYS)}, count(*) AS preapp_cnt,
     CAST(sum(CASE WHEN preapp_result = '自动通过' THEN 1 ELSE 0 END) AS BIGINT) AS preapp_pass
-  FROM (SELECT *, preapp_month AS month FROM enriched) GROUP BY ALL
+  FROM (SELECT *, strftime(preapp_date, '%Y%m') AS month FROM enriched) GROUP BY ALL
 )"""
 
 APPLY_CELLS = f"""
@@ -179,7 +179,7 @@ apply_cells AS (
   SELECT {cols(KEYS)}, count(*) AS apply_cnt,
     CASE WHEN count(*) = count(passed) THEN CAST(sum(passed) AS BIGINT) END AS apply_pass
   FROM (
-    SELECT *, apply_month AS month, CASE
+    SELECT *, strftime(apply_date, '%Y%m') AS month, CASE
       WHEN manual_ts > auto_ts THEN CASE WHEN manual_result = '通过' THEN 1 ELSE 0 END
       WHEN NOT (manual_ts > auto_ts) THEN CASE WHEN auto_result = '通过' THEN 1 ELSE 0 END
     END AS passed FROM enriched
@@ -191,7 +191,7 @@ eff_cells AS (
   SELECT {cols(KEYS)},
     CAST(sum(CASE WHEN eff_date IS NOT NULL AND app_status <> '订单已取消' THEN 1 ELSE 0 END) AS BIGINT) AS eff_cnt,
     coalesce(sum(CASE WHEN eff_date IS NOT NULL AND app_status <> '订单已取消' THEN fin_amt ELSE 0e0 END), 0e0) AS eff_amt
-  FROM (SELECT *, eff_month AS month FROM contracts) GROUP BY {cols(KEYS)}
+  FROM (SELECT *, strftime(eff_date, '%Y%m') AS month FROM contracts) GROUP BY {cols(KEYS)}
 )"""
 
 FUNNEL = f"""
@@ -252,7 +252,7 @@ active AS (
       {nearest("active_cur / nullif(active_year, 0)", 2)} * 100e0 AS active_pct
     FROM (
       SELECT manager_id, manager, count(DISTINCT channel_id) + max(CASE WHEN channel_id IS NULL THEN 1 ELSE 0 END) AS active_cur
-      FROM contracts WHERE eff_month = '{NOW}' GROUP BY 1, 2
+      FROM contracts WHERE eff_month = {NOW} GROUP BY 1, 2
     ) c LEFT JOIN year_active y ON {same("c", "y", MANAGER)}
     WHERE c.manager <> '{EXCLUDED}'
   )
@@ -303,10 +303,10 @@ def month_pair(name, test, out):
     return f"""
 {name}_pair AS (
   SELECT manager_id, manager,
-    max(CASE WHEN eff_month = '{BEFORE}' THEN n END) AS {out}_prev,
-    max(CASE WHEN eff_month = '{NOW}' THEN n END) AS {out}_cur
+    max(CASE WHEN eff_month = {BEFORE} THEN n END) AS {out}_prev,
+    max(CASE WHEN eff_month = {NOW} THEN n END) AS {out}_cur
   FROM (SELECT eff_month, manager_id, manager, count(*) AS n FROM contracts WHERE {test} GROUP BY 1, 2, 3)
-  WHERE eff_month IN ('{NOW}', '{BEFORE}') GROUP BY 1, 2
+  WHERE eff_month IN ({NOW}, {BEFORE}) GROUP BY 1, 2
 )"""
 
 
@@ -324,7 +324,7 @@ lcv AS (
 PARTNERS = f"""
 partners AS (
   SELECT manager_id, manager, count(*) AS partner_cur, CAST(1 AS INTEGER) AS partner_rank, 10e0 AS partner_score
-  FROM contracts WHERE partner = '{PARTNER}' AND vehicle_type = '新车' AND eff_month = '{NOW}' GROUP BY 1, 2
+  FROM contracts WHERE partner = '{PARTNER}' AND vehicle_type = '新车' AND eff_month = {NOW} GROUP BY 1, 2
 )"""
 
 USED = month_pair("used", "fin_amt <= 6 AND vehicle_type = '二手车'", "used") + f""",
