@@ -13,7 +13,7 @@ from dealerflow.functions.dates import month_label
 from dealerflow.functions.numbers import round_nearest, sum_or_zero
 from dealerflow.functions import vocabulary as words
 from dealerflow.operators.cells import effective_rows
-from dealerflow.operators.joins import null_safe_join
+from dealerflow.operators.joins import left_join_in_parts, null_safe_join
 from dealerflow.params import ReportParams
 from dealerflow.plans.funnel import funnel
 
@@ -34,14 +34,15 @@ def stack_brands(frames: Sequence[DataFrame]) -> DataFrame:
 def brand_stores(stores: DataFrame, channels: DataFrame) -> DataFrame:
     """Stores of each brand with their channel; a store may have several or none.
 
-    The store list is usually small enough for the planner to broadcast by its
-    size; nothing is forced, so a list that outgrows that is shuffled.
+    The store list is usually short, the channel list long: the join is written
+    so that the planner can broadcast the stores if their size allows, and
+    shuffle both sides if not.
     """
     named = channels.select(
         F.col("entity_name").alias("store_name"),
         "channel_id", "owner", "supervisor", "channel_status",
     )
-    return null_safe_join(stores, named, ["store_name"]).select(
+    return left_join_in_parts(stores, named, ["store_name"]).select(
         "brand", "store_name", "address", "channel_id", "owner", "supervisor", "channel_status"
     )
 
