@@ -39,7 +39,11 @@ def hour_of(text: Column) -> Column:
     """Two-digit hour of a full ``yyyy-MM-dd HH:mm:ss`` text, else null."""
     full = F.regexp_extract(text, r"^\s*\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}", 0)
     stamp = F.nullif(F.trim(full), F.lit("")).try_cast("timestamp_ntz")
-    return F.date_format(stamp, "HH")
+    return two_digit_hour(stamp)
+
+
+def two_digit_hour(stamp: Column) -> Column:
+    return F.lpad(F.hour(stamp).cast("string"), 2, "0")
 
 
 def month_of(day: Column) -> Column:

@@ -34,14 +34,17 @@ def _stamp(raw: DataFrame, name: str) -> Column:
 
 def _hour(raw: DataFrame, name: str) -> Column:
     if raw.schema[name].dataType.typeName().startswith("timestamp"):
-        return F.date_format(name, "HH")
+        return dates.two_digit_hour(F.col(name))
     return dates.hour_of(F.col(name))
 
 
 def _number(raw: DataFrame, name: str, kind: str) -> Column:
     if raw.schema[name].dataType.simpleString() == kind:
         return F.col(name)
-    return F.col(name).try_cast(kind)
+    if kind == "double":
+        return F.col(name).try_cast(kind)
+    # A whole number may be written with decimals; those are cut off.
+    return F.coalesce(F.col(name).try_cast(kind), F.col(name).try_cast("double").try_cast(kind))
 
 
 def clean_contracts(raw: DataFrame) -> DataFrame:

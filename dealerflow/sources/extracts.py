@@ -22,12 +22,20 @@ class MissingColumns(ValueError):
     """The extract lacks columns the reports need."""
 
 
+def csv_options(multi_line: bool = False) -> dict[str, object]:
+    return {
+        "header": True, "encoding": "UTF-8", "quote": '"', "escape": '"', "nullValue": _NO_CELL,
+        "enforceSchema": False, "multiLine": multi_line,
+    }
+
+
 def read_extract(
     spark: SparkSession,
     extract: Extract,
     path: str | list[str],
     fmt: str = "csv",
     multi_line: bool = False,
+    named: bool = True,
 ) -> DataFrame:
     """The extract's columns by header, in any order, extra columns ignored.
 
@@ -35,19 +43,17 @@ def read_extract(
     a string until the cleaning step. In text columns a blank cell is an empty
     string and the word ``NA`` is missing. ``multi_line`` allows line breaks in
     quoted cells, at the price of one task per file. Parquet and ORC keep their
-    own types. Build names are accepted in place of the headers.
+    own types. Build names are accepted in place of the headers; with ``named``
+    off the table comes as found, unchecked.
     """
     reader = spark.read
     if fmt == "csv":
-        reader = reader.options(
-            header=True, encoding="UTF-8", quote='"', escape='"', nullValue=_NO_CELL,
-            enforceSchema=False, multiLine=multi_line,
-        )
+        reader = reader.options(**csv_options(multi_line))
     try:
         found = reader.format(fmt).load(path)
     except AnalysisException as error:
         raise ExtractUnavailable(f"extract {extract.name} cannot be read from {path}: {error}") from error
-    return name_columns(found, extract)
+    return name_columns(found, extract) if named else found
 
 
 def name_columns(found: DataFrame, extract: Extract) -> DataFrame:

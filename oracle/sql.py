@@ -400,7 +400,7 @@ FROM events""",
     "funnel_top4": with_(
         *_F,
         select=f"SELECT {_STEADY} FROM funnel "
-        f"ORDER BY preapp_cnt IS NULL, apply_cnt IS NULL, {_KEY_ORDER} LIMIT 4",
+        f"ORDER BY CASE WHEN preapp_cnt IS NOT NULL THEN 0 WHEN apply_cnt IS NOT NULL THEN 1 ELSE 2 END, {_KEY_ORDER} LIMIT 4",
     ),
     "brand_stores": with_(*_S, select="SELECT * FROM brand_stores"),
     "brand_choices": with_(STORES, select="SELECT brand, min(position) AS first_position FROM stores GROUP BY 1"),

@@ -1,0 +1,106 @@
+"""Column helpers on hand rows."""
+
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from dealerflow.functions import dates
+from dealerflow.functions.numbers import growth_pct, round_nearest, sum_or_missing, sum_or_zero
+from dealerflow.functions.text import strip_parentheses
+
+
+def values(spark, kind, given, expr):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(given)], f"i int, x {kind}")
+    return [r.y for r in rows.select("i", expr(F.col("x")).alias("y")).orderBy("i").collect()]
+
+
+def test_parentheses_are_cut_greedily(spark):
+    given = ["a(b)c(d)e", "a（b）c", "a(b\nc)d", "plain", "", None, ")a(", "x(1)（2）", "a(b"]
+    expected = ["ae", "ac", "ad", "plain", "", None, ")a(", "x", "a(b"]
+    assert values(spark, "string", given, strip_parentheses) == expected
+
+
+def test_ymd_forms_and_bad_text(spark):
+    given = ["2025-03-01", "2025-3-1", "20250301", "2025/3/1", "2025.3.1", " 2025-03-01 ",
+             "bad", "", None, "2025-02-30", "2025-03-01 10:00:00"]
+    day = date(2025, 3, 1)
+    assert values(spark, "string", given, dates.parse_ymd) == [day] * 6 + [None] * 5
+
+
+def test_date_of_ignores_the_time(spark):
+    given = ["2025-03-01 23:59:59", "2025/3/1 8:00", "2025-03-01", "bad", "", None, "2025-13-01"]
+    day = date(2025, 3, 1)
+    assert values(spark, "string", given, dates.date_of) == [day, day, day, None, None, None, None]
+
+
+def test_hour_needs_a_full_time(spark):
+    given = ["2025-03-01 09:05:00", "2025-03-01 23:59:59", "2025-03-01", "bad", None, "2025-03-01 25:00:00"]
+    assert values(spark, "string", given, dates.hour_of) == ["09", "23", None, None, None, None]
+
+
+def test_timestamps_to_the_second(spark):
+    given = ["2025-03-01 09:05:07", "2025/3/1 9:05", "2025-03-01", "2025", "", None]
+    assert values(spark, "string", given, dates.parse_timestamp) == [
+        datetime(2025, 3, 1, 9, 5, 7), datetime(2025, 3, 1, 9, 5), datetime(2025, 3, 1),
+        None, None, None,
+    ]
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Shanghai"])
+def test_timestamps_do_not_depend_on_the_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        # 02:30 does not exist on this day in New York.
+        got = values(spark, "string", ["2025-03-09 02:30:00"], dates.parse_timestamp)
+        hour = values(spark, "string", ["2025-03-09 02:30:00"], dates.hour_of)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [datetime(2025, 3, 9, 2, 30)]
+    assert hour == ["02"]
+
+
+def test_month_number_and_label(spark):
+    given = [date(2025, 3, 31), date(999, 1, 1), None]
+    assert values(spark, "date", given, dates.month_of) == [202503, 99901, None]
+    assert values(spark, "date", given[:1], lambda c: dates.month_label(dates.month_of(c))) == ["202503"]
+
+
+@pytest.mark.parametrize("label,last", [("202402", date(2024, 2, 29)), ("202412", date(2024, 12, 31))])
+def test_month_bounds(spark, label, last):
+    first = last.replace(day=1)
+    days = [first, last, date.fromordinal(first.toordinal() - 1), date.fromordinal(last.toordinal() + 1), None]
+    got = values(spark, "date", days, lambda c: dates.in_month(dates.month_of(c), c, label))
+    assert got == [True, True, False, False, None]
+
+
+@pytest.mark.parametrize("digits,given,expected", [
+    (0, [2.5, 3.5, -2.5, 0.5, 1.4999999, None], [2.0, 4.0, -2.0, 0.0, 1.0, None]),
+    # The nearest of both neighbours as doubles, not of the decimal text; 0.25 and
+    # 0.45 are equally far from both and go to the even digit.
+    (1, [0.15, 0.25, 0.35, 0.45, 0.65, 2.0, None], [0.1, 0.2, 0.3, 0.4, 0.7, 2.0, None]),
+    (1, [-0.04, -33.33333, 66.66666], [0.0, -33.3, 66.7]),
+    (2, [2.675, 0.285, 1.005, 1 / 3], [2.67, 0.28, 1.0, 0.33]),
+])
+def test_rounding(spark, digits, given, expected):
+    assert values(spark, "double", given, lambda c: round_nearest(c, digits)) == expected
+
+
+def test_sums_with_missing_values(spark):
+    rows = spark.createDataFrame(
+        [("none", None), ("none", None), ("some", 1), ("some", None), ("all", 1), ("all", 2)],
+        "g string, x int",
+    )
+    got = rows.groupBy("g").agg(
+        sum_or_zero(F.col("x")).alias("skip"), sum_or_missing(F.col("x")).alias("poison")
+    )
+    assert {r.g: (r.skip, r.poison) for r in got.collect()} == {
+        "none": (0, None), "some": (1, None), "all": (3, 3),
+    }
+
+
+def test_growth(spark):
+    rows = spark.createDataFrame([(3, 2), (1, 3), (None, 2), (2, None), (0, 5), (5, 0)], "a int, b int")
+    got = [r.g for r in rows.select(growth_pct(F.col("a"), F.col("b")).alias("g")).collect()]
+    assert got == [50.0, -66.7, None, None, -100.0, None]
