@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql.types import StringType, StructField, StructType
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Extract:
     """One source file family: its name and header -> build name, in reading order.
 

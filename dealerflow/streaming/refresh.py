@@ -26,12 +26,6 @@ CLEAN = {
 }
 
 
-def checkpoint_folder(spark: SparkSession, name: str, fallback: str) -> str:
-    """Progress folder under the cluster's checkpoint folder, if it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or fallback}/refresh/{name}"
-
-
 def extract_stream(spark: SparkSession, extract: Extract, folder: str) -> DataFrame:
     """New CSV files of an extract as a cleaned stream; all files share one header."""
     header = read_extract(spark, extract, folder, named=False).columns
@@ -43,8 +37,12 @@ def extract_stream(spark: SparkSession, extract: Extract, folder: str) -> DataFr
 def refresh(
     spark: SparkSession, extract: Extract, folder: str, landed: str, checkpoints: str | None = None
 ) -> StreamingQuery:
-    """Append the files that arrived since the last refresh; returns when done."""
-    progress = checkpoint_folder(spark, extract.name, checkpoints or f"{landed}/_progress")
+    """Append the files that arrived since the last refresh; returns when done.
+
+    The record of files taken lies beside the landed table unless ``checkpoints``
+    says otherwise: it is worth exactly as much as the table it describes.
+    """
+    progress = f"{checkpoints or landed + '/_progress'}/{extract.name}"
     writer = (
         extract_stream(spark, extract, folder)
         .writeStream.format("parquet")

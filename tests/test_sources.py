@@ -1,0 +1,209 @@
+"""Extract files, landed tables, refresh and report sinks."""
+
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
+
+from compare import assert_same, duck
+from dealerflow.operators import cleaning
+from dealerflow.plans import brand, scorecard
+from dealerflow.sinks import reports
+from dealerflow.sources import landing, schemas
+from dealerflow.sources import tpch_extracts as src
+from dealerflow.sources.extracts import ExtractUnavailable, MissingColumns, read_extract
+from dealerflow.streaming import refresh
+from oracle.sql import QUERIES
+
+
+def with_headers(table, extract):
+    """The table under the extract's own headers, with one column nobody needs."""
+    names = {name: header for header, name in extract.headers.items()}
+    return table.select(
+        F.lit("x").alias("备注"), *[F.col(n).alias(names[n]) for n in reversed(table.columns) if n in names]
+    )
+
+
+def write_csv(table, extract, path):
+    with_headers(table, extract).write.options(header=True, nullValue="NA", escape='"').csv(str(path))
+    return str(path)
+
+
+def csv_file(folder, text):
+    folder.mkdir(exist_ok=True)
+    (folder / "part.csv").write_text(text, encoding="utf-8")
+    return str(folder)
+
+
+def test_blank_quoted_blank_and_na_in_text_columns(spark, tmp_path):
+    path = csv_file(tmp_path / "s", '品牌,店面名称,地址\nA,,x\nB,"",x\nC,NA,x\nD,"a ""b"", c",NA\n')
+    got = read_extract(spark, schemas.STORES, path).orderBy("brand").collect()
+    assert [r.store_name for r in got] == ["", "", None, 'a "b", c']
+    assert [r.address for r in got] == ["x", "x", "x", None]
+
+
+def test_blank_numbers_and_dates_are_missing(spark, tmp_path):
+    path = csv_file(
+        tmp_path / "c",
+        "业务上级工号,渠道编号,主体名称,状态,负责员工（金融顾问）,业务上级,初始生效日期,渠道关停日期\n"
+        "12,1,n,open,o(1),s（2）,2025-03-01,\n12.0,2,n,open,o,s,bad,NA\n,3,n,open,o,s,,20250301\n",
+    )
+    got = cleaning.clean_channels(read_extract(spark, schemas.CHANNELS, path)).orderBy("channel_id").collect()
+    assert [r.supervisor_id for r in got] == [12, 12, None]
+    assert [str(r.open_date) for r in got] == ["2025-03-01", "None", "None"]
+    assert [str(r.close_date) for r in got] == ["None", "None", "2025-03-01"]
+    assert (got[0].owner, got[0].supervisor) == ("o", "s")
+
+
+def test_line_breaks_in_quoted_cells(spark, tmp_path):
+    path = csv_file(tmp_path / "s", '品牌,店面名称,地址\nA,"a\nb",x\n')
+    assert read_extract(spark, schemas.STORES, path, multi_line=True).first().store_name == "a\nb"
+
+
+def test_missing_source_and_missing_columns_are_reported(spark, tmp_path):
+    with pytest.raises(ExtractUnavailable, match="contracts"):
+        read_extract(spark, schemas.CONTRACTS, str(tmp_path / "nowhere"))
+    path = csv_file(tmp_path / "s", "品牌,地址\nA,x\n")
+    with pytest.raises(MissingColumns, match="店面名称"):
+        read_extract(spark, schemas.STORES, path)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json"])
+def test_other_formats_and_build_names(spark, tmp_path, fmt):
+    table = spark.createDataFrame([("A", "s", "a")], "brand string, store_name string, address string")
+    table.write.format(fmt).save(str(tmp_path / fmt))
+    assert read_extract(spark, schemas.STORES, str(tmp_path / fmt), fmt).collect() == table.collect()
+
+
+@pytest.fixture(scope="module")
+def landed_csv(spark, sf_dir, tmp_path_factory):
+    """The five extracts as CSV files with their own headers."""
+    folder = tmp_path_factory.mktemp("extracts")
+    tables = {
+        schemas.CONTRACTS: src.raw_contracts(spark, sf_dir, as_text=True),
+        schemas.PREAPPROVALS: src.raw_preapprovals(spark, sf_dir, as_text=True),
+        schemas.CHANNELS: src.raw_channels(spark, sf_dir, as_text=True),
+        schemas.ROSTER: src.raw_roster(spark, sf_dir),
+        schemas.VISITS: src.raw_visits(spark, sf_dir),
+        schemas.STORES: src.stores(spark, sf_dir),
+    }
+    return {e.name: write_csv(t, e, folder / e.name) for e, t in tables.items()}
+
+
+@pytest.fixture(scope="module")
+def cleaned(spark, landed_csv):
+    def read(extract, clean):
+        return clean(read_extract(spark, extract, landed_csv[extract.name]))
+
+    return {
+        "contracts": read(schemas.CONTRACTS, cleaning.clean_contracts),
+        "preapprovals": read(schemas.PREAPPROVALS, cleaning.clean_preapprovals),
+        "channels": read(schemas.CHANNELS, cleaning.clean_channels),
+        "visits": read(schemas.VISITS, cleaning.clean_visits),
+        "roster": read(schemas.ROSTER, cleaning.clean_roster),
+        "stores": read_extract(spark, schemas.STORES, landed_csv["brand_stores"]),
+    }
+
+
+@pytest.mark.parametrize("table,query", [
+    ("contracts", "clean_contracts"), ("preapprovals", "clean_preapprovals"),
+    ("channels", "clean_channels"), ("visits", "clean_visits"),
+])
+def test_csv_extracts_clean_to_the_same_tables(cleaned, sf_dir, table, query):
+    assert_same(cleaned[table], duck(sf_dir), QUERIES[query])
+
+
+def test_reports_from_csv_extracts(cleaned, sf_dir):
+    con = duck(sf_dir)
+    card = scorecard.scorecard(cleaned["contracts"], cleaned["channels"], cleaned["roster"], src.PARAMS)
+    assert_same(card, con, QUERIES["scorecard"])
+    report = brand.brand_month_report(
+        *[cleaned[n] for n in ("preapprovals", "contracts", "stores", "channels")], src.PARAMS
+    )
+    assert_same(report, con, QUERIES["brand_month_report"])
+
+
+@pytest.fixture(scope="module")
+def landed(spark, sf_dir, tmp_path_factory):
+    """The cleaned facts, written by month and read back."""
+    folder = str(tmp_path_factory.mktemp("landed"))
+    out = {}
+    for name, table in (
+        ("contracts", src.contracts(spark, sf_dir)), ("preapprovals", src.preapprovals(spark, sf_dir)),
+        ("channels", src.channels(spark, sf_dir)),
+    ):
+        landing.land(table, name, folder)
+        out[name] = landing.read_landed(spark, table, name, folder)
+    return out
+
+
+def executed(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_reports_from_landed_tables(spark, landed, sf_dir):
+    con = duck(sf_dir)
+    card = scorecard.scorecard(landed["contracts"], landed["channels"], src.roster(spark, sf_dir), src.PARAMS)
+    assert_same(card, con, QUERIES["scorecard"])
+    report = brand.brand_month_report(
+        landed["preapprovals"], landed["contracts"], src.stores(spark, sf_dir), landed["channels"], src.PARAMS
+    )
+    assert_same(report, con, QUERIES["brand_month_report"])
+
+
+def test_landed_tables_are_pruned_by_month(landed):
+    from dealerflow.plans import kpis
+
+    plan = executed(kpis.partner_score(landed["contracts"], src.PARAMS))
+    assert "PartitionFilters: [isnotnull(eff_month" in plan
+    assert "GreaterThanOrEqual(eff_date,1996-03-01)" in plan
+    assert "ReadSchema: struct<eff_date:date,manager_id:int,manager:string,partner:string,vehicle_type:string>" in plan
+
+
+def test_rerun_replaces_the_landed_table(spark, sf_dir, tmp_path):
+    table = src.channels(spark, sf_dir)
+    for _ in range(2):
+        landing.land(table, "channels", str(tmp_path))
+    assert landing.read_landed(spark, table, "channels", str(tmp_path)).count() == table.count()
+
+
+def test_refresh_takes_only_new_files(spark, landed_csv, cleaned, tmp_path):
+    inbox, out = tmp_path / "inbox", str(tmp_path / "out")
+    raw = spark.read.option("header", True).option("nullValue", "\u0001").csv(landed_csv["contracts"])
+    first, second = raw.filter("`最新逾期天数` < 0"), raw.filter("`最新逾期天数` >= 0")
+    landed_rows = []
+    for part in (first, second, None):
+        if part is not None:
+            part.write.mode("append").options(header=True, escape='"').csv(str(inbox))
+        refresh.refresh(spark, schemas.CONTRACTS, str(inbox), out)
+        landed_rows.append(spark.read.schema(cleaned["contracts"].schema).parquet(f"{out}/contracts").count())
+    assert landed_rows == [first.count(), raw.count(), raw.count()]
+    again = landing.read_landed(spark, cleaned["contracts"], "contracts", out)
+    assert again.exceptAll(cleaned["contracts"]).isEmpty()
+    assert cleaned["contracts"].exceptAll(again).isEmpty()
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_report_tables_by_run_date(spark, landed, sf_dir, tmp_path, fmt):
+    p = src.PARAMS
+    card = scorecard.scorecard(landed["contracts"], landed["channels"], src.roster(spark, sf_dir), p)
+    detail = scorecard.overdue_detail(landed["contracts"], p)
+    for _ in range(2):
+        paths = reports.export_scorecard(card, detail, str(tmp_path), p, fmt)
+    assert paths == {
+        name: f"{tmp_path}/run_date=1996-03-15/{name}" for name in ("scorecard", "overdue_detail")
+    }
+    for table, name in ((card, "scorecard"), (detail, "overdue_detail")):
+        back = spark.read.schema(table.schema).option("header", True).format(fmt).load(paths[name])
+        assert back.exceptAll(table).isEmpty() and table.exceptAll(back).isEmpty()
+
+
+def test_brand_export_holds_the_all_months_table(spark, landed, sf_dir, tmp_path):
+    inputs = (landed["preapprovals"], landed["contracts"], src.stores(spark, sf_dir), landed["channels"])
+    p = replace(src.PARAMS, brand="Brand#2")
+    months = brand.brand_all_months(*inputs, p, src.MONTHS)
+    paths = reports.export_brand(brand.brand_month_report(*inputs, p), months, str(tmp_path), p)
+    assert spark.read.parquet(paths["brand_all_months"]).columns == months.columns
+    assert spark.read.parquet(paths["brand_month_report"]).count() > 0
+    with pytest.raises(ValueError):
+        reports.write_report({}, str(tmp_path), p, "xlsx")
