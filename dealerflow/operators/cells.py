@@ -26,6 +26,9 @@ FUNNEL_KEYS = [
     "store_entity",
 ]
 _ROW_KEYS = FUNNEL_KEYS[1:]
+_PREAPP_KEYS = [key for key in _ROW_KEYS if key != "prod_class"]
+# Shares of the pre-approvals without an application id.
+SPREAD = 64
 
 PREAPP, APPLY, EFFECTIVE = "preapp", "apply", "effective"
 
@@ -38,7 +41,11 @@ def contract_lookup(contracts: DataFrame) -> DataFrame:
 
 
 def enrich_preapprovals(preapps: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Pre-approvals with their contract columns, one row per matching contract."""
+    """Pre-approvals with their contract columns, one row per matching contract.
+
+    The row-level table. The funnel itself takes ``weigh_preapprovals``, which
+    does not repeat rows.
+    """
     return null_safe_join(preapps, contract_lookup(contracts), ["app_id"])
 
 
@@ -47,15 +54,24 @@ def weigh_preapprovals(preapps: DataFrame, contracts: DataFrame) -> DataFrame:
 
     Counting the contracts of an application per class before the join keeps an
     application id with many contracts from multiplying rows: the join sees each
-    (id, class) once and the counts are multiplied later. A hot id on the other
-    side is left to the adaptive skew split, which a left join allows.
+    (id, class) once and the counts are multiplied later.
+
+    Pre-approvals that never got an application id share one key. They are
+    spread over ``SPREAD`` shares by their other columns, and the few classes of
+    contracts without an id are repeated for each share. Any other hot id is
+    left to the adaptive skew split, which a left join allows on this side.
     """
+    no_id = F.col("app_id").isNull()
+    share = F.pmod(F.xxhash64("preapp_date", *_PREAPP_KEYS), F.lit(SPREAD)).cast("int")
+    shares = F.when(no_id, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
     classes = (
         contract_lookup(contracts)
         .groupBy("app_id", "prod_class")
         .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("share", F.explode(shares))
     )
-    joined = null_safe_join(preapps, classes, ["app_id"])
+    spread = preapps.withColumn("share", F.when(no_id, share).otherwise(0))
+    joined = null_safe_join(spread, classes, ["app_id", "share"]).drop("share")
     return joined.withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint")))
 
 

@@ -167,6 +167,14 @@ enriched AS (
   FROM preapps LEFT JOIN lookup ON preapps.app_id IS NOT DISTINCT FROM lookup.app_id
 )"""
 
+WEIGHTED = """
+weighted AS (
+  SELECT preapps.*, prod_class, coalesce(n, 1) AS copies
+  FROM preapps
+  LEFT JOIN (SELECT app_id AS contract_id, prod_class, count(*) AS n FROM lookup GROUP BY 1, 2)
+    ON app_id IS NOT DISTINCT FROM contract_id
+)"""
+
 PRE_CELLS = f"""
 pre_cells AS (
   SELECT {cols(KEYS)}, count(*) AS preapp_cnt,
@@ -393,6 +401,9 @@ SELECT date_trunc('second', ts) AS visit_start,
 FROM events""",
     "contract_lookup": with_(*_C, LOOKUP, select="SELECT * FROM lookup"),
     "preapp_enriched": with_(*_C, PREAPPS, LOOKUP, ENRICHED, select="SELECT * FROM enriched"),
+    "preapp_weighted": with_(
+        *_C, PREAPPS, LOOKUP, ENRICHED, WEIGHTED, select="SELECT * FROM weighted"
+    ),
     "preapp_cells": with_(*_C, PREAPPS, LOOKUP, ENRICHED, PRE_CELLS, select="SELECT * FROM pre_cells"),
     "apply_cells": with_(*_C, PREAPPS, LOOKUP, ENRICHED, APPLY_CELLS, select="SELECT * FROM apply_cells"),
     "effective_cells": with_(*_C, EFF_CELLS, select=f"SELECT {_STEADY} FROM eff_cells"),

@@ -113,6 +113,21 @@ def test_missing_application_ids_match_each_other(spark):
     assert dicts(cells.preapp_cells(preapps, contracts), "prod_class") == [{"prod_class": "p"}]
 
 
+def test_preapprovals_without_id_are_spread_and_matched(spark):
+    contracts = frame(
+        spark, "contract", {"app_id": None, "prod_class": "p"}, {"app_id": None, "prod_class": "p"},
+        {"app_id": None, "prod_class": "q"}, {"app_id": 1, "prod_class": "r"},
+    )
+    preapps = frame(spark, "preapp", *[{"app_id": None, "product": str(i)} for i in range(200)], {"app_id": 1})
+    got = cells.weigh_preapprovals(preapps, contracts).groupBy("prod_class").agg(
+        F.count("*").alias("n"), F.sum("copies").alias("copies")
+    )
+    assert dicts(got) == [
+        {"prod_class": "p", "n": 200, "copies": 400}, {"prod_class": "q", "n": 200, "copies": 200},
+        {"prod_class": "r", "n": 1, "copies": 1},
+    ]
+
+
 @pytest.mark.parametrize("manual,auto,manual_result,auto_result,expected", [
     ("2025-01-02", "2025-01-01", words.PASS, "no", 1),
     ("2025-01-02", "2025-01-01", None, words.PASS, 0),
