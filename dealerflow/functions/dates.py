@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 _DAY = r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 _DAY_TIME = _DAY + r"( \d{1,2}:\d{2}(:\d{2})?)?"
+_YMD = r"^\s*(\d{4})(?:[-/. 年](\d{1,2})[-/. 月](\d{1,2})日?|(\d{2})(\d{2}))\s*$"
+_DASHED_DAY = r"^\d{4}-\d{1,2}-\d{1,2}( |$)"
+_FULL_TIME = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}"
 
 
 def _leading(text: Column, pattern: str) -> Column:
@@ -18,16 +21,18 @@ def _leading(text: Column, pattern: str) -> Column:
 
 
 def parse_ymd(text: Column) -> Column:
-    """A date written year-month-day with dashes, slashes, dots or nothing between."""
-    return F.coalesce(*[
-        F.try_to_date(F.nullif(F.trim(text), F.lit("")), form)
-        for form in ("yyyy-M-d", "yyyyMMdd", "yyyy/M/d", "yyyy.M.d")
-    ])
+    """A date written year, month, day with a separator or as eight digits.
+
+    The form is checked before the cast, so that no row raises and catches.
+    """
+    dashed = F.regexp_replace(text, _YMD, "$1-$2$4-$3$5")
+    return F.when(text.rlike(_YMD), dashed.try_cast("date"))
 
 
 def date_of(text: Column) -> Column:
     """The date at the start of a date-time text; what follows is ignored."""
-    return F.try_to_date(_leading(text, _DAY), "yyyy-M-d")
+    usual = F.when(text.rlike(_DASHED_DAY), text.try_cast("date"))
+    return F.coalesce(usual, _leading(text, _DAY).try_cast("date"))
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -37,9 +42,9 @@ def parse_timestamp(text: Column) -> Column:
 
 def hour_of(text: Column) -> Column:
     """Two-digit hour of a full ``yyyy-MM-dd HH:mm:ss`` text, else null."""
-    full = F.regexp_extract(text, r"^\s*\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}", 0)
-    stamp = F.nullif(F.trim(full), F.lit("")).try_cast("timestamp_ntz")
-    return two_digit_hour(stamp)
+    usual = F.when(text.rlike(_FULL_TIME + "$"), text.try_cast("timestamp_ntz"))
+    start = F.nullif(F.regexp_extract(F.ltrim(text), _FULL_TIME, 0), F.lit(""))
+    return two_digit_hour(F.coalesce(usual, start.try_cast("timestamp_ntz")))
 
 
 def two_digit_hour(stamp: Column) -> Column:

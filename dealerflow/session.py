@@ -14,9 +14,13 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+    # Hash instead of sort in shuffle joins whose partitions are seen to be small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.files.maxPartitionBytes": "256MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # No stack inspection per column expression while a plan is built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -34,17 +38,16 @@ def build_session(
     master: str | None = None,
     shuffle_bytes: int | None = None,
     cores: int = 8,
-    **extra: str,
+    settings: dict[str, str] | None = None,
 ) -> SparkSession:
-    """A session with these settings; ``extra`` has underscores for dots."""
+    """A session with these settings; ``settings`` come on top."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = dict(SETTINGS)
+    chosen = dict(SETTINGS)
     if shuffle_bytes is not None:
         number = str(initial_partitions(shuffle_bytes, cores))
-        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = number
-    settings |= {name.replace("_", "."): value for name, value in extra.items()}
-    for name, value in settings.items():
+        chosen["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = number
+    for name, value in (chosen | (settings or {})).items():
         builder = builder.config(name, value)
     return builder.getOrCreate()

@@ -23,20 +23,22 @@ def test_parentheses_are_cut_greedily(spark):
 
 def test_ymd_forms_and_bad_text(spark):
     given = ["2025-03-01", "2025-3-1", "20250301", "2025/3/1", "2025.3.1", " 2025-03-01 ",
-             "bad", "", None, "2025-02-30", "2025-03-01 10:00:00"]
+             "2025年3月1日", "bad", "", None, "2025-02-30", "2025-03-01 10:00:00"]
     day = date(2025, 3, 1)
-    assert values(spark, "string", given, dates.parse_ymd) == [day] * 6 + [None] * 5
+    assert values(spark, "string", given, dates.parse_ymd) == [day] * 7 + [None] * 5
 
 
 def test_date_of_ignores_the_time(spark):
-    given = ["2025-03-01 23:59:59", "2025/3/1 8:00", "2025-03-01", "bad", "", None, "2025-13-01"]
+    given = ["2025-03-01 23:59:59", "2025/3/1 8:00", "2025-03-01", " 2025-3-1x", "bad", "", None,
+             "2025-13-01", "2025", "2025-03"]
     day = date(2025, 3, 1)
-    assert values(spark, "string", given, dates.date_of) == [day, day, day, None, None, None, None]
+    assert values(spark, "string", given, dates.date_of) == [day] * 4 + [None] * 6
 
 
 def test_hour_needs_a_full_time(spark):
-    given = ["2025-03-01 09:05:00", "2025-03-01 23:59:59", "2025-03-01", "bad", None, "2025-03-01 25:00:00"]
-    assert values(spark, "string", given, dates.hour_of) == ["09", "23", None, None, None, None]
+    given = ["2025-03-01 09:05:00", "2025-03-01 23:59:59", "2025-3-1 7:05:00.5", " 2025-03-01 08:00:00",
+             "2025-03-01", "bad", None, "2025-03-01 25:00:00"]
+    assert values(spark, "string", given, dates.hour_of) == ["09", "23", "07", "08", None, None, None, None]
 
 
 def test_timestamps_to_the_second(spark):
