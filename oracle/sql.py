@@ -26,6 +26,10 @@ def same(left, right, names):
     return " AND ".join(f"{left}.{n} IS NOT DISTINCT FROM {right}.{n}" for n in names)
 
 
+def texts(*names):
+    return "* REPLACE (" + ", ".join(f"CAST({n} AS VARCHAR) AS {n}" for n in names) + ")"
+
+
 def stripped(text):
     half = f"regexp_replace({text}, '\\(.*\\)', '', 'gs')"
     return f"regexp_replace({half}, '（.*）', '', 'gs')"
@@ -390,19 +394,19 @@ _STEADY = "* REPLACE (round(eff_amt, 6) AS eff_amt)"
 _KEY_ORDER = ", ".join(f"{k} ASC NULLS LAST" for k in KEYS)
 
 QUERIES: dict[str, str] = {
-    "clean_contracts": with_(*_C, select="SELECT * FROM contracts"),
-    "clean_preapprovals": with_(BASE, PREAPPS, select="SELECT * FROM preapps"),
-    "clean_channels": with_(CHANNELS, select="SELECT * FROM channels"),
+    "clean_contracts": with_(*_C, select=f"SELECT {texts('apply_date', 'eff_date')} FROM contracts"),
+    "clean_preapprovals": with_(BASE, PREAPPS, select=f"SELECT {texts('preapp_date', 'apply_date')} FROM preapps"),
+    "clean_channels": with_(CHANNELS, select=f"SELECT {texts('open_date', 'close_date')} FROM channels"),
     "clean_visits": f"""
-SELECT date_trunc('second', ts) AS visit_start,
-  date_trunc('second', ts) + INTERVAL 1 SECOND * CAST(floor(value * 60e0) AS BIGINT) AS visit_end,
+SELECT CAST(date_trunc('second', ts) AS VARCHAR) AS visit_start,
+  CAST(date_trunc('second', ts) + INTERVAL 1 SECOND * CAST(floor(value * 60e0) AS BIGINT) AS VARCHAR) AS visit_end,
   value AS visit_minutes, {stripped("'user_' || user_id || '(' || event_type || ')'")} AS visitor,
   {stripped("event_type || '（' || user_id || '）'")} AS supervisor
 FROM events""",
-    "contract_lookup": with_(*_C, LOOKUP, select="SELECT * FROM lookup"),
-    "preapp_enriched": with_(*_C, PREAPPS, LOOKUP, ENRICHED, select="SELECT * FROM enriched"),
+    "contract_lookup": with_(*_C, LOOKUP, select=f"SELECT {texts('eff_date')} FROM lookup"),
+    "preapp_enriched": with_(*_C, PREAPPS, LOOKUP, ENRICHED, select=f"SELECT {texts('preapp_date', 'apply_date', 'eff_date')} FROM enriched"),
     "preapp_weighted": with_(
-        *_C, PREAPPS, LOOKUP, ENRICHED, WEIGHTED, select="SELECT * FROM weighted"
+        *_C, PREAPPS, LOOKUP, ENRICHED, WEIGHTED, select=f"SELECT {texts('preapp_date', 'apply_date')} FROM weighted"
     ),
     "preapp_cells": with_(*_C, PREAPPS, LOOKUP, ENRICHED, PRE_CELLS, select="SELECT * FROM pre_cells"),
     "apply_cells": with_(*_C, PREAPPS, LOOKUP, ENRICHED, APPLY_CELLS, select="SELECT * FROM apply_cells"),

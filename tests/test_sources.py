@@ -5,6 +5,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import dates_as_text
 from compare import assert_same, duck
 from dealerflow.operators import cleaning
 from dealerflow.plans import brand, scorecard
@@ -110,7 +111,16 @@ def cleaned(spark, landed_csv):
     ("channels", "clean_channels"), ("visits", "clean_visits"),
 ])
 def test_csv_extracts_clean_to_the_same_tables(cleaned, sf_dir, table, query):
-    assert_same(cleaned[table], duck(sf_dir), QUERIES[query])
+    assert_same(dates_as_text(cleaned[table]), duck(sf_dir), QUERIES[query])
+
+
+def test_cleaned_types(cleaned):
+    kinds = {f.name: f.dataType.simpleString() for t in cleaned.values() for f in t.schema}
+    for name in ("apply_date", "eff_date", "preapp_date", "open_date", "close_date"):
+        assert kinds[name] == "date"
+    assert kinds["visit_start"] == kinds["visit_end"] == "timestamp_ntz"
+    assert (kinds["app_id"], kinds["fin_amt"], kinds["manager_id"]) == ("bigint", "double", "int")
+    assert (kinds["eff_month"], kinds["preapp_month"], kinds["visit_minutes"]) == ("int", "int", "double")
 
 
 def test_reports_from_csv_extracts(cleaned, sf_dir):
