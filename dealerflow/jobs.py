@@ -51,7 +51,7 @@ def run_scorecard(spark: SparkSession, landed: str, out: str, p: ReportParams, f
     contracts, channels, roster = _tables(spark, landed, "contracts", "channels", "roster")
     return reports.export_scorecard(
         scorecard.scorecard(contracts, channels, roster, p),
-        scorecard.overdue_detail(contracts, p, customer_name),
+        scorecard.overdue_detail(contracts, p, customer_name, newest_first=True),
         out, p, fmt,
     )
 

@@ -76,10 +76,19 @@ def _overdue_contracts(
 
 
 def overdue_detail(
-    contracts: DataFrame, p: ReportParams, customer_name: str = "keep"
+    contracts: DataFrame,
+    p: ReportParams,
+    customer_name: str = "keep",
+    newest_first: bool = False,
 ) -> DataFrame:
-    """Overdue fast-track contracts; the customer's name can be hashed or left out."""
-    return _overdue_contracts(contracts, p, customer_name).drop("eff_date")
+    """Overdue fast-track contracts; the customer's name can be hashed or left out.
+
+    ``newest_first`` sorts by effective date, for a list that is written as it is.
+    """
+    rows = _overdue_contracts(contracts, p, customer_name)
+    if newest_first:
+        rows = rows.orderBy(F.col("eff_date").desc_nulls_last(), F.col("app_id").cast("bigint"))
+    return rows.drop("eff_date")
 
 
 def overdue_top(

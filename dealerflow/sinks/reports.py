@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from dealerflow.functions.vocabulary import TOTAL_LABEL
+from dealerflow.operators.counts import MANAGER
 from dealerflow.params import ReportParams
 
 
@@ -31,15 +34,22 @@ def write_report(
 def export_scorecard(
     scorecard: DataFrame, overdue: DataFrame, folder: str, p: ReportParams, fmt: str = "parquet"
 ) -> dict[str, str]:
-    """The scorecard and the overdue list."""
-    return write_report({"scorecard": scorecard, "overdue_detail": overdue}, folder, p, fmt)
+    """The scorecard by manager, and the overdue list in its own order."""
+    by_manager = scorecard.orderBy(*[F.col(key).asc_nulls_last() for key in MANAGER])
+    return write_report({"scorecard": by_manager, "overdue_detail": overdue}, folder, p, fmt)
 
 
 def export_brand(
     month_report: DataFrame, all_months: DataFrame, folder: str, p: ReportParams,
     fmt: str = "parquet",
 ) -> dict[str, str]:
-    """The month report of a brand and its all-months table."""
+    """The month report of a brand, total last, and its all-months table."""
+    is_total = F.col("channel_id").eqNullSafe(F.lit(TOTAL_LABEL))
+    by_store = [F.col(name).asc_nulls_last() for name in ("store_name", "channel_id")]
     return write_report(
-        {"brand_month_report": month_report, "brand_all_months": all_months}, folder, p, fmt
+        {
+            "brand_month_report": month_report.orderBy(is_total, *by_store),
+            "brand_all_months": all_months.orderBy(*by_store),
+        },
+        folder, p, fmt,
     )

@@ -1,7 +1,9 @@
 """Extract files, landed tables, refresh and report sinks."""
 
 from dataclasses import replace
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +210,30 @@ def test_report_tables_by_run_date(spark, landed, sf_dir, tmp_path, fmt):
         assert back.exceptAll(table).isEmpty() and table.exceptAll(back).isEmpty()
 
 
+def test_exports_are_sorted(spark, landed, sf_dir, tmp_path):
+    p = src.PARAMS
+    card = scorecard.scorecard(landed["contracts"], landed["channels"], src.roster(spark, sf_dir), p)
+    detail = scorecard.overdue_detail(landed["contracts"], p, newest_first=True)
+    inputs = (landed["preapprovals"], landed["contracts"], src.stores(spark, sf_dir), landed["channels"])
+    paths = reports.export_scorecard(card, detail, str(tmp_path), p)
+    paths |= reports.export_brand(
+        brand.brand_month_report(*inputs, p), brand.brand_all_months(*inputs, p, src.MONTHS), str(tmp_path), p
+    )
+
+    def in_file_order(name, column):
+        parts = sorted(Path(paths[name]).glob("part-*"))
+        return [v for part in parts for v in pq.read_table(part).column(column).to_pylist()]
+
+    managers = in_file_order("scorecard", "manager_id")
+    assert managers == sorted(managers) and len(managers) > 10
+    newest = scorecard.overdue_top(landed["contracts"], p, 1).first()
+    assert in_file_order("overdue_detail", "app_id")[0] == newest.app_id
+    stores = in_file_order("brand_month_report", "store_name")
+    if stores[-1] is None:
+        stores = stores[:-1]
+    assert stores == sorted(stores)
+
+
 def test_brand_export_holds_the_all_months_table(spark, landed, sf_dir, tmp_path):
     inputs = (landed["preapprovals"], landed["contracts"], src.stores(spark, sf_dir), landed["channels"])
     p = replace(src.PARAMS, brand="Brand#2")
