@@ -38,6 +38,13 @@ def _hour(raw: DataFrame, name: str) -> Column:
     return dates.hour_of(F.col(name))
 
 
+def _time_text(raw: DataFrame, name: str) -> Column:
+    """Approval time as text; a typed column has no blank other than null."""
+    if raw.schema[name].dataType.typeName().startswith("timestamp"):
+        return F.coalesce(F.date_format(name, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+    return F.col(name)
+
+
 def _number(raw: DataFrame, name: str, kind: str) -> Column:
     if raw.schema[name].dataType.simpleString() == kind:
         return F.col(name)
@@ -82,6 +89,8 @@ def clean_preapprovals(raw: DataFrame) -> DataFrame:
             "preapp_date": _day(raw, "preapp_date", dates.date_of),
             "manager": strip_parentheses(F.col("manager")),
             "advisor": strip_parentheses(F.col("advisor")),
+            "manual_ts": _time_text(raw, "manual_ts"),
+            "auto_ts": _time_text(raw, "auto_ts"),
         })
         .drop("apply_ts")
         .withColumns({

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from dealerflow.functions.vocabulary import MISSING_TEXT
 from dealerflow.sources.schemas import Extract, plain_header
@@ -40,10 +39,10 @@ def read_extract(
     """The extract's columns by header, in any order, extra columns ignored.
 
     CSV is read as UTF-8 text with a header row in every file; every column is
-    a string until the cleaning step. In text columns a blank cell is an empty
-    string and the word ``NA`` is missing. ``multi_line`` allows line breaks in
-    quoted cells, at the price of one task per file. Parquet and ORC keep their
-    own types. Build names are accepted in place of the headers; with ``named``
+    a string until the cleaning step. In text columns of a CSV a blank cell is an
+    empty string and the word ``NA`` is missing. ``multi_line`` allows line breaks in
+    quoted cells, at the price of one task per file. Other formats keep their
+    own types and nulls. Build names are accepted in place of the headers; with ``named``
     off the table comes as found, unchecked.
     """
     reader = spark.read
@@ -53,11 +52,11 @@ def read_extract(
         found = reader.format(fmt).load(path)
     except AnalysisException as error:
         raise ExtractUnavailable(f"extract {extract.name} cannot be read from {path}: {error}") from error
-    return name_columns(found, extract) if named else found
+    return name_columns(found, extract, settle_blanks=fmt == "csv") if named else found
 
 
-def name_columns(found: DataFrame, extract: Extract) -> DataFrame:
-    """Check the headers, rename to build names, settle blanks of text columns."""
+def name_columns(found: DataFrame, extract: Extract, settle_blanks: bool = True) -> DataFrame:
+    """Check the headers, rename to build names, settle blanks of CSV text columns."""
     present = {plain_header(column): column for column in found.columns}
     chosen = {
         name: present.get(plain_header(header), present.get(name))
@@ -69,7 +68,7 @@ def name_columns(found: DataFrame, extract: Extract) -> DataFrame:
 
     def value(name: str):
         column = F.col(f"`{chosen[name]}`")
-        if name in extract.text and found.schema[chosen[name]].dataType == StringType():
+        if settle_blanks and name in extract.text:
             column = F.when(column == MISSING_TEXT, None).otherwise(
                 F.coalesce(column, F.lit(""))
             )

@@ -1,8 +1,11 @@
 """Column helpers on hand rows."""
 
+import re
 from datetime import date, datetime
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dealerflow.functions import dates
@@ -89,6 +92,27 @@ def test_rounding(spark, digits, given, expected):
     assert values(spark, "double", given, lambda c: round_nearest(c, digits)) == expected
 
 
+PIECES = st.sampled_from(["(", ")", "（", "）", "a", "名", " ", "\n"])
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(PIECES, max_size=8).map("".join), min_size=50, max_size=50))
+def test_parentheses_like_regular_expressions(spark, texts):
+    def cut(text):
+        return re.sub(r"（.*）", "", re.sub(r"\(.*\)", "", text, flags=re.S), flags=re.S)
+
+    assert values(spark, "string", texts, strip_parentheses) == [cut(t) for t in texts]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.floats(-1e6, 1e6), min_size=50, max_size=50), st.sampled_from([0, 1, 2]))
+def test_rounding_takes_the_nearest_decimal(spark, numbers, digits):
+    for x, y in zip(numbers, values(spark, "double", numbers, lambda c: round_nearest(c, digits))):
+        step = 10.0**-digits
+        assert abs(y - x) <= step / 2 + 1e-9
+        assert y == round(y, digits)
+
+
 def test_sums_with_missing_values(spark):
     rows = spark.createDataFrame(
         [("none", None), ("none", None), ("some", 1), ("some", None), ("all", 1), ("all", 2)],

@@ -1,6 +1,7 @@
 """Extract files, landed tables, refresh and report sinks."""
 
 from dataclasses import replace
+from datetime import date, datetime
 from pathlib import Path
 
 import pyarrow.parquet as pq
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import dates_as_text
 from compare import assert_same, duck
+from dealerflow.functions import vocabulary as words
 from dealerflow.operators import cleaning
+from dealerflow.operators.cells import final_approval
 from dealerflow.plans import brand, scorecard
 from dealerflow.sinks import reports
 from dealerflow.sources import landing, schemas
@@ -78,6 +81,22 @@ def test_other_formats_and_build_names(spark, tmp_path, fmt):
     assert read_extract(spark, schemas.STORES, str(tmp_path / fmt), fmt).collect() == table.collect()
 
 
+def test_typed_extracts_keep_their_nulls(spark, tmp_path):
+    columns = {name: "string" for name in schemas.PREAPPROVALS.columns}
+    columns |= {"app_id": "bigint", "apply_ts": "timestamp_ntz", "preapp_date": "date",
+                "manual_ts": "timestamp_ntz", "auto_ts": "timestamp_ntz"}
+    values = {"app_id": 1, "apply_ts": datetime(2025, 3, 1, 9, 30), "preapp_date": date(2025, 3, 1),
+              "auto_ts": datetime(2025, 3, 2), "auto_result": words.PASS}
+    row = tuple(values.get(name) for name in columns)
+    raw = spark.createDataFrame([row], ", ".join(f"{n} {t}" for n, t in columns.items()))
+    raw.write.parquet(str(tmp_path / "p"))
+    got = cleaning.clean_preapprovals(read_extract(spark, schemas.PREAPPROVALS, str(tmp_path / "p"), "parquet"))
+    first = got.withColumn("ok", final_approval()).first()
+    assert (first.apply_hour, first.apply_date, first.apply_month) == ("09", date(2025, 3, 1), 202503)
+    assert (first.manual_ts, first.auto_ts, first.ok) == ("", "2025-03-02 00:00:00", 1)
+    assert first.brand is None and first.manager is None
+
+
 @pytest.fixture(scope="module")
 def landed_csv(spark, sf_dir, tmp_path_factory):
     """The five extracts as CSV files with their own headers."""
