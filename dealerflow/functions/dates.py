@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 _DAY = r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 _DAY_TIME = _DAY + r"( \d{1,2}:\d{2}(:\d{2})?)?"
 _YMD = r"^\s*(\d{4})(?:[-/. 年](\d{1,2})[-/. 月](\d{1,2})日?|(\d{2})(\d{2}))\s*$"
-_DASHED_DAY = r"^\d{4}-\d{1,2}-\d{1,2}( |$)"
+_DASHED_DAY = r"^\d{4}-\d{1,2}-\d{1,2}"
 _FULL_TIME = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}"
 
 
@@ -20,29 +20,36 @@ def _leading(text: Column, pattern: str) -> Column:
     return F.translate(found, "/", "-")
 
 
-def parse_ymd(text: Column) -> Column:
-    """A date written year, month, day with a separator or as eight digits.
+def _usual(text: Column, form: str, kind: str) -> Column:
+    """The plain cast where the text has the usual form, null elsewhere.
 
-    The form is checked before the cast, so that no row raises and catches.
+    Checking first keeps rows in other forms from raising and catching.
     """
+    return F.when(text.rlike(form), text.try_cast(kind))
+
+
+def parse_ymd(text: Column) -> Column:
+    """A date written year, month, day with a separator or as eight digits."""
     dashed = F.regexp_replace(text, _YMD, "$1-$2$4-$3$5")
-    return F.when(text.rlike(_YMD), dashed.try_cast("date"))
+    other = F.when(text.rlike(_YMD), dashed.try_cast("date"))
+    return F.coalesce(_usual(text, _DASHED_DAY + "$", "date"), other)
 
 
 def date_of(text: Column) -> Column:
     """The date at the start of a date-time text; what follows is ignored."""
-    usual = F.when(text.rlike(_DASHED_DAY), text.try_cast("date"))
+    usual = _usual(text, _DASHED_DAY + "( |$)", "date")
     return F.coalesce(usual, _leading(text, _DAY).try_cast("date"))
 
 
 def parse_timestamp(text: Column) -> Column:
     """Wall-clock timestamp to the second, independent of the session time zone."""
-    return _leading(text, _DAY_TIME).try_cast("timestamp_ntz")
+    usual = _usual(text, _FULL_TIME + "$", "timestamp_ntz")
+    return F.coalesce(usual, _leading(text, _DAY_TIME).try_cast("timestamp_ntz"))
 
 
 def hour_of(text: Column) -> Column:
     """Two-digit hour of a full ``yyyy-MM-dd HH:mm:ss`` text, else null."""
-    usual = F.when(text.rlike(_FULL_TIME + "$"), text.try_cast("timestamp_ntz"))
+    usual = _usual(text, _FULL_TIME + "$", "timestamp_ntz")
     start = F.nullif(F.regexp_extract(F.ltrim(text), _FULL_TIME, 0), F.lit(""))
     return two_digit_hour(F.coalesce(usual, start.try_cast("timestamp_ntz")))
 
