@@ -26,11 +26,6 @@ def sum_or_zero(x: Column) -> Column:
     return F.coalesce(F.sum(x), F.lit(0).cast("bigint"))
 
 
-def sum_or_missing(x: Column) -> Column:
-    """Sum that is missing as soon as one value of the group is."""
-    return F.when(F.count_if(x.isNull()) == 0, F.sum(x))
-
-
 def growth_pct(now: Column, before: Column) -> Column:
     """Percent change to one digit; null unless both counts are there."""
     return round_nearest((F.try_divide(now, before) - 1.0) * 100.0, 1)

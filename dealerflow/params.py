@@ -38,6 +38,13 @@ class ReportParams:
         if self.prev not in ("minus30", "add_months"):
             raise ValueError(f"prev must be 'minus30' or 'add_months', not {self.prev!r}")
 
+    def need(self, name: str) -> str:
+        """A parameter without which the report would silently be empty."""
+        value = getattr(self, name)
+        if value is None:
+            raise ValueError(f"this report needs the parameter {name!r}")
+        return value
+
     @property
     def month(self) -> str:
         return f"{self.as_of:%Y%m}"

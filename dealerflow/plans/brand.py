@@ -75,8 +75,8 @@ def brand_month_detail(
     preapps: DataFrame, contracts: DataFrame, stores: DataFrame, channels: DataFrame, p: ReportParams
 ) -> DataFrame:
     """This month's measures for every store of the brand, matched or not."""
-    measures = channel_month(funnel(preapps, contracts, p.brand, p.month))
-    listed = _stores_of(stores, channels, p.brand)
+    measures = channel_month(funnel(preapps, contracts, p.need("brand"), p.month))
+    listed = _stores_of(stores, channels, p.need("brand"))
     return null_safe_join(listed, measures, ["channel_id"]).select(
         "brand", "month", *STORE_COLUMNS, *COUNTS, "eff_amt"
     )
@@ -126,8 +126,8 @@ def report_months(
     preapps: DataFrame, contracts: DataFrame, stores: DataFrame, channels: DataFrame, p: ReportParams
 ) -> list[str | None]:
     """Months in which a store of the brand has a cell; a bounded driver read."""
-    rows = _effective_by_month(preapps, contracts, p.brand)
-    listed = _stores_of(stores, channels, p.brand).select("channel_id")
+    rows = _effective_by_month(preapps, contracts, p.need("brand"))
+    listed = _stores_of(stores, channels, p.need("brand")).select("channel_id")
     months = null_safe_join(rows, listed, ["channel_id"], "left_semi").select("month").distinct()
     return sorted((row.month for row in months.collect()), key=lambda m: (m is None, m))
 
@@ -149,14 +149,14 @@ def brand_all_months(
     """
     if months is None:
         months = report_months(preapps, contracts, stores, channels, p)
-    rows = _effective_by_month(preapps, contracts, p.brand)
+    rows = _effective_by_month(preapps, contracts, p.need("brand"))
     by_channel = rows.groupBy("brand", "channel_id").agg(*[
         F.sum(F.when(F.col("month").eqNullSafe(F.lit(month)), F.col("eff_cnt")))
         .alias(NO_MONTH if month is None else month)
         for month in months
     ])
     names = [NO_MONTH if month is None else month for month in months]
-    listed = _stores_of(stores, channels, p.brand)
+    listed = _stores_of(stores, channels, p.need("brand"))
     return null_safe_join(listed, by_channel, ["channel_id"]).select(
         "brand", *STORE_COLUMNS, *[F.col(f"`{name}`") for name in names]
     )

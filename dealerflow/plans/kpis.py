@@ -136,7 +136,7 @@ def active_store_score(contracts: DataFrame, p: ReportParams) -> DataFrame:
 def team_headcount(roster: DataFrame, p: ReportParams) -> DataFrame:
     """Staff per superior in the branch."""
     return (
-        roster.filter(F.col("dept_l6") == p.branch)
+        roster.filter(F.col("dept_l6") == p.need("branch"))
         .groupBy("superior_id", "superior_name")
         .agg(F.count(F.lit(1)).alias("heads"))
     )

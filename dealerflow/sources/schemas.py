@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql.types import StringType, StructField, StructType
-
 
 @dataclass(frozen=True, eq=False)
 class Extract:
@@ -24,10 +22,6 @@ class Extract:
     def columns(self) -> list[str]:
         return list(self.headers.values())
 
-    @property
-    def raw_schema(self) -> StructType:
-        return StructType([StructField(name, StringType()) for name in self.columns])
-
 
 def _extract(name: str, headers: dict[str, str], parsed: set[str]) -> Extract:
     return Extract(name, headers, frozenset(set(headers.values()) - parsed))

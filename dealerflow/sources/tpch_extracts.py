@@ -56,10 +56,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _date_text(day: Column, form: str) -> Column:
-    return F.date_format(day, form)
-
-
 def _base(spark: SparkSession, sf_dir: str, with_part: bool) -> DataFrame:
     parties = (
         _table(spark, sf_dir, "orders")
@@ -72,14 +68,18 @@ def _base(spark: SparkSession, sf_dir: str, with_part: bool) -> DataFrame:
     return lines.join(parties, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
+def _numbered(name: str, number: str, pair: str) -> Column:
+    """A name with a number in parentheses, for the cleaning step to strip."""
+    return F.concat(name, F.lit(pair[0]), F.col(number).cast("string"), F.lit(pair[1]))
+
+
 def _shared(with_part: bool) -> dict[str, Column]:
     used = F.col("c_mktsegment").isin("AUTOMOBILE", "HOUSEHOLD")
     columns = {
         "channel_id": F.col("c_custkey").cast("string"),
-        "manager": F.concat("n_name", F.lit("("), F.col("c_nationkey").cast("string"), F.lit(")")),
+        "manager": _numbered("n_name", "c_nationkey", "()"),
         "advisor": F.when(
-            F.col("c_mktsegment") != "BUILDING",
-            F.concat("c_mktsegment", F.lit("（"), F.col("c_nationkey").cast("string"), F.lit("）")),
+            F.col("c_mktsegment") != "BUILDING", _numbered("c_mktsegment", "c_nationkey", "（）")
         ),
         "store_city": F.col("n_name"),
         "partner": F.col("o_orderpriority"),
@@ -108,8 +108,8 @@ def raw_contracts(
     apply_day = _ship_day()
     eff_day = F.when(~undated, F.date_add(_ship_day(), 15))
     if as_text:
-        apply_day = _date_text(apply_day, "yyyy-MM-dd")
-        eff_day = F.coalesce(_date_text(eff_day, "yyyy/M/d"), F.lit(""))
+        apply_day = F.date_format(apply_day, "yyyy-MM-dd")
+        eff_day = F.coalesce(F.date_format(eff_day, "yyyy/M/d"), F.lit(""))
     return _base(spark, sf_dir, with_part).filter(F.col("l_discount") >= 0.05).select(
         _app_id().alias("app_id"),
         F.col("l_extendedprice").alias("fin_amt"),
@@ -138,8 +138,8 @@ def raw_preapprovals(
     preapp_day = F.to_date("o_orderdate")
     apply_ts = F.when(~undated, F.col("l_shipdate"))
     if as_text:
-        preapp_day = F.concat(_date_text(preapp_day, "yyyy/MM/dd"), F.lit(" 08:30:00"))
-        apply_ts = F.coalesce(_date_text(apply_ts, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+        preapp_day = F.concat(F.date_format(preapp_day, "yyyy/MM/dd"), F.lit(" 08:30:00"))
+        apply_ts = F.coalesce(F.date_format(apply_ts, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
     time_text = "yyyy-MM-dd HH:mm:ss"
 
     def later(days: int) -> Column:
@@ -170,8 +170,8 @@ def raw_channels(spark: SparkSession, sf_dir: str, as_text: bool = False) -> Dat
     close_day = F.when(F.col("c_acctbal") < 0, F.date_add("opened", 400))
     nation_id = F.col("n_nationkey")
     if as_text:
-        open_day = F.coalesce(_date_text(open_day, "yyyyMMdd"), F.lit(""))
-        close_day = F.coalesce(_date_text(close_day, "yyyy-M-d"), F.lit(""))
+        open_day = F.coalesce(F.date_format(open_day, "yyyyMMdd"), F.lit(""))
+        close_day = F.coalesce(F.date_format(close_day, "yyyy-M-d"), F.lit(""))
         nation_id = nation_id.cast("string")
     return (
         _table(spark, sf_dir, "customer")
@@ -182,7 +182,7 @@ def raw_channels(spark: SparkSession, sf_dir: str, as_text: bool = False) -> Dat
             F.col("c_custkey").cast("string").alias("channel_id"),
             F.when(F.col("c_acctbal") < 0, "CLOSED").otherwise("OPEN").alias("channel_status"),
             F.concat("c_mktsegment", F.lit("(x)")).alias("owner"),
-            F.concat("n_name", F.lit("("), F.col("n_nationkey").cast("string"), F.lit(")")).alias("supervisor"),
+            _numbered("n_name", "n_nationkey", "()").alias("supervisor"),
             nation_id.alias("supervisor_id"),
             open_day.alias("open_date"),
             close_day.alias("close_date"),
@@ -232,7 +232,7 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.explode(carried).alias("brand_no"),
             name.alias("store_name"),
-            F.concat(F.lit("No. "), F.col("c_custkey").cast("string"), F.lit(", "), F.col("c_mktsegment")).alias("address"),
+            F.format_string("No. %d, %s", "c_custkey", "c_mktsegment").alias("address"),
             F.col("c_custkey").alias("store_no"),
         )
         .select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dealerflow import ReportParams
 from dealerflow.functions import vocabulary as words
 from dealerflow.operators.ranking import points_for, rank_of
-from dealerflow.plans import kpis
+from dealerflow.plans import brand, kpis
 from dealerflow.plans.scorecard import (
     DETAIL_COLUMNS, overdue_detail, overdue_top, scorecard, scorecard_top,
 )
@@ -42,6 +42,16 @@ def test_unknown_modes_are_refused():
         ReportParams(as_of=date(2025, 3, 1), prev="never")
 
 
+def test_reports_refuse_to_run_without_their_parameter(spark):
+    with pytest.raises(ValueError, match="branch"):
+        kpis.team_headcount(frame(spark, "roster", {}), replace(P, branch=None))
+    tables = [frame(spark, kind, {}) for kind in ("preapp", "contract", "store", "channel")]
+    with pytest.raises(ValueError, match="brand"):
+        brand.brand_month_report(*tables, P)
+    with pytest.raises(ValueError, match="brand"):
+        brand.brand_all_months(*tables, P, ["202503"])
+
+
 def test_ranks_skip_missing_and_break_ties(spark):
     rows = spark.createDataFrame([(1, 5), (2, None), (3, 5), (4, 9)], "id int, x int")
     got = rows.select("id", rank_of(F.col("x"), ["id"]).alias("r")).orderBy("id").collect()
