@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from dealerflow.operators import cells
 from dealerflow.plans import brand, funnel, kpis, scorecard
 from dealerflow.sources import tpch_extracts as src
+from dealerflow.sources.landing import land, read_landed
 from frames import frame
 
 
@@ -145,3 +146,21 @@ def test_ranks_see_one_row_per_manager(spark, sf_dir):
             below = "\n".join(lines[i + 1:])
             first = re.search(r"(HashAggregate|FileScan)[^\n]*", below).group(0)
             assert re.match(r"HashAggregate\(keys=\[(manager_id|supervisor_id)", first), first
+
+
+def test_a_hot_month_is_landed_in_several_files(spark, conf, tmp_path):
+    """Half of the rows in one month: that month is cut up into files of their own."""
+    conf(adaptive__advisoryPartitionSizeInBytes="64KB")
+    one = frame(spark, "contract", {}).drop("app_id", "eff_month", "customer_name")
+    month = F.when(F.col("id") % 2 == 0, 202503).otherwise(202401 + (F.col("id") % 9).cast("int"))
+    rows = spark.range(0, 40000, 1, 8).select(
+        F.col("id").alias("app_id"), month.alias("eff_month"), F.sha2(F.col("id").cast("string"), 256).alias("customer_name")
+    ).crossJoin(F.broadcast(one))
+    land(rows, "contracts", str(tmp_path))
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "contracts").glob("eff_month=*")}
+    assert len(files) == 10
+    assert files["eff_month=202503"] > 5
+    # Fewer than one file per task and month; a month may share a split partition.
+    assert sum(files.values()) < 8 * 10
+    assert min(files.values()) < 5
+    assert read_landed(spark, rows, "contracts", str(tmp_path)).count() == 40000
