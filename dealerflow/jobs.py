@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,22 @@ def run_brand(spark: SparkSession, landed: str, out: str, p: ReportParams, fmt:
     )
 
 
+def run_brands(spark: SparkSession, landed: str, out: str, p: ReportParams, fmt: str = "parquet",
+               months: Sequence[str] | None = None) -> dict[str, str]:
+    """Month reports and all-months tables of every brand, each from one pass."""
+    inputs = _tables(spark, landed, "preapprovals", "contracts", "brand_stores", "channels")
+    if months is None:
+        found = brand.report_months(*inputs, replace(p, brand=None))
+        months = [month for month in found if month is not None]
+    return reports.write_report(
+        {
+            "brand_month_reports": brand.brand_month_reports(*inputs, p),
+            "brand_all_months_tables": brand.brand_all_months_tables(*inputs, months),
+        },
+        out, p, fmt,
+    )
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -86,7 +103,7 @@ def main(argv: Sequence[str] | None = None) -> None:
             job.add_argument("--rank-scope", default="manager")
             job.add_argument("--customer-name", default="keep")
         else:
-            job.add_argument("--brand", required=True)
+            job.add_argument("--brand", help="one brand; all brands of the store list if left out")
     args = parser.parse_args(argv)
     spark = build_session()
     if args.job == "land":
@@ -97,7 +114,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         )
         run_scorecard(spark, args.landed, args.out, p, args.format, args.customer_name)
     else:
-        run_brand(spark, args.landed, args.out, ReportParams(as_of=args.as_of, brand=args.brand), args.format)
+        run = run_brand if args.brand else run_brands
+        run(spark, args.landed, args.out, ReportParams(as_of=args.as_of, brand=args.brand), args.format)
 
 
 if __name__ == "__main__":

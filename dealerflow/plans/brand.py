@@ -19,6 +19,7 @@ from dealerflow.plans.funnel import funnel
 
 STORE_COLUMNS = ["channel_id", "store_name", "address", "owner", "supervisor", "channel_status"]
 COUNTS = ["preapp_cnt", "preapp_pass", "apply_cnt", "apply_pass", "eff_cnt"]
+REPORT_BRAND = "report_brand"
 MONTH_NAME = re.compile(r"\d{6}")
 NO_MONTH = "null"
 
@@ -85,9 +86,10 @@ def brand_month_detail(
 def total_rows(detail: DataFrame, p: ReportParams) -> DataFrame:
     """Sum of every numeric column per brand and month, under the total label."""
     numeric = [f.name for f in detail.schema if isinstance(f.dataType, NumericType)]
+    keys = [name for name in (REPORT_BRAND, "brand", "month") if name in detail.columns]
     return (
         detail.filter(F.col("brand").isNotNull())
-        .groupBy("brand", "month")
+        .groupBy(*keys)
         .agg(*[sum_or_zero(F.col(name)).alias(name) for name in numeric])
         .withColumns({
             "channel_id": F.lit(words.TOTAL_LABEL),
@@ -107,31 +109,77 @@ def brand_month_report(
     return detail.unionByName(total_rows(detail, p), allowMissingColumns=True)
 
 
-def _effective_by_month(preapps: DataFrame, contracts: DataFrame, brand: str) -> DataFrame:
+def _stores_of_all(stores: DataFrame, channels: DataFrame) -> DataFrame:
+    """Stores of every brand, under the brand whose report they belong to."""
+    listed = brand_stores(stores.filter(F.col("brand").isNotNull()), channels)
+    return listed.withColumnRenamed("brand", REPORT_BRAND)
+
+
+def _of_own_report(measures: DataFrame) -> DataFrame:
+    """Measures of a brand go to that brand's report; without a brand, to none."""
+    return measures.filter(F.col("brand").isNotNull()).withColumn(REPORT_BRAND, F.col("brand"))
+
+
+def brand_month_reports(
+    preapps: DataFrame, contracts: DataFrame, stores: DataFrame, channels: DataFrame, p: ReportParams
+) -> DataFrame:
+    """The month report of every brand on the store list, from one pass over the facts.
+
+    ``report_brand`` says whose report a row belongs to; ``brand`` stays missing
+    on stores without measures, as in a single report.
+    """
+    measures = _of_own_report(channel_month(funnel(preapps, contracts, month=p.month)))
+    listed = _stores_of_all(stores, channels)
+    detail = null_safe_join(listed, measures, [REPORT_BRAND, "channel_id"]).select(
+        REPORT_BRAND, "brand", "month", *STORE_COLUMNS, *COUNTS, "eff_amt"
+    )
+    return detail.unionByName(total_rows(detail, p), allowMissingColumns=True)
+
+
+def _effective_by_month(
+    preapps: DataFrame, contracts: DataFrame, brand: str | None = None
+) -> DataFrame:
     """Brand, month and channel of every cell row, with its effective count.
 
     Which channels have a cell in a month depends on neither the contract of a
     pre-approval nor how often it matches, so no lookup join is needed here.
     """
-    present = preapps.filter(F.col("brand") == brand).select(
+    if brand is not None:
+        preapps = preapps.filter(F.col("brand") == brand)
+        contracts = contracts.filter(F.col("brand") == brand)
+    present = preapps.select(
         "brand", "channel_id", F.explode(F.array("preapp_month", "apply_month")).alias("month")
     ).withColumn("month", month_label(F.col("month")))
-    counted = effective_rows(contracts.filter(F.col("brand") == brand)).select(
-        "brand", "channel_id", "month", "eff_cnt"
-    )
+    counted = effective_rows(contracts).select("brand", "channel_id", "month", "eff_cnt")
     return present.withColumn("eff_cnt", F.lit(0).cast("bigint")).unionByName(counted)
 
 
 def report_months(
     preapps: DataFrame, contracts: DataFrame, stores: DataFrame, channels: DataFrame, p: ReportParams
 ) -> list[str | None]:
-    """Months in which a store of the brand has a cell; a bounded driver read."""
-    rows = _effective_by_month(preapps, contracts, p.need("brand"))
-    listed = _stores_of(stores, channels, p.need("brand")).select("channel_id")
-    months = null_safe_join(rows, listed, ["channel_id"], "left_semi").select("month").distinct()
+    """Months in which a store of the brand has a cell; a bounded driver read.
+
+    Without a brand: the months of all brands' reports.
+    """
+    rows = _effective_by_month(preapps, contracts, p.brand)
+    if p.brand is None:
+        listed, keys = _stores_of_all(stores, channels), [REPORT_BRAND, "channel_id"]
+        rows = _of_own_report(rows)
+    else:
+        listed, keys = _stores_of(stores, channels, p.brand), ["channel_id"]
+    months = null_safe_join(rows, listed.select(*keys), keys, "left_semi").select("month").distinct()
     return sorted((row.month for row in months.collect()), key=lambda m: (m is None, m))
 
 
+def _months_by_channel(rows: DataFrame, months: Sequence[str | None]) -> DataFrame:
+    """One row per brand and channel, one column per month: null without a cell."""
+    return rows.groupBy("brand", "channel_id").agg(*[
+        F.sum(F.when(F.col("month").eqNullSafe(F.lit(month)), F.col("eff_cnt")))
+        .alias(NO_MONTH if month is None else month)
+        for month in months
+    ])
+
+
 def brand_all_months(
     preapps: DataFrame,
     contracts: DataFrame,
@@ -147,14 +195,10 @@ def brand_all_months(
     without a month get a column named ``null``. A month without a cell is null,
     one whose cells hold no effective contract is 0.
     """
+    p.need("brand")
     if months is None:
         months = report_months(preapps, contracts, stores, channels, p)
-    rows = _effective_by_month(preapps, contracts, p.need("brand"))
-    by_channel = rows.groupBy("brand", "channel_id").agg(*[
-        F.sum(F.when(F.col("month").eqNullSafe(F.lit(month)), F.col("eff_cnt")))
-        .alias(NO_MONTH if month is None else month)
-        for month in months
-    ])
+    by_channel = _months_by_channel(_effective_by_month(preapps, contracts, p.need("brand")), months)
     names = [NO_MONTH if month is None else month for month in months]
     listed = _stores_of(stores, channels, p.need("brand"))
     return null_safe_join(listed, by_channel, ["channel_id"]).select(
@@ -162,6 +206,19 @@ def brand_all_months(
     )
 
 
+def brand_all_months_tables(
+    preapps: DataFrame, contracts: DataFrame, stores: DataFrame, channels: DataFrame, months: Sequence[str]
+) -> DataFrame:
+    """The all-months table of every brand on the store list, from one pass."""
+    by_channel = _of_own_report(
+        _months_by_channel(_effective_by_month(preapps, contracts), months)
+    )
+    listed = _stores_of_all(stores, channels)
+    return null_safe_join(listed, by_channel, [REPORT_BRAND, "channel_id"]).select(
+        REPORT_BRAND, "brand", *STORE_COLUMNS, *[F.col(f"`{month}`") for month in months]
+    )
+
+
 def month_columns(table: DataFrame) -> list[str]:
     """Columns named like a month, six digits."""
     return [name for name in table.columns if MONTH_NAME.fullmatch(name)]

@@ -250,6 +250,39 @@ all_months AS (
   GROUP BY m.brand, {cols(STORE, "s.")}
 )"""
 
+# Every brand's report at once: the brand of the store list chooses the report.
+EVERY_MONTH_DETAIL = f"""
+measures AS (
+  SELECT brand, month, channel_id,
+    {", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in COUNTS)},
+    coalesce(sum(round_even(eff_amt, 0)), 0e0) AS eff_amt
+  FROM funnel WHERE month = '{NOW}' GROUP BY brand, month, channel_id
+),
+detail AS (
+  SELECT s.brand AS report_brand, m.brand, m.month, s.channel_id, store_name, address, owner, supervisor,
+    channel_status, {cols(COUNTS)}, eff_amt
+  FROM brand_stores s LEFT JOIN measures m ON m.brand = s.brand AND m.channel_id IS NOT DISTINCT FROM s.channel_id
+),
+total AS (
+  SELECT report_brand, brand, '{LABEL}' AS month, '合计' AS channel_id,
+    {", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in COUNTS)},
+    coalesce(sum(eff_amt), 0e0) AS eff_amt
+  FROM (SELECT report_brand, brand, month AS real_month, {cols(COUNTS)}, eff_amt FROM detail)
+  WHERE brand IS NOT NULL GROUP BY report_brand, brand, real_month
+)"""
+
+EVERY_ALL_MONTHS = f"""
+year_rows AS (
+  SELECT brand, month, channel_id, CAST(coalesce(sum(eff_cnt), 0) AS BIGINT) AS eff_cnt
+  FROM funnel GROUP BY brand, month, channel_id
+),
+all_months AS (
+  SELECT s.brand AS report_brand, m.brand, {cols(STORE, "s.")},
+    {", ".join(f"max(CASE WHEN month = '{m}' THEN eff_cnt END) AS " + f'"{m}"' for m in MONTHS)}
+  FROM brand_stores s LEFT JOIN year_rows m ON m.brand = s.brand AND m.channel_id IS NOT DISTINCT FROM s.channel_id
+  GROUP BY s.brand, m.brand, {cols(STORE, "s.")}
+)"""
+
 YEAR_ACTIVE = """
 year_active AS (
   SELECT manager_id, manager, count(DISTINCT channel_id) + max(CASE WHEN channel_id IS NULL THEN 1 ELSE 0 END) AS active_year
@@ -431,6 +464,10 @@ FROM events""",
             for m in MONTHS
         ) + " FROM all_months",
     ),
+    "brand_month_reports": with_(
+        *_F, *_S, EVERY_MONTH_DETAIL, select="SELECT * FROM detail UNION ALL BY NAME SELECT * FROM total"
+    ),
+    "brand_all_months_tables": with_(*_F, *_S, EVERY_ALL_MONTHS, select="SELECT * FROM all_months"),
     "active_channels_year": with_(*_C, YEAR_ACTIVE, select="SELECT * FROM year_active"),
     "active_store_score": with_(*_C, YEAR_ACTIVE, ACTIVE, select="SELECT * FROM active"),
     "team_headcount": with_(ROSTER, HEADS, select="SELECT * FROM heads"),

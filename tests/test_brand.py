@@ -143,6 +143,19 @@ def test_month_without_effective_contract_is_zero_and_without_cell_is_missing(sp
     assert (row["202501"], row["202503"], row["202504"]) == (0, 1, None)
 
 
+def test_reports_of_all_brands_equal_single_reports(tables):
+    together = dicts(brand.brand_month_reports(*tables, P))
+    months = ["202502", "202503"]
+    pivots = dicts(brand.brand_all_months_tables(*tables, months))
+    for name in ("A", "B"):
+        p = ReportParams(as_of=P.as_of, brand=name)
+        own = [{k: v for k, v in r.items() if k != "report_brand"} for r in together if r["report_brand"] == name]
+        assert own == dicts(brand.brand_month_report(*tables, p))
+        own = [{k: v for k, v in r.items() if k != "report_brand"} for r in pivots if r["report_brand"] == name]
+        assert own == dicts(brand.brand_all_months(*tables, p, months))
+    assert {r["report_brand"] for r in together} == {"A", "B"}
+
+
 def test_levels(spark):
     table = spark.createDataFrame(
         [("a", 0, 5), ("b", 1, None), ("c", 2, 3), ("d", 3, 2)], "brand string, `202501` long, x long"

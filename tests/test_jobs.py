@@ -4,6 +4,7 @@ from dataclasses import replace
 
 from compare import duck, duck_rows, spark_rows
 from dealerflow import jobs
+from dealerflow.plans import brand
 from dealerflow.session import MIB, initial_partitions
 from dealerflow.sources import schemas
 from dealerflow.sources import tpch_extracts as src
@@ -31,9 +32,12 @@ def test_from_extracts_to_reports(spark, sf_dir, tmp_path):
     assert len(jobs.land_extracts(spark, inbox, landed)) == 6
     card = jobs.run_scorecard(spark, landed, out, src.PARAMS)
     months = jobs.run_brand(spark, landed, out, src.PARAMS, months=src.MONTHS)
+    months |= jobs.run_brands(spark, landed, out, src.PARAMS, months=src.MONTHS)
     con = duck(sf_dir)
     for path, query in (
         (card["scorecard"], "scorecard"), (card["overdue_detail"], "overdue_detail"),
+        (months["brand_month_reports"], "brand_month_reports"),
+        (months["brand_all_months_tables"], "brand_all_months_tables"),
         (months["brand_month_report"], "brand_month_report"), (months["brand_all_months"], "brand_all_months"),
     ):
         assert spark_rows(spark.read.parquet(path)) == duck_rows(con, QUERIES[query]), query
@@ -49,4 +53,31 @@ def test_months_of_another_brand_come_from_the_data(spark, sf_dir, tmp_path):
         jobs.land(table, name, landed)
     paths = jobs.run_brand(spark, landed, str(tmp_path / "out"), replace(src.PARAMS, brand="Brand#7"), "csv")
     header = spark.read.option("header", True).csv(paths["brand_all_months"]).columns
-    assert len([c for c in header if len(c) == 6 and c.isdigit()]) > 12
+    found = [c for c in header if len(c) == 6 and c.isdigit()]
+    assert len(found) > 12
+    paths = jobs.run_brands(spark, landed, str(tmp_path / "out"), replace(src.PARAMS, brand=None))
+    months = brand.month_columns(spark.read.parquet(paths["brand_all_months_tables"]))
+    assert set(found) <= set(months) and months == sorted(months)
+
+
+def test_command_line(spark, sf_dir, tmp_path):
+    inbox, landed, out = (str(tmp_path / n) for n in ("inbox", "landed", "out"))
+    for name, table in (
+        ("contracts", src.raw_contracts(spark, sf_dir, as_text=True)),
+        ("preapprovals", src.raw_preapprovals(spark, sf_dir, as_text=True)),
+        ("channels", src.raw_channels(spark, sf_dir, as_text=True)), ("roster", src.raw_roster(spark, sf_dir)),
+        ("visits", src.raw_visits(spark, sf_dir)), ("brand_stores", src.stores(spark, sf_dir)),
+    ):
+        write_csv(table, schemas.EXTRACTS[name], f"{inbox}/{name}")
+    jobs.main(["land", inbox, landed])
+    jobs.main(["scorecard", landed, out, "--as-of", "1996-03-15", "--branch", "BRANCH_A", "--exclude", "NATION_3",
+               "--customer-name", "drop"])
+    jobs.main(["brand", landed, out, "--as-of", "1996-03-15", "--brand", "Brand#1"])
+    jobs.main(["brand", landed, out, "--as-of", "1996-03-15"])
+    day = "run_date=1996-03-15"
+    card = spark.read.parquet(f"{out}/{day}/scorecard")
+    assert card.count() > 10 and card.filter("manager = 'NATION_3'").isEmpty()
+    assert "customer_name" not in spark.read.parquet(f"{out}/{day}/overdue_detail").columns
+    one = spark.read.parquet(f"{out}/brand=Brand#1/{day}/brand_month_report")
+    every = spark.read.parquet(f"{out}/{day}/brand_month_reports").filter("report_brand = 'Brand#1'")
+    assert spark_rows(every.drop("report_brand")) == spark_rows(one)
