@@ -112,9 +112,11 @@ def test_store_list_can_be_broadcast_whatever_the_channels(spark, conf, tmp_path
     assert "BroadcastHashJoin" in plan and "Inner, BuildLeft" in plan
 
 
-def test_a_hot_application_id_is_split(spark, conf, tmp_path):
+@pytest.mark.parametrize("join,hash_up_to", [("SortMergeJoin", "0"), ("ShuffledHashJoin", "64MB")])
+def test_a_hot_application_id_is_split(spark, conf, tmp_path, join, hash_up_to):
     """One id on a third of the pre-approvals: its partition is cut into several."""
     conf(
+        adaptive__maxShuffledHashJoinLocalMapThreshold=hash_up_to,
         autoBroadcastJoinThreshold="-1",
         adaptive__autoBroadcastJoinThreshold="-1",
         adaptive__skewJoin__skewedPartitionThresholdInBytes="64KB",
@@ -133,7 +135,8 @@ def test_a_hot_application_id_is_split(spark, conf, tmp_path):
     joined = rows.select(F.sum("copies").alias("all"), F.count("*").alias("n"), F.max("product"))
     got = joined.collect()[0]
     assert (got["n"], got["all"]) == (n, n + 2 * (n // 3))
-    assert "SortMergeJoin(skew=true)" in joined._jdf.queryExecution().executedPlan().toString()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert f"{join}(skew=true)" in plan
 
 
 def test_ranks_see_one_row_per_manager(spark, sf_dir):
