@@ -95,8 +95,8 @@ def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(depth)[:n] > 0
 
 
-def _joined(batch: pa.RecordBatch, column: str) -> list[bytes]:
-    return [b"".join(x) if x else b"" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+def _names(batch: pa.RecordBatch, column: str) -> list[bytes]:
+    return [x or b"" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
 def _settled(words: np.ndarray, at: np.ndarray, lists: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     def windows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for part, raw, offsets in text_chunks(iter([batch])):
             words, _, _, at = word_hashes(raw, offsets)
-            starts, ends = _settled(words, at, _joined(part, "symbols"), window)
+            starts, ends = _settled(words, at, _names(part, "symbols"), window)
             doc = _window_docs(at, len(words), window)
             open_ = doc >= 0
             if len(starts):
@@ -147,17 +147,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             yield sequence_hashes(words, window)[first], part.column(0).to_numpy()[doc[first]]
 
     shared = in_smaller_document(rows.select("id", "text"), symbols, max(1, buckets // 4))
-    shared = saved(shared.groupBy("id").agg(F.collect_list("names").alias("symbols")))
+    shared = saved(shared.withColumnRenamed("names", "symbols"))
     with_symbols = rows.join(shared, "id", "left").select("id", "text", "symbols")
-    left = in_smaller_document(with_symbols, windows, buckets)
-    left = left.groupBy("id").agg(F.collect_list("names").alias("windows"))
+    left = in_smaller_document(with_symbols, windows, buckets).withColumnRenamed("names", "windows")
     known = with_symbols.join(left, "id", "left").select("id", "text", "symbols", "windows")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in text_chunks(batches):
             words, _, _, at = word_hashes(raw, offsets)
-            starts, ends = _settled(words, at, _joined(part, "symbols"), window)
-            lists = _joined(part, "windows")
+            starts, ends = _settled(words, at, _names(part, "symbols"), window)
+            lists = _names(part, "windows")
             if any(lists):
                 doc = _window_docs(at, len(words), window)
                 inside = np.flatnonzero(doc >= 0)
