@@ -6,35 +6,41 @@ two linked sets may differ (the size-derived bound). The columns of the matrix
 (hashes of n-grams) are cut into so many blocks that two linked rows must agree
 completely in some block, so only pairs of rows that agree in a block are ever
 multiplied: their overlap is accumulated over the whole rows and compared with
-the bound. Blocks of few n-grams, which common passages fill alike, are left out
-as far as the bound allows it, so a passage shared by many documents does not
-make pairs of them.
+the bound. Blocks that many documents fill alike and blocks of few n-grams are
+left out as far as the bound allows it, so a passage shared by many documents
+does not make pairs of them.
 
 Equal sets are one row of the matrix. Of the rows that agree in a block each is
-paired with the smallest only, and what that does not decide - a row that does
-not link to the smallest, against the others - is multiplied in a further round,
-unless both are in one component already. So no link between components is lost.
+paired with the smallest only. What that does not decide - a row that does not
+link to the smallest, against the others - is compared in blocks of rows by the
+number of blocks that agree, which discards nearly all, and the rest multiplied in
+a further round, unless both are in one component already. So no link between
+components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealerflow.llm.common import one_row_per_id, saved, text_chunks
 from dealerflow.llm.components import components
-from dealerflow.llm.packed import SCHEMA, Gatherer, bucket_of, buckets_for, packed_rows, unpack
+from dealerflow.llm.packed import GATHER, SCHEMA, Gatherer, bucket_of, buckets_for, packed_rows, unpack
 from dealerflow.llm.words import mix, sequence_hashes, word_hashes
 
 #: Words of an n-gram; least overlap in percent of the union.
 WORDS, PERCENT = 4, 85
 #: Rows that meet one leading row in a task, at most about.
 MEETING = 1024
+#: Common blocks that are listed, at most.
+COMMON = 1 << 16
 _U = np.uint64
 
 
@@ -88,42 +94,79 @@ def set_names(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return _sums(mixed, at), _sums(mix(mixed ^ _U(0x5851F42D4C957F2D)), at)
 
 
-def block_names(grams: np.ndarray, mixed: np.ndarray, level: int, other: int) -> np.ndarray:
-    """Names of the column blocks by which this set can be found at a level of size classes.
+@dataclass(frozen=True)
+class Common:
+    """Blocks that many sets fill alike, sorted by name, with their counts. Bounded by ``COMMON``."""
 
-    The level joins sets of its class and the one below. ``other`` is the largest
-    size of a partner there: the sets differ in at most ``k`` n-grams, so of all
-    ``p`` blocks at least ``p - k`` agree, and among the ``k + 1`` first blocks of
-    each set, in any order that depends on a block's content alone, one is common.
-    The order puts full blocks first.
-    """
-    keep = most_apart(len(grams) + other) + 1
-    if keep == 1:  # only equal sets
-        return np.zeros(0, np.uint64)
+    names: np.ndarray
+    counts: np.ndarray
+
+    def count(self, names: np.ndarray) -> np.ndarray:
+        """How common each block is, 0 if it is not listed."""
+        if not len(self.names):
+            return np.zeros(len(names), np.int64)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[at] == names, self.counts[at], 0)
+
+
+NONE = Common(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def n_blocks(level: int) -> int:
+    """Column blocks at a level of size classes: half as many again as two of its sets can differ in."""
     widest = most_apart(2 * int(classes()[level]))
-    parts = widest + 2 + widest // 2
+    return widest + 2 + widest // 2
+
+
+def blocks(grams: np.ndarray, mixed: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names and sizes of all blocks of a set at a level."""
+    parts = n_blocks(level)
     part = ((grams >> _U(32)) * _U(parts)) >> _U(32)
     at = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-    sizes = np.diff(at)
     names = mix(_sums(mixed, at) + mix((np.arange(parts, dtype=np.uint64) << _U(20)) + _U(level)))
-    return names[np.lexsort((names, -sizes))[:keep]]
+    return names, np.diff(at)
+
 
+def level_of(n: int) -> int:
+    return int(np.searchsorted(classes(), n))
 
-def keys_of(grams: np.ndarray) -> np.ndarray:
-    """All block names of one set: at its own level and the next."""
-    n = len(grams)
-    level = int(np.searchsorted(classes(), n))
+
+def keys_of(grams: np.ndarray, common: Common | None) -> np.ndarray:
+    """Names of the column blocks by which a set is found, at its own level and the next.
+
+    A level joins sets of its class and the one below. Linked sets differ in at
+    most ``k`` n-grams, so of all ``p`` blocks at least ``p - k`` agree, and among
+    the ``k + 1`` first blocks of each set, in any order that depends on a block's
+    content alone, one is common. The order puts common blocks last and full
+    blocks first. Without ``common`` the names of all blocks are returned.
+    """
+    n, found = len(grams), [np.zeros(0, np.uint64)]
     mixed, far = mix(grams), 100 * n // PERCENT
-    own, above = (block_names(grams, mixed, x, min(int(classes()[x]), far)) for x in (level, level + 1))
-    return np.concatenate([own, above])
+    for level in (level_of(n), level_of(n) + 1):
+        keep = most_apart(n + min(int(classes()[level]), far)) + 1
+        if keep > 1:  # else only equal sets link
+            names, sizes = blocks(grams, mixed, level)
+            found.append(names if common is None else names[np.lexsort((names, -sizes, common.count(names)))[:keep]])
+    return np.concatenate(found)
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """A byte of each block's name and a byte of its size, at both levels."""
+    if not len(grams):
+        return b""
+    mixed, level, parts = mix(grams), level_of(len(grams)), []
+    for names, sizes in (blocks(grams, mixed, x) for x in (level, level + 1)):
+        parts += [(names >> _U(56)).astype(np.uint8), np.minimum(sizes, 255).astype(np.uint8)]
+    return b"".join(p.tobytes() for p in parts)
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, raw, offsets in text_chunks(batches):
         grams, at = gram_sets(raw, offsets)
         high, low = set_names(grams, at)
-        arrays = [part.column(0), pa.array(np.diff(at)), *(pa.array(x.view(np.int64)) for x in (high, low))]
-        yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "high", "low"])
+        sketches = pa.array([sketch(grams[at[i] : at[i + 1]]) for i in range(part.num_rows)], pa.binary())
+        arrays = [part.column(0), pa.array(np.diff(at)), *(pa.array(x.view(np.int64)) for x in (high, low)), sketches]
+        yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "high", "low", "sketch"])
 
 
 def _stars(buckets: int):
@@ -159,22 +202,61 @@ def _distinct(part: pa.Table) -> pa.Table:
     return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
 
-def candidate_stars(rows: DataFrame, buckets: int) -> DataFrame:
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Id and n-grams of every set, copies in one task once."""
+    seen = set()
+    for part, raw, offsets in text_chunks(batches):
+        ids = part.column(0).to_numpy()
+        grams, at = gram_sets(raw, offsets)
+        names = list(zip(*(x.tolist() for x in set_names(grams, at)), strict=True))
+        for i in range(part.num_rows):
+            if at[i + 1] > at[i] and names[i] not in seen:
+                seen.add(names[i])
+                yield ids[i], grams[at[i] : at[i + 1]]
+
+
+def common_blocks(rows: DataFrame) -> Common:
+    """The blocks that most sets fill alike, by counts over all documents.
+
+    A task reports the blocks that at least one in 512 of its sets has; the sums
+    of the ``COMMON`` most frequent come to the driver. They only order blocks:
+    which of them are listed changes the work, never the result.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n, sets = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            names, counts = np.unique(np.concatenate(parts), return_counts=True)
+            often = counts >= max(3, sets // 512)
+            return pa.RecordBatch.from_arrays([pa.array(names[often].view(np.int64)), pa.array(counts[often])], ["name", "n"])
+
+        for _, grams in _sets_of(batches):
+            parts.append(keys_of(grams, None))
+            n, sets = n + len(parts[-1]), sets + 1
+            if n >= GATHER:
+                yield flush()
+                parts, n, sets = [], 0, 0
+        if parts:
+            yield flush()
+
+    found = rows.select("id", "text").mapInArrow(count, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
+    got = found.orderBy(F.desc("n"), "name").limit(COMMON).collect()
+    names = np.array([r["name"] for r in got], np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return Common(names[order], np.array([r["n"] for r in got], np.int64)[order])
+
+
+def candidate_stars(rows: DataFrame, buckets: int, common: Common = NONE) -> DataFrame:
     """Pairs (a, b): b shares a column block with a, the smallest id that has the block."""
+    shared = rows.sparkSession.sparkContext.broadcast((common.names, common.counts))  # at most COMMON blocks
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, seen = Gatherer(), set()
-        for part, raw, offsets in text_chunks(batches):
-            ids = part.column(0).to_numpy()
-            grams, at = gram_sets(raw, offsets)
-            names = list(zip(*(x.tolist() for x in set_names(grams, at)), strict=True))
-            for i in range(part.num_rows):
-                if at[i + 1] == at[i] or names[i] in seen:  # copies in one task are one row
-                    continue
-                seen.add(names[i])
-                keys = keys_of(grams[at[i] : at[i + 1]])
-                if gathered.add(keys, np.full(len(keys), ids[i])):
-                    yield packed_rows(*gathered.take(), buckets)
+        gathered, listed = Gatherer(), Common(*shared.value)
+        for one, grams in _sets_of(batches):
+            keys = keys_of(grams, listed)
+            if gathered.add(keys, np.full(len(keys), one)):
+                yield packed_rows(*gathered.take(), buckets)
         if gathered.n:
             yield packed_rows(*gathered.take(), buckets)
 
@@ -228,6 +310,53 @@ def linked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.sortWithinPartitions("lead", "meeting", "guest").mapInArrow(multiply, "a bigint, b bigint")
 
 
+def _may_link(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different components whose sizes and blocks allow a link.
+
+    Blocks of different size differ in at least as many n-grams as their sizes,
+    other unequal blocks in at least two.
+    """
+    group = group.drop_duplicates("id", ignore_index=True)
+    n, inside = group["n"].to_numpy(), group["component"].to_numpy()
+    level = np.searchsorted(classes(), n)
+    found = [np.zeros((0, 2), np.int64)]
+    for top in np.unique(level):
+        # The larger set of a pair is at its own level, the other there or one below.
+        parts, below = n_blocks(int(top)), np.flatnonzero((level == top) | (level == top - 1))
+        skip = np.where(level[below] == top, 0, 2 * n_blocks(int(top) - 1) if top else 0)
+        table = np.stack([np.frombuffer(group["sketch"][k], np.uint8)[s : s + 2 * parts] for k, s in zip(below, skip, strict=True)])
+        names, sizes = table[:, :parts], table[:, parts:].astype(np.int16)
+        for row in np.flatnonzero(level[below] == top):
+            k = below[row]
+            total = n[below] + n[k]
+            fits = (inside[below] != inside[k]) & (PERCENT * np.maximum(n[below], n[k]) <= 100 * np.minimum(n[below], n[k]))
+            rows = np.flatnonzero(fits & ((level[below] < top) | (below < k)))
+            apart = np.abs(sizes[rows] - sizes[row])
+            apart[(apart == 0) & (names[rows] != names[row])] = 2
+            apart[(apart == 2) & (sizes[row] == 255)] = 1  # sizes that large are not told apart
+            rows = rows[apart.sum(axis=1) <= most_apart(total[rows])]
+            found.append(np.stack([np.full(len(rows), k), below[rows]], axis=1))
+    pairs = np.concatenate(found)
+    ids = group["id"].to_numpy()
+    return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+
+
+def undecided(broken: DataFrame, stars: DataFrame, sets: DataFrame, where: DataFrame) -> DataFrame:
+    """Pairs around the leaders of ``broken`` pairs that may link and are not in one component.
+
+    Who shares a block with a leader is dealt into blocks of rows, and a task
+    multiplies two of them, comparing the sets' sketches.
+    """
+    led = stars.join(broken.select("a").distinct(), "a")
+    size = led.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEETING).alias("size"))
+    row = led.join(size, "a").select("a", F.col("b").alias("id"), "size", F.pmod(F.xxhash64("b"), "size").alias("i"))
+    row = row.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
+    row = row.select("a", "id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    row = row.join(sets.select("id", "n", "sketch"), "id").join(where, "id", "left")
+    row = row.withColumn("component", F.coalesce("component", "id"))
+    return row.groupBy("a", "i", "j").applyInPandas(_may_link, "a bigint, b bigint").distinct()
+
+
 def _apart(pairs: DataFrame, where: DataFrame) -> DataFrame:
     """The pairs whose ends are not yet in one component, with the components."""
     a, b = (where.select(F.col("id").alias(c), F.col("component").alias(f"in_{c}")) for c in "ab")
@@ -245,7 +374,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     not read. N-grams are compared by 64-bit hashes, whole sets by 128 bits.
     """
     rows = one_row_per_id(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), "id", "text")
-    facts = saved(rows.select("id", "text").mapInArrow(_facts, "id bigint, n bigint, high bigint, low bigint"))
+    facts = saved(rows.select("id", "text").mapInArrow(_facts, "id bigint, n bigint, high bigint, low bigint, sketch binary"))
     # Equal sets: the smallest id stands for all.
     named = ["n", "high", "low"]
     first = facts.where("n > 0").groupBy(*named).agg(F.min("id").alias("rep"))
@@ -258,7 +387,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(other, c, "left").withColumn(c, F.coalesce("r", c)).drop("r")
         return pairs.where("a <> b").select("a", "b").distinct()
 
-    stars = saved(by_rep(candidate_stars(rows, buckets_for(rows, "text", 1 / 20))))
+    stars = saved(by_rep(candidate_stars(rows, buckets_for(rows, "text", 1 / 20), common_blocks(rows))))
     # First each document with its smallest partner, then what is still apart.
     near = saved(linked(rows, stars.groupBy("b").agg(F.min("a").alias("a"))))
     where = components(near)
@@ -268,9 +397,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         where = components(near)
         # A document apart from the smallest of a block may link to others in it.
         broken = saved(_apart(rest, where).select("a", "b"))
-        ways = stars.select("a", F.col("b").alias("c"))
-        others = broken.join(ways, "a").where("b <> c").select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-        others = saved(_apart(others, where).select("a", "b"))
+        others = saved(undecided(broken, stars, facts, where))
         if not others.isEmpty():
             where = components(near.unionByName(linked(rows, others)))
     labels = where.select(F.col("id").alias("rep"), "component")
