@@ -28,7 +28,7 @@ from dealerflow.llm.common import saved, texts_of
 #: Tokens of a sequence, the id that ends a document, pieces of a block.
 LENGTH, END_ID, BLOCK = 2048, 0, 32_768
 #: Words whose ids a worker remembers, at most.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 # Fixed values of byte-level BPE: how a text is cut, and the bytes that stand for themselves.
@@ -58,6 +58,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.marks = {mark: self.stretch(mark) for mark in ".,"}
+        self.line = self.word("\n")
         outer = self
 
         class Known(dict):
@@ -68,6 +69,8 @@ class Encoder:
                     raise _Odd
                 if body[-1] in ".," and body[-2:-1].isalpha():
                     ids = self[part[:-1]] + outer.marks[body[-1]]
+                elif body.isalpha():  # one piece, or a line break and one
+                    ids = outer.line + outer.word(body) if line else outer.word(f" {body}")
                 else:
                     ids = outer.stretch(part if line else f" {part}")
                 if len(self) < REMEMBERED:
@@ -76,12 +79,14 @@ class Encoder:
 
         self.known = Known()
 
+    def word(self, piece: str) -> bytes:
+        """Ids of a text that is not cut any more."""
+        shown = piece.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def stretch(self, text: str) -> bytes:
         """Ids of a text of few words."""
-        ids = array("I")
-        for piece in _PIECE.findall(text):
-            ids.extend([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_SHOWN))])
-        return ids.tobytes()
+        return b"".join(map(self.word, _PIECE.findall(text)))
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

@@ -10,21 +10,57 @@ still has company, and each byte is shuffled once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealerflow.llm.common import one_row_per_id, saved
+from dealerflow.llm.common import one_row_per_id, saved, text_chunks
 
 #: Bytes of the first block, growth per round, and the widest block.
 FIRST, GROWTH, WIDEST = 64, 8, 1 << 20
-BLANKS = "\t\n\x0b\x0c\r "
+BLANKS = b"\t\n\x0b\x0c\r "
 
 
-def without_blanks(text: Column) -> Column:
-    """The text without the characters ``[\\x20\\x09-\\x0D]``."""
-    return reduce(lambda c, blank: F.replace(c, F.lit(blank), F.lit("")), BLANKS, text)
+def _bytes(raw: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+    """Each text's bytes without the characters ``[\\x20\\x09-\\x0D]``."""
+    for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+        yield raw[a:b].tobytes().translate(None, BLANKS)
+
+
+def first_blocks(rows: DataFrame) -> DataFrame:
+    """id, code points and digest of the text, first block and whether the text ends in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw, offsets in text_chunks(batches):
+            starts = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+            chars = np.diff(starts[offsets])
+            found = [(sha256(t).hexdigest(), t[:FIRST], len(t) <= FIRST) for t in _bytes(raw, offsets)]
+            digests, blocks, ended = zip(*found, strict=True)
+            arrays = [pa.array(digests), pa.array(blocks, pa.binary()), pa.array(ended)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chars), *arrays], ["id", "n_chars", "text_sha256", "block", "ended"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, n_chars bigint, text_sha256 string, block binary, ended boolean")
+
+
+def next_blocks(rows: DataFrame, at: int, width: int) -> DataFrame:
+    """id, the block of ``width`` bytes from ``at`` and whether the text ends in it, of all texts that reach it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw, offsets in text_chunks(batches):
+            found = [(i, t[at : at + width], len(t) <= at + width) for i, t in enumerate(_bytes(raw, offsets)) if len(t) > at]
+            if found:
+                place, blocks, ended = zip(*found, strict=True)
+                arrays = [part.column(0).take(pa.array(place)), pa.array(blocks, pa.binary()), pa.array(ended)]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "block", "ended"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.where(F.octet_length("text") > at).mapInArrow(run, f"id {kind}, block binary, ended boolean")
 
 
 def _split(members: DataFrame) -> DataFrame:
@@ -39,8 +75,8 @@ def _split(members: DataFrame) -> DataFrame:
     return saved(joined.select("id", F.col("new_gid").alias("gid"), "ended", "n"))
 
 
-def equal_groups(texts: DataFrame, heads: DataFrame) -> DataFrame:
-    """``id`` and ``gid`` of every row of ``texts`` (id, norm); ``heads`` has the first block."""
+def equal_groups(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """``id`` and ``gid`` of every row of ``rows`` (id, text); ``heads`` has the first blocks."""
     step = _split(heads.select("id", F.lit(0).alias("gid"), "block", "ended"))
     done = [step.where("ended or n = 1").select("id", "gid")]
     at, width = FIRST, FIRST * GROWTH
@@ -48,11 +84,7 @@ def equal_groups(texts: DataFrame, heads: DataFrame) -> DataFrame:
         open_ = step.where("not ended and n > 1").select("id", "gid")
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        part = F.substring(F.col("norm"), at + 1, width)
-        blocks = texts.where(F.octet_length("norm") > at).select(
-            "id", part.alias("block"), (F.octet_length("norm") <= at + width).alias("ended")
-        )
-        step = _split(saved(blocks.join(open_, "id")))
+        step = _split(saved(next_blocks(rows, at, width).join(open_, "id")))
         done.append(step.where("ended or n = 1").select("id", "gid"))
         at, width = at + width, min(width * GROWTH, WIDEST)
 
@@ -66,19 +98,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     an id count once (see ``one_row_per_id``). Other columns are not read.
     """
     rows = one_row_per_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
-    texts = rows.select("id", "text", without_blanks(F.col("text")).cast("binary").alias("norm"))
-    # One pass over the texts for all that is needed of them but the later blocks.
-    info = saved(
-        texts.select(
-            "id",
-            F.char_length("text").alias("n_chars"),
-            F.sha2("norm", 256).alias("text_sha256"),
-            F.substring(F.col("norm"), 1, FIRST).alias("block"),
-            (F.octet_length("norm") <= FIRST).alias("ended"),
-        )
-    )
-    members = saved(equal_groups(texts.select("id", "norm"), info).join(info.drop("block", "ended"), "id"))
+    info = saved(first_blocks(rows))
+    members = saved(equal_groups(rows, info).join(info.drop("block", "ended"), "id"))
     best = F.min(F.struct((-F.col("n_chars")).alias("m"), "id")).alias("best")
     groups = members.groupBy("gid").agg(best, F.count(F.lit(1)).alias("group_size"))
     return members.join(groups, "gid").select(
