@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable, Sequence
-from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +32,16 @@ CLEAN: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def land_extracts(
-    spark: SparkSession, inbox: str, landed: str, names: Sequence[str] = tuple(CLEAN), fmt: str = "csv"
+    spark: SparkSession, inbox: str, landed: str, names: Sequence[str] = tuple(CLEAN), fmt: str = "csv",
+    multi_line: bool = False,
 ) -> list[str]:
-    """Clean and land extracts found in ``inbox`` under their names."""
+    """Clean and land extracts found in ``inbox`` under their names.
+
+    A CSV row with too few or too many cells fails the landing; ``multi_line``
+    takes line breaks inside quoted cells as part of them.
+    """
     return [
-        land(CLEAN[name](read_extract(spark, EXTRACTS[name], f"{inbox}/{name}", fmt)), name, landed)
+        land(CLEAN[name](read_extract(spark, EXTRACTS[name], f"{inbox}/{name}", fmt, multi_line, strict=True)), name, landed)
         for name in names
     ]
 
@@ -72,9 +76,6 @@ def run_brands(spark: SparkSession, landed: str, out: str, p: ReportParams, fmt:
                months: Sequence[str] | None = None) -> dict[str, str]:
     """Month reports and all-months tables of every brand, each from one pass."""
     inputs = _tables(spark, landed, "preapprovals", "contracts", "brand_stores", "channels")
-    if months is None:
-        found = brand.report_months(*inputs, replace(p, brand=None))
-        months = [month for month in found if month is not None]
     return reports.write_report(
         {
             "brand_month_reports": brand.brand_month_reports(*inputs, p),
@@ -91,6 +92,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     landing.add_argument("inbox")
     landing.add_argument("landed")
     landing.add_argument("--format", default="csv")
+    landing.add_argument("--multi-line", action="store_true", help="quoted cells may hold line breaks")
     for name in ("scorecard", "brand"):
         job = jobs.add_parser(name)
         job.add_argument("landed")
@@ -107,7 +109,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = build_session()
     if args.job == "land":
-        land_extracts(spark, args.inbox, args.landed, fmt=args.format)
+        land_extracts(spark, args.inbox, args.landed, fmt=args.format, multi_line=args.multi_line)
     elif args.job == "scorecard":
         p = ReportParams(
             as_of=args.as_of, branch=args.branch, excluded=tuple(args.exclude), rank_scope=args.rank_scope

@@ -62,7 +62,7 @@ def clean_contracts(raw: DataFrame) -> DataFrame:
     """
     return raw.withColumns({
         "app_id": _number(raw, "app_id", "bigint"),
-        "manager_id": _number(raw, "manager_id", "int"),
+        "manager_id": _number(raw, "manager_id", "bigint"),
         "overdue_days": _number(raw, "overdue_days", "int"),
         "paid_terms": _number(raw, "paid_terms", "int"),
         "remaining_principal": _number(raw, "remaining_principal", "double"),
@@ -105,7 +105,7 @@ def clean_channels(raw: DataFrame) -> DataFrame:
     return raw.withColumns({
         "owner": strip_parentheses(F.col("owner")),
         "supervisor": strip_parentheses(F.col("supervisor")),
-        "supervisor_id": _number(raw, "supervisor_id", "int"),
+        "supervisor_id": _number(raw, "supervisor_id", "bigint"),
         "open_date": _day(raw, "open_date", dates.parse_ymd),
         "close_date": _day(raw, "close_date", dates.parse_ymd),
     })
@@ -124,4 +124,4 @@ def clean_visits(raw: DataFrame) -> DataFrame:
 
 def clean_roster(raw: DataFrame) -> DataFrame:
     """Staff roster with an integer superior id; names stay as delivered."""
-    return raw.withColumn("superior_id", _number(raw, "superior_id", "int"))
+    return raw.withColumn("superior_id", _number(raw, "superior_id", "bigint"))

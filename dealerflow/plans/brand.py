@@ -155,31 +155,38 @@ def _effective_by_month(
 
 
 def report_months(
-    preapps: DataFrame, contracts: DataFrame, stores: DataFrame, channels: DataFrame, p: ReportParams
+    preapps: DataFrame, contracts: DataFrame, stores: DataFrame, channels: DataFrame, own: str | None
 ) -> list[str | None]:
-    """Months in which a store of the brand has a cell; a bounded driver read.
+    """Months in which a store of the brand ``own`` has a cell; a bounded driver read.
 
     Without a brand: the months of all brands' reports.
     """
-    rows = _effective_by_month(preapps, contracts, p.brand)
-    if p.brand is None:
+    rows = _effective_by_month(preapps, contracts, own)
+    if own is None:
         listed, keys = _stores_of_all(stores, channels), [REPORT_BRAND, "channel_id"]
         rows = _of_own_report(rows)
     else:
-        listed, keys = _stores_of(stores, channels, p.brand), ["channel_id"]
+        listed, keys = _stores_of(stores, channels, own), ["channel_id"]
     months = null_safe_join(rows, listed.select(*keys), keys, "left_semi").select("month").distinct()
     return sorted((row.month for row in months.collect()), key=lambda m: (m is None, m))
 
 
 def _months_by_channel(rows: DataFrame, months: Sequence[str | None]) -> DataFrame:
-    """One row per brand and channel, one column per month: null without a cell."""
-    return rows.groupBy("brand", "channel_id").agg(*[
-        F.sum(F.when(F.col("month").eqNullSafe(F.lit(month)), F.col("eff_cnt")))
-        .alias(NO_MONTH if month is None else month)
+    """One row per brand and channel, one column per month: null without a cell.
+
+    Summed by month first, so that a fact row is looked at once and not once a month.
+    """
+    sums = rows.groupBy("brand", "channel_id", "month").agg(F.sum("eff_cnt").alias("eff_cnt"))
+    return sums.groupBy("brand", "channel_id").agg(*[
+        F.max(F.when(F.col("month").eqNullSafe(F.lit(month)), F.col("eff_cnt"))).alias(_month_name(month))
         for month in months
     ])
 
 
+def _month_name(month: str | None) -> str:
+    return NO_MONTH if month is None else month
+
+
 def brand_all_months(
     preapps: DataFrame,
     contracts: DataFrame,
@@ -197,25 +204,33 @@ def brand_all_months(
     """
     p.need("brand")
     if months is None:
-        months = report_months(preapps, contracts, stores, channels, p)
+        months = report_months(preapps, contracts, stores, channels, p.brand)
     by_channel = _months_by_channel(_effective_by_month(preapps, contracts, p.need("brand")), months)
-    names = [NO_MONTH if month is None else month for month in months]
     listed = _stores_of(stores, channels, p.need("brand"))
     return null_safe_join(listed, by_channel, ["channel_id"]).select(
-        "brand", *STORE_COLUMNS, *[F.col(f"`{name}`") for name in names]
+        "brand", *STORE_COLUMNS, *[F.col(f"`{_month_name(month)}`") for month in months]
     )
 
 
 def brand_all_months_tables(
-    preapps: DataFrame, contracts: DataFrame, stores: DataFrame, channels: DataFrame, months: Sequence[str]
+    preapps: DataFrame,
+    contracts: DataFrame,
+    stores: DataFrame,
+    channels: DataFrame,
+    months: Sequence[str | None] | None = None,
 ) -> DataFrame:
-    """The all-months table of every brand on the store list, from one pass."""
+    """The all-months table of every brand on the store list, from one pass.
+
+    Without ``months`` all months of the data are columns, ``null`` for rows without a month.
+    """
+    if months is None:
+        months = report_months(preapps, contracts, stores, channels, None)
     by_channel = _of_own_report(
         _months_by_channel(_effective_by_month(preapps, contracts), months)
     )
     listed = _stores_of_all(stores, channels)
     return null_safe_join(listed, by_channel, [REPORT_BRAND, "channel_id"]).select(
-        REPORT_BRAND, "brand", *STORE_COLUMNS, *[F.col(f"`{month}`") for month in months]
+        REPORT_BRAND, "brand", *STORE_COLUMNS, *[F.col(f"`{_month_name(month)}`") for month in months]
     )
 
 

@@ -35,6 +35,7 @@ def read_extract(
     fmt: str = "csv",
     multi_line: bool = False,
     named: bool = True,
+    strict: bool = False,
 ) -> DataFrame:
     """The extract's columns by header, in any order, extra columns ignored.
 
@@ -48,6 +49,8 @@ def read_extract(
     reader = spark.read
     if fmt == "csv":
         reader = reader.options(**csv_options(multi_line))
+        if strict:  # a row whose cells don't match the header is an error, not padded
+            reader = reader.options(mode="FAILFAST", columnPruning=False)
     try:
         found = reader.format(fmt).load(path)
     except AnalysisException as error:

@@ -14,10 +14,12 @@ def land(cleaned: DataFrame, name: str, folder: str) -> str:
     Facts are partitioned by month. The rebalance hint brings a month's rows
     together into files of the advisory size and splits a month that is far
     larger than the others; rows are sorted inside files so that date filters
-    skip row groups.
+    skip row groups. The table is replaced as a whole, refreshed rows with it, so
+    the record of files that a refresh has taken is removed.
     """
     path = f"{folder}/{name}"
     month = PARTITION.get(name)
+    _forget_refresh(cleaned.sparkSession, f"{folder}/_progress/{name}")
     if month is None:
         cleaned.write.mode("overwrite").parquet(path)
         return path
@@ -31,6 +33,13 @@ def land(cleaned: DataFrame, name: str, folder: str) -> str:
     return path
 
 
+def _forget_refresh(spark: SparkSession, progress: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(progress).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in (progress, f"{progress}-staged"):
+        files.delete(path(folder), True)
+
+
 def read_landed(spark: SparkSession, like: DataFrame, name: str, folder: str) -> DataFrame:
     """A landed table with the schema of its cleaned form.
 

@@ -27,7 +27,6 @@ PARAMS = ReportParams(
     year=1995,
     cutoff=date(1995, 1, 1),
 )
-MONTHS = [f"1996{m:02d}" for m in range(1, 13)]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 BRANDS = 25
 

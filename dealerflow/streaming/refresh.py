@@ -34,25 +34,55 @@ def extract_stream(spark: SparkSession, extract: Extract, folder: str) -> DataFr
     return CLEAN[extract.name](name_columns(files, extract))
 
 
+def _publish(spark: SparkSession, staged: str, table: str, tag: str) -> None:
+    """Move staged files into the table under names that begin with ``tag``.
+
+    What an earlier try of the same batch has moved goes first, so a batch that is
+    run again leaves every row once.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    for pattern in (f"{table}/{tag}-*", f"{table}/*/{tag}-*"):
+        for old in files.globStatus(path(pattern)) or []:
+            files.delete(old.getPath(), False)
+    files.mkdirs(path(table))
+    found = [f.getPath() for p in (f"{staged}/part-*", f"{staged}/*/part-*") for f in files.globStatus(path(p)) or []]
+    for i, file in enumerate(found):
+        parent = file.getParent().getName()
+        folder = f"{table}/{parent}" if "=" in parent else table
+        files.mkdirs(path(folder))
+        if not files.rename(file, path(f"{folder}/{tag}-{i:05d}.parquet")):
+            raise OSError(f"cannot move {file} into {folder}")
+
+
 def refresh(
     spark: SparkSession, extract: Extract, folder: str, landed: str, checkpoints: str | None = None
 ) -> StreamingQuery:
     """Append the files that arrived since the last refresh; returns when done.
 
-    The record of files taken lies beside the landed table unless ``checkpoints``
-    says otherwise: it is worth exactly as much as the table it describes.
+    Each batch is written beside the table and then moved into it, so the table
+    stays plain Parquet that ``land`` may have written before. The record of files
+    taken lies beside the landed table unless ``checkpoints`` says otherwise: it
+    is worth exactly as much as the table it describes, and landing the extract
+    anew removes it.
     """
     progress = f"{checkpoints or landed + '/_progress'}/{extract.name}"
-    writer = (
+    table = f"{landed}/{extract.name}"
+
+    def append(batch: DataFrame, number: int) -> None:
+        staged = f"{progress}-staged/{number}"
+        writer = batch.write.mode("overwrite")
+        if extract.name in PARTITION:
+            writer = writer.partitionBy(PARTITION[extract.name])
+        writer.parquet(staged)
+        _publish(batch.sparkSession, staged, table, f"refresh{number:08d}")
+
+    query = (
         extract_stream(spark, extract, folder)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{landed}/{extract.name}")
+        .writeStream.foreachBatch(append)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
+        .start()
     )
-    if extract.name in PARTITION:
-        writer = writer.partitionBy(PARTITION[extract.name])
-    query = writer.start()
     query.awaitTermination()
     return query

@@ -13,7 +13,6 @@ KEYS = [
 ]
 STORE = ["channel_id", "store_name", "address", "owner", "supervisor", "channel_status"]
 COUNTS = ["preapp_cnt", "preapp_pass", "apply_cnt", "apply_pass", "eff_cnt"]
-MONTHS = [f"1996{m:02d}" for m in range(1, 13)]
 NOW, BEFORE, LABEL = "199603", "199602", "199602"
 BRAND, EXCLUDED, PARTNER, BRANCH = "Brand#1", "NATION_3", "1-URGENT", "BRANCH_A"
 
@@ -242,12 +241,10 @@ year_rows AS (
   SELECT brand, month, channel_id, CAST(coalesce(sum(eff_cnt), 0) AS BIGINT) AS eff_cnt
   FROM funnel WHERE brand = '{BRAND}' GROUP BY brand, month, channel_id
 ),
-all_months AS (
-  SELECT m.brand, {cols(STORE, "s.")},
-    {", ".join(f"max(CASE WHEN month = '{m}' THEN eff_cnt END) AS " + f'"{m}"' for m in MONTHS)}
-  FROM year_rows m RIGHT JOIN brand_stores s ON m.channel_id IS NOT DISTINCT FROM s.channel_id
+cells AS (
+  SELECT m.brand, {cols(STORE, "s.")}, CASE WHEN m.present THEN coalesce(m.month, 'null') END AS month, eff_cnt
+  FROM (SELECT *, true AS present FROM year_rows) m RIGHT JOIN brand_stores s ON m.channel_id IS NOT DISTINCT FROM s.channel_id
   WHERE s.brand = '{BRAND}'
-  GROUP BY m.brand, {cols(STORE, "s.")}
 )"""
 
 # Every brand's report at once: the brand of the store list chooses the report.
@@ -276,11 +273,10 @@ year_rows AS (
   SELECT brand, month, channel_id, CAST(coalesce(sum(eff_cnt), 0) AS BIGINT) AS eff_cnt
   FROM funnel GROUP BY brand, month, channel_id
 ),
-all_months AS (
-  SELECT s.brand AS report_brand, m.brand, {cols(STORE, "s.")},
-    {", ".join(f"max(CASE WHEN month = '{m}' THEN eff_cnt END) AS " + f'"{m}"' for m in MONTHS)}
-  FROM brand_stores s LEFT JOIN year_rows m ON m.brand = s.brand AND m.channel_id IS NOT DISTINCT FROM s.channel_id
-  GROUP BY s.brand, m.brand, {cols(STORE, "s.")}
+cells AS (
+  SELECT s.brand AS report_brand, m.brand, {cols(STORE, "s.")}, CASE WHEN m.present THEN coalesce(m.month, 'null') END AS month, eff_cnt
+  FROM brand_stores s LEFT JOIN (SELECT *, true AS present FROM year_rows) m
+    ON m.brand = s.brand AND m.channel_id IS NOT DISTINCT FROM s.channel_id
 )"""
 
 YEAR_ACTIVE = """
@@ -456,18 +452,25 @@ FROM events""",
         *_F, *_S, MONTH_DETAIL, select="SELECT * FROM detail UNION ALL BY NAME SELECT * FROM total"
     ),
     "brand_month_total": with_(*_F, *_S, MONTH_DETAIL, select="SELECT * FROM total"),
-    "brand_all_months": with_(*_F, *_S, ALL_MONTHS, select="SELECT * FROM all_months"),
+    "brand_all_months": with_(
+        *_F, *_S, ALL_MONTHS, select=f"PIVOT cells ON month USING max(eff_cnt) GROUP BY brand, {cols(STORE)}"
+    ),
     "brand_month_levels": with_(
         *_F, *_S, ALL_MONTHS,
-        select=f"SELECT brand, {cols(STORE)}, " + ", ".join(
-            f'CAST(CASE WHEN "{m}" <= 1 THEN 1 WHEN "{m}" <= 2 THEN 2 WHEN "{m}" > 2 THEN 3 END AS INTEGER) AS "{m}"'
-            for m in MONTHS
-        ) + " FROM all_months",
+        # The level of every month; the count of what has no month stays as it is.
+        """levels AS (
+  SELECT * REPLACE (CASE WHEN month = 'null' THEN eff_cnt WHEN eff_cnt <= 1 THEN 1 WHEN eff_cnt <= 2 THEN 2
+    WHEN eff_cnt > 2 THEN 3 END AS eff_cnt) FROM cells
+)""",
+        select=f"PIVOT levels ON month USING CAST(max(eff_cnt) AS INTEGER) GROUP BY brand, {cols(STORE)}",
     ),
     "brand_month_reports": with_(
         *_F, *_S, EVERY_MONTH_DETAIL, select="SELECT * FROM detail UNION ALL BY NAME SELECT * FROM total"
     ),
-    "brand_all_months_tables": with_(*_F, *_S, EVERY_ALL_MONTHS, select="SELECT * FROM all_months"),
+    "brand_all_months_tables": with_(
+        *_F, *_S, EVERY_ALL_MONTHS,
+        select=f"PIVOT cells ON month USING max(eff_cnt) GROUP BY report_brand, brand, {cols(STORE)}",
+    ),
     "active_channels_year": with_(*_C, YEAR_ACTIVE, select="SELECT * FROM year_active"),
     "active_store_score": with_(*_C, YEAR_ACTIVE, ACTIVE, select="SELECT * FROM active"),
     "team_headcount": with_(ROSTER, HEADS, select="SELECT * FROM heads"),

@@ -1,5 +1,6 @@
 """The batch jobs from CSV extracts to report folders."""
 
+import pytest
 from dataclasses import replace
 
 from compare import duck, duck_rows, spark_rows
@@ -31,8 +32,8 @@ def test_from_extracts_to_reports(spark, sf_dir, tmp_path):
         write_csv(table, schemas.EXTRACTS[name], f"{inbox}/{name}")
     assert len(jobs.land_extracts(spark, inbox, landed)) == 6
     card = jobs.run_scorecard(spark, landed, out, src.PARAMS)
-    months = jobs.run_brand(spark, landed, out, src.PARAMS, months=src.MONTHS)
-    months |= jobs.run_brands(spark, landed, out, src.PARAMS, months=src.MONTHS)
+    months = jobs.run_brand(spark, landed, out, src.PARAMS)
+    months |= jobs.run_brands(spark, landed, out, src.PARAMS)
     con = duck(sf_dir)
     for path, query in (
         (card["scorecard"], "scorecard"), (card["overdue_detail"], "overdue_detail"),
@@ -81,3 +82,16 @@ def test_command_line(spark, sf_dir, tmp_path):
     one = spark.read.parquet(f"{out}/brand=Brand#1/{day}/brand_month_report")
     every = spark.read.parquet(f"{out}/{day}/brand_month_reports").filter("report_brand = 'Brand#1'")
     assert spark_rows(every.drop("report_brand")) == spark_rows(one)
+
+
+def test_line_breaks_in_cells_and_malformed_rows(spark, tmp_path):
+    inbox = tmp_path / "inbox" / "brand_stores"
+    inbox.mkdir(parents=True)
+    headers = list(jobs.EXTRACTS["brand_stores"].headers)
+    cells = ["A", "name", '"floor 1\nfloor 2"', *["x"] * (len(headers) - 3)]
+    (inbox / "part.csv").write_text(",".join(headers) + "\n" + ",".join(cells) + "\n", encoding="utf-8")
+    one = ["brand_stores"]
+    jobs.land_extracts(spark, str(tmp_path / "inbox"), str(tmp_path / "landed"), one, multi_line=True)
+    assert spark.read.parquet(str(tmp_path / "landed" / "brand_stores")).count() == 1
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|Malformed"):
+        jobs.land_extracts(spark, str(tmp_path / "inbox"), str(tmp_path / "other"), one)

@@ -140,7 +140,7 @@ def test_cleaned_types(cleaned):
     for name in ("apply_date", "eff_date", "preapp_date", "open_date", "close_date"):
         assert kinds[name] == "date"
     assert kinds["visit_start"] == kinds["visit_end"] == "timestamp_ntz"
-    assert (kinds["app_id"], kinds["fin_amt"], kinds["manager_id"]) == ("bigint", "double", "int")
+    assert (kinds["app_id"], kinds["fin_amt"], kinds["manager_id"]) == ("bigint", "double", "bigint")
     assert (kinds["eff_month"], kinds["preapp_month"], kinds["visit_minutes"]) == ("int", "int", "double")
 
 
@@ -188,7 +188,7 @@ def test_landed_tables_are_pruned_by_month(landed):
     plan = executed(kpis.partner_score(landed["contracts"], src.PARAMS))
     assert "PartitionFilters: [isnotnull(eff_month" in plan
     assert "GreaterThanOrEqual(eff_date,1996-03-01)" in plan
-    assert "ReadSchema: struct<eff_date:date,manager_id:int,manager:string,partner:string,vehicle_type:string>" in plan
+    assert "ReadSchema: struct<eff_date:date,manager_id:bigint,manager:string,partner:string,vehicle_type:string>" in plan
 
 
 def test_rerun_replaces_the_landed_table(spark, sf_dir, tmp_path):
@@ -214,6 +214,29 @@ def test_refresh_takes_only_new_files(spark, landed_csv, cleaned, tmp_path):
     assert cleaned["contracts"].exceptAll(again).isEmpty()
 
 
+def test_refresh_and_landing_keep_every_row_once(spark, landed_csv, cleaned, tmp_path):
+    inbox, out = tmp_path / "inbox", str(tmp_path / "out")
+    raw = spark.read.option("header", True).option("nullValue", "\u0001").csv(landed_csv["contracts"])
+    raw.limit(10).write.options(header=True, escape='"').csv(str(inbox))
+    n = cleaned["contracts"].count()
+
+    def rows():
+        return landing.read_landed(spark, cleaned["contracts"], "contracts", out).count()
+
+    landing.land(cleaned["contracts"], "contracts", out)
+    for expected in (n + 10, n + 10):  # the second refresh finds nothing new
+        refresh.refresh(spark, schemas.CONTRACTS, str(inbox), out)
+        assert rows() == expected
+    for _ in range(2):  # the same batch again
+        cleaned["contracts"].limit(10).write.mode("overwrite").partitionBy("eff_month").parquet(f"{out}/again")
+        refresh._publish(spark, f"{out}/again", f"{out}/contracts", "refresh00000000")
+        assert rows() == n + 10
+    landing.land(cleaned["contracts"], "contracts", out)
+    assert rows() == n
+    refresh.refresh(spark, schemas.CONTRACTS, str(inbox), out)
+    assert rows() == n + 10
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_report_tables_by_run_date(spark, landed, sf_dir, tmp_path, fmt):
     p = src.PARAMS
@@ -236,7 +259,7 @@ def test_exports_are_sorted(spark, landed, sf_dir, tmp_path):
     inputs = (landed["preapprovals"], landed["contracts"], src.stores(spark, sf_dir), landed["channels"])
     paths = reports.export_scorecard(card, detail, str(tmp_path), p)
     paths |= reports.export_brand(
-        brand.brand_month_report(*inputs, p), brand.brand_all_months(*inputs, p, src.MONTHS), str(tmp_path), p
+        brand.brand_month_report(*inputs, p), brand.brand_all_months(*inputs, p, [f"1996{m:02d}" for m in range(1, 13)]), str(tmp_path), p
     )
 
     def in_file_order(name, column):
@@ -256,7 +279,7 @@ def test_exports_are_sorted(spark, landed, sf_dir, tmp_path):
 def test_brand_export_holds_the_all_months_table(spark, landed, sf_dir, tmp_path):
     inputs = (landed["preapprovals"], landed["contracts"], src.stores(spark, sf_dir), landed["channels"])
     p = replace(src.PARAMS, brand="Brand#2")
-    months = brand.brand_all_months(*inputs, p, src.MONTHS)
+    months = brand.brand_all_months(*inputs, p, [f"1996{m:02d}" for m in range(1, 13)])
     paths = reports.export_brand(brand.brand_month_report(*inputs, p), months, str(tmp_path), p)
     assert spark.read.parquet(paths["brand_all_months"]).columns == months.columns
     assert spark.read.parquet(paths["brand_month_report"]).count() > 0
