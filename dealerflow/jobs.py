@@ -1,7 +1,8 @@
 """Batch jobs: landed extracts in, dated report tables out.
 
 ``land`` cleans the five extracts and the store list into Parquet tables;
-``scorecard`` and ``brand`` write the two report families from those tables.
+``scorecard`` and ``brand`` write the two report families from those tables;
+``refresh`` appends newly arrived files to the landed tables.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dealerflow.functions import vocabulary as words
 from dealerflow.operators import cleaning
 from dealerflow.params import ReportParams
 from dealerflow.plans import brand, scorecard
@@ -20,6 +22,7 @@ from dealerflow.sinks import reports
 from dealerflow.sources.extracts import read_extract
 from dealerflow.sources.landing import land
 from dealerflow.sources.schemas import EXTRACTS
+from dealerflow.streaming.refresh import refresh
 
 CLEAN: dict[str, Callable[[DataFrame], DataFrame]] = {
     "contracts": cleaning.clean_contracts,
@@ -93,6 +96,10 @@ def main(argv: Sequence[str] | None = None) -> None:
     landing.add_argument("landed")
     landing.add_argument("--format", default="csv")
     landing.add_argument("--multi-line", action="store_true", help="quoted cells may hold line breaks")
+    again = jobs.add_parser("refresh")
+    again.add_argument("inbox")
+    again.add_argument("landed")
+    again.add_argument("--extract", action="append", choices=sorted(set(CLEAN) - {"brand_stores"}), required=True)
     for name in ("scorecard", "brand"):
         job = jobs.add_parser(name)
         job.add_argument("landed")
@@ -104,20 +111,36 @@ def main(argv: Sequence[str] | None = None) -> None:
             job.add_argument("--exclude", action="append", default=[])
             job.add_argument("--rank-scope", default="manager")
             job.add_argument("--customer-name", default="keep")
+            job.add_argument("--prev", default="minus30", help="month before: minus30 or add_months")
+            job.add_argument("--year", type=int, help="year whose active channels are the base")
+            job.add_argument("--cutoff", type=date.fromisoformat, help="first day of fast-track contracts")
+            job.add_argument("--partner", default=words.PARTNER_PROJECT)
+            job.add_argument("--blank-is-missing", action="store_true")
         else:
             job.add_argument("--brand", help="one brand; all brands of the store list if left out")
+            job.add_argument("--label-month", help="month shown in total rows")
+            job.add_argument("--month", action="append", help="months of the all-months table; all if left out")
+    for job in jobs.choices.values():
+        job.add_argument("--shuffle-bytes", type=int, help="expected size of the largest shuffle")
+        job.add_argument("--cores", type=int, default=8, help="cores that a shuffle should keep busy")
     args = parser.parse_args(argv)
-    spark = build_session()
+    spark = build_session(shuffle_bytes=args.shuffle_bytes, cores=args.cores)
     if args.job == "land":
         land_extracts(spark, args.inbox, args.landed, fmt=args.format, multi_line=args.multi_line)
+    elif args.job == "refresh":
+        for name in args.extract:
+            refresh(spark, EXTRACTS[name], f"{args.inbox}/{name}", args.landed)
     elif args.job == "scorecard":
         p = ReportParams(
-            as_of=args.as_of, branch=args.branch, excluded=tuple(args.exclude), rank_scope=args.rank_scope
+            as_of=args.as_of, branch=args.branch, excluded=tuple(args.exclude), rank_scope=args.rank_scope,
+            prev=args.prev, year=args.year, cutoff=args.cutoff, partner=args.partner,
+            blank_is_missing=args.blank_is_missing,
         )
         run_scorecard(spark, args.landed, args.out, p, args.format, args.customer_name)
     else:
         run = run_brand if args.brand else run_brands
-        run(spark, args.landed, args.out, ReportParams(as_of=args.as_of, brand=args.brand), args.format)
+        p = ReportParams(as_of=args.as_of, brand=args.brand, label_month=args.label_month)
+        run(spark, args.landed, args.out, p, args.format, args.month)
 
 
 if __name__ == "__main__":

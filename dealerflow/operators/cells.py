@@ -27,7 +27,7 @@ FUNNEL_KEYS = [
 ]
 _ROW_KEYS = FUNNEL_KEYS[1:]
 _PREAPP_KEYS = [key for key in _ROW_KEYS if key != "prod_class"]
-# Shares of the pre-approvals without an application id.
+# Shares of the pre-approvals without an application id, at least.
 SPREAD = 64
 
 PREAPP, APPLY, EFFECTIVE = "preapp", "apply", "effective"
@@ -40,41 +40,58 @@ def contract_lookup(contracts: DataFrame) -> DataFrame:
     )
 
 
-def enrich_preapprovals(preapps: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Pre-approvals with their contract columns, one row per matching contract.
-
-    The row-level table. The funnel itself takes ``weigh_preapprovals``, which
-    does not repeat rows.
-    """
-    return null_safe_join(preapps, contract_lookup(contracts), ["app_id"])
+def shares_of(preapps: DataFrame) -> int:
+    """Shares of the pre-approvals without an application id: at least one per shuffle partition."""
+    conf = preapps.sparkSession.conf
+    number = conf.get("spark.sql.shuffle.partitions")
+    return max(SPREAD, int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", number)))
 
 
-def weigh_preapprovals(preapps: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Pre-approvals by product class, with ``copies`` in place of repeated rows.
+def _counted_join(
+    preapps: DataFrame, contracts: DataFrame, columns: list[str], shares: int | None
+) -> DataFrame:
+    """Pre-approvals with the distinct ``columns`` of their contracts and how often each occurs.
 
-    Counting the contracts of an application per class before the join keeps an
-    application id with many contracts from multiplying rows: the join sees each
-    (id, class) once and the counts are multiplied later.
+    Counting the contracts of an application before the join keeps an application
+    id with many contracts from multiplying rows.
 
     Pre-approvals that never got an application id share one key. They are
-    spread over ``SPREAD`` shares by their other columns, and the few classes of
-    contracts without an id are repeated for each share. Any other hot id is
-    left to the adaptive skew split, which a left join allows on this side.
+    spread over ``shares`` by their other columns, and what the contracts without
+    an id have is repeated for each share. Any other hot id is left to the
+    adaptive skew split, which a left join allows on this side.
     """
+    shares = shares or shares_of(preapps)
     no_id = F.col("app_id").isNull()
-    share = F.pmod(F.xxhash64("preapp_date", *_PREAPP_KEYS), F.lit(SPREAD)).cast("int")
-    shares = F.when(no_id, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    classes = (
+    share = F.pmod(F.xxhash64("preapp_date", *_PREAPP_KEYS), F.lit(shares)).cast("int")
+    every = F.when(no_id, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))
+    counted = (
         contract_lookup(contracts)
-        .groupBy("app_id", "prod_class")
+        .groupBy("app_id", *columns)
         .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("share", F.explode(shares))
+        .withColumn("share", F.explode(every))
     )
     spread = preapps.withColumn("share", F.when(no_id, share).otherwise(0))
-    joined = null_safe_join(spread, classes, ["app_id", "share"]).drop("share")
+    joined = null_safe_join(spread, counted, ["app_id", "share"]).drop("share")
     return joined.withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint")))
 
 
+def enrich_preapprovals(
+    preapps: DataFrame, contracts: DataFrame, shares: int | None = None
+) -> DataFrame:
+    """Pre-approvals with their contract columns; equal contracts are one row with ``copies``."""
+    return _counted_join(preapps, contracts, ["eff_date", "app_status", "prod_class"], shares)
+
+
+def weigh_preapprovals(
+    preapps: DataFrame, contracts: DataFrame, shares: int | None = None
+) -> DataFrame:
+    """Pre-approvals by product class, with ``copies`` in place of repeated rows.
+
+    The join sees each (id, class) once and the counts are multiplied later.
+    """
+    return _counted_join(preapps, contracts, ["prod_class"], shares)
+
+
 def _passed(result: str) -> Column:
     return F.when(F.col(result) == words.PASS, 1).otherwise(0)
 

@@ -353,15 +353,30 @@ def month_pair(name, test, out):
 
 GROWTH = "(({0}_cur / nullif({0}_prev, 0)) - 1e0) * 100e0"
 
-LCV = month_pair("lcv", "is_lcv = '是' AND vehicle_type = '新车'", "lcv") + f""",
+
+def lcv(within):
+    return month_pair("lcv", "is_lcv = '是' AND vehicle_type = '新车'", "lcv") + f""",
 lcv AS (
   SELECT *, {points("lcv_rank", (20, 15, 10, 5), 0)} AS lcv_score FROM (
-    SELECT *, {ranked("lcv_mom_pct", "DESC", MANAGER, "manager_id")} AS lcv_rank FROM (
+    SELECT *, {ranked("lcv_mom_pct", "DESC", MANAGER, within)} AS lcv_rank FROM (
       SELECT *, {nearest(GROWTH.format("lcv"), 1)} AS lcv_mom_pct FROM lcv_pair
     )
   )
 )"""
 
+
+LCV, LCV_GLOBAL = lcv("manager_id"), lcv("")
+
+PARTNERS_GLOBAL = f"""
+partners AS (
+  SELECT *, {points("partner_rank", (10, 7.5, 5, 2.5), 0)} AS partner_score FROM (
+    SELECT *, {ranked("partner_cur", "DESC", MANAGER)} AS partner_rank FROM (
+      SELECT manager_id, manager, count(*) AS partner_cur FROM contracts
+      WHERE partner = '{PARTNER}' AND vehicle_type = '新车' AND eff_month = {NOW} GROUP BY 1, 2
+    )
+  )
+)"""
+
 PARTNERS = f"""
 partners AS (
   SELECT manager_id, manager, count(*) AS partner_cur, CAST(1 AS INTEGER) AS partner_rank, 10e0 AS partner_score
@@ -433,7 +448,15 @@ SELECT CAST(date_trunc('second', ts) AS VARCHAR) AS visit_start,
   {stripped("event_type || '（' || user_id || '）'")} AS supervisor
 FROM events""",
     "contract_lookup": with_(*_C, LOOKUP, select=f"SELECT {texts('eff_date')} FROM lookup"),
-    "preapp_enriched": with_(*_C, PREAPPS, LOOKUP, ENRICHED, select=f"SELECT {texts('preapp_date', 'apply_date', 'eff_date')} FROM enriched"),
+    "preapp_enriched": with_(
+        *_C, PREAPPS, LOOKUP,
+        """numbered AS (SELECT *, row_number() OVER () AS row_no FROM preapps),
+enriched AS (
+  SELECT numbered.*, lookup.eff_date, lookup.app_status, lookup.prod_class, count(*) AS copies
+  FROM numbered LEFT JOIN lookup ON numbered.app_id IS NOT DISTINCT FROM lookup.app_id GROUP BY ALL
+)""",
+        select=f"SELECT {texts('preapp_date', 'apply_date', 'eff_date').replace('*', '* EXCLUDE (row_no)', 1)} FROM enriched",
+    ),
     "preapp_weighted": with_(
         *_C, PREAPPS, LOOKUP, ENRICHED, WEIGHTED, select=f"SELECT {texts('preapp_date', 'apply_date')} FROM weighted"
     ),
@@ -479,6 +502,8 @@ FROM events""",
     "overdue_score": with_(*_C, FAST, OVERDUE, select="SELECT * FROM overdue"),
     "lcv_score": with_(*_C, LCV, select="SELECT * FROM lcv"),
     "partner_score": with_(*_C, PARTNERS, select="SELECT * FROM partners"),
+    "lcv_score_global": with_(*_C, LCV_GLOBAL, select="SELECT * FROM lcv"),
+    "partner_score_global": with_(*_C, PARTNERS_GLOBAL, select="SELECT * FROM partners"),
     "used_small_score": with_(*_C, USED, select="SELECT * FROM used"),
     "scorecard": with_(*_K, select="SELECT * FROM card"),
     "scorecard_top4": with_(*_K, select="SELECT * FROM card ORDER BY manager_id NULLS LAST, manager NULLS LAST LIMIT 4"),

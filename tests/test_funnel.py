@@ -51,6 +51,7 @@ def sum_or_missing(x):
 def funnel_by_joins(preapps, contracts):
     """The same measures from row-level enrichment and two full outer joins."""
     rows = cells.enrich_preapprovals(preapps, contracts)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     label = lambda name: F.col(name).cast("string").alias("month")
     rest = cells.FUNNEL_KEYS[1:]
     pre = rows.select(label("preapp_month"), *rest, "preapp_result").groupBy(*cells.FUNNEL_KEYS).agg(
@@ -109,7 +110,19 @@ def test_repeated_contracts_repeat_the_preapproval(spark):
         {"prod_class": None, "preapp_cnt": 1}, {"prod_class": "p", "preapp_cnt": 2},
         {"prod_class": "q", "preapp_cnt": 1},
     ]
-    assert cells.enrich_preapprovals(preapps, contracts).count() == 4
+    rows = cells.enrich_preapprovals(preapps, contracts)
+    assert dicts(rows, "app_id", "prod_class", "copies") == [
+        {"app_id": 1, "prod_class": "p", "copies": 2}, {"app_id": 1, "prod_class": "q", "copies": 1},
+        {"app_id": 9, "prod_class": None, "copies": 1},
+    ]
+
+
+def test_rows_of_a_shared_id_follow_the_input(spark):
+    for key in (None, 7):
+        contracts = frame(spark, "contract", *[{"app_id": key, "prod_class": "p"}] * 20)
+        preapps = frame(spark, "preapp", *[{"app_id": key}] * 30)
+        for rows in (cells.enrich_preapprovals(preapps, contracts), cells.weigh_preapprovals(preapps, contracts, shares=3)):
+            assert [r.copies for r in rows.collect()] == [20] * 30
 
 
 def test_missing_application_ids_match_each_other(spark):

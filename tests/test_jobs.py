@@ -82,6 +82,17 @@ def test_command_line(spark, sf_dir, tmp_path):
     one = spark.read.parquet(f"{out}/brand=Brand#1/{day}/brand_month_report")
     every = spark.read.parquet(f"{out}/{day}/brand_month_reports").filter("report_brand = 'Brand#1'")
     assert spark_rows(every.drop("report_brand")) == spark_rows(one)
+    jobs.main(["brand", landed, f"{out}/chosen", "--as-of", "1996-03-15", "--brand", "Brand#1", "--label-month", "total",
+               "--month", "199603", "--shuffle-bytes", str(64 * MIB)])
+    day = f"{out}/chosen/brand=Brand#1/{day}"
+    assert brand.month_columns(spark.read.parquet(f"{day}/brand_all_months")) == ["199603"]
+    assert not spark.read.parquet(f"{day}/brand_month_report").filter("month = 'total'").isEmpty()
+    jobs.main(["scorecard", landed, f"{out}/late", "--as-of", "1996-03-15", "--branch", "BRANCH_A", "--cutoff", "2030-01-01",
+               "--prev", "add_months", "--year", "1995", "--partner", "5-LOW", "--blank-is-missing"])
+    assert spark.read.parquet(f"{out}/late/run_date=1996-03-15/overdue_detail").isEmpty()
+    before = spark.read.parquet(f"{landed}/visits").count()
+    jobs.main(["refresh", inbox, landed, "--extract", "visits"])
+    assert spark.read.parquet(f"{landed}/visits").count() == 2 * before
 
 
 def test_line_breaks_in_cells_and_malformed_rows(spark, tmp_path):
