@@ -186,6 +186,14 @@ def test_near_duplicates(shipped, rows):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_components_of_long_chains(shipped):
+    chain = [(k, k + 1) for k in range(1, 300)] + [(2 * k, 2 * k + 2) for k in range(500, 600)] + [(900, 900)]
+    links = shipped.createDataFrame(chain, "a long, b long")
+    got = {r.id: r.component for r in components.components(links).collect()}
+    assert got == {**dict.fromkeys(range(1, 301), 1), **dict.fromkeys(range(1000, 1201, 2), 1000)}
+    assert components.components(links.limit(0)).isEmpty()
+
+
 def test_components(shipped):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, 2000 + k) for k in range(1, 200)]
