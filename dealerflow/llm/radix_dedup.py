@@ -3,13 +3,20 @@
 All documents start in one group. Each round splits every open group by the next
 block of bytes of its texts. A group with one document left is settled, and so
 is a group whose texts end in the block: they agreed in every byte so far, so
-they are equal, and no digest is involved. Blocks grow eightfold from round to
-round, so the number of rounds follows the logarithm of the longest text that
-still has company, and each byte is shuffled once.
+they are equal, and no digest is involved. A text's length is written in front
+of it, so texts of different lengths part in the first round. Blocks grow
+eightfold from round to round, so the number of rounds follows the logarithm of
+the longest text that still has company.
+
+The texts are not moved to learn which of them are still open: the heads of open
+groups set bits in a map of fixed size, and a text whose bit is not set sends no
+block. A map that fills up lets blocks of settled texts through, which the join
+with the open documents removes; it never keeps one back.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import sha256
@@ -24,6 +31,8 @@ from dealerflow.llm.common import one_row_per_id, saved, text_chunks
 #: Bytes of the first block, growth per round, and the widest block.
 FIRST, GROWTH, WIDEST = 64, 8, 1 << 20
 BLANKS = b"\t\n\x0b\x0c\r "
+#: Bits of the map of open heads: 1 MB for the driver and each executor, at any size of the table.
+BITS = 1 << 23
 
 
 def _bytes(raw: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
@@ -32,28 +41,55 @@ def _bytes(raw: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
         yield raw[a:b].tobytes().translate(None, BLANKS)
 
 
+def _head(text: bytes) -> bytes:
+    """A text's first block: its length in eight bytes, then its first bytes."""
+    return len(text).to_bytes(8, "big") + text[:FIRST]
+
+
+def _slot(head: bytes) -> int:
+    return zlib.crc32(head) % BITS
+
+
 def first_blocks(rows: DataFrame) -> DataFrame:
-    """id, code points and digest of the text, first block and whether the text ends in it."""
+    """id, code points and digest of the text, first block, its place in the map, and whether the text ends in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in text_chunks(batches):
             starts = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
             chars = np.diff(starts[offsets])
-            found = [(sha256(t).hexdigest(), t[:FIRST], len(t) <= FIRST) for t in _bytes(raw, offsets)]
-            digests, blocks, ended = zip(*found, strict=True)
-            arrays = [pa.array(digests), pa.array(blocks, pa.binary()), pa.array(ended)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chars), *arrays], ["id", "n_chars", "text_sha256", "block", "ended"])
+            found = [(sha256(t).hexdigest(), head := _head(t), _slot(head), len(t) <= FIRST) for t in _bytes(raw, offsets)]
+            digests, blocks, slots, ended = zip(*found, strict=True)
+            arrays = [pa.array(digests), pa.array(blocks, pa.binary()), pa.array(slots, pa.int64()), pa.array(ended)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chars), *arrays], ["id", "n_chars", "text_sha256", "block", "slot", "ended"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_chars bigint, text_sha256 string, block binary, ended boolean")
+    return rows.mapInArrow(run, f"id {kind}, n_chars bigint, text_sha256 string, block binary, slot bigint, ended boolean")
 
 
-def next_blocks(rows: DataFrame, at: int, width: int) -> DataFrame:
-    """id, the block of ``width`` bytes from ``at`` and whether the text ends in it, of all texts that reach it."""
+def open_map(open_: DataFrame) -> np.ndarray:
+    """A bit for the head of every open document, ``BITS`` in all, built from partial maps."""
+    bits = np.zeros(BITS // 8, np.uint8)
+    place = F.col("slot") + 1  # bucket 1 begins with place 1
+    part = F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("part")
+    for at, piece in open_.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(part).toLocalIterator():
+        first = (at - 1) * len(piece)
+        bits[first : first + len(piece)] |= np.frombuffer(piece, np.uint8)
+    return bits
+
+
+def next_blocks(rows: DataFrame, at: int, width: int, bits: np.ndarray) -> DataFrame:
+    """id, the block of ``width`` bytes from ``at`` and whether the text ends in it, of texts that reach it with their bit set."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)  # BITS / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+
+        def is_open(text: bytes) -> bool:
+            slot = _slot(_head(text))
+            return len(text) > at and bool(known[slot >> 3] >> (slot & 7) & 1)
+
         for part, raw, offsets in text_chunks(batches):
-            found = [(i, t[at : at + width], len(t) <= at + width) for i, t in enumerate(_bytes(raw, offsets)) if len(t) > at]
+            found = [(i, t[at : at + width], len(t) <= at + width) for i, t in enumerate(_bytes(raw, offsets)) if is_open(t)]
             if found:
                 place, blocks, ended = zip(*found, strict=True)
                 arrays = [part.column(0).take(pa.array(place)), pa.array(blocks, pa.binary()), pa.array(ended)]
@@ -72,19 +108,19 @@ def _split(members: DataFrame) -> DataFrame:
     keys = ["gid", "block", "ended"]
     groups = members.groupBy(*keys).agg(F.min("id").alias("new_gid"), F.count(F.lit(1)).alias("n"))
     joined = members.join(groups, keys)
-    return saved(joined.select("id", F.col("new_gid").alias("gid"), "ended", "n"))
+    return saved(joined.select("id", F.col("new_gid").alias("gid"), "slot", "ended", "n"))
 
 
 def equal_groups(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """``id`` and ``gid`` of every row of ``rows`` (id, text); ``heads`` has the first blocks."""
-    step = _split(heads.select("id", F.lit(0).alias("gid"), "block", "ended"))
+    step = _split(heads.select("id", F.lit(0).alias("gid"), "block", "slot", "ended"))
     done = [step.where("ended or n = 1").select("id", "gid")]
     at, width = FIRST, FIRST * GROWTH
     while True:
-        open_ = step.where("not ended and n > 1").select("id", "gid")
+        open_ = step.where("not ended and n > 1").select("id", "gid", "slot")
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        step = _split(saved(next_blocks(rows, at, width).join(open_, "id")))
+        step = _split(saved(next_blocks(rows, at, width, open_map(open_)).join(open_, "id")))
         done.append(step.where("ended or n = 1").select("id", "gid"))
         at, width = at + width, min(width * GROWTH, WIDEST)
 
@@ -99,7 +135,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = one_row_per_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     info = saved(first_blocks(rows))
-    members = saved(equal_groups(rows, info).join(info.drop("block", "ended"), "id"))
+    members = saved(equal_groups(rows, info).join(info.drop("block", "slot", "ended"), "id"))
     best = F.min(F.struct((-F.col("n_chars")).alias("m"), "id")).alias("best")
     groups = members.groupBy("gid").agg(best, F.count(F.lit(1)).alias("group_size"))
     return members.join(groups, "gid").select(

@@ -240,6 +240,25 @@ def test_exact_duplicates(shipped):
     assert got[10] == (10, 1) and got[11] == (11, 1) and len(got) == 17
 
 
+def test_exact_duplicates_of_long_texts_with_equal_heads(shipped):
+    heads = ["h" * 64, "h" * 63 + "g"]
+    texts = [h + m * n + e for h in heads for m in "ab" for n in (0, 511, 512, 5000, 40000) for e in ("x", "y")]
+    rows = [(k * 1000 + i, t if k else " ".join([t[:70], t[70:]]), "s") for k in range(3) for i, t in enumerate(texts)]
+    plain = collections.defaultdict(list)
+    for i, t, _ in rows:
+        plain[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i))
+    want = {i: (min(group)[1], len(group)) for group in plain.values() for _, i in group}
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in radix_dedup.exact_duplicates(table(shipped, rows)).collect()}
+    assert got == want
+
+
+def test_map_of_open_heads(shipped):
+    slots = [0, 7, 8, 32767, 32768, 65535, 65536, radix_dedup.BITS - 1]
+    bits = radix_dedup.open_map(shipped.createDataFrame([(s,) for s in slots], "slot long"))
+    assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == slots
+    assert not radix_dedup.open_map(shipped.createDataFrame([], "slot long")).any()
+
+
 def test_mixing(shipped):
     rows = [(i, "w " * (1 + i % 50), "abc"[i % 3] if i % 7 else None) for i in range(3000)] + [(9999, None, "z")]
     got = mixing.mix_to_targets(table(shipped, rows)).collect()
