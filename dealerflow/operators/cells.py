@@ -11,6 +11,7 @@ keys together, and a measure stays null where its kind has no row.
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,15 @@ def _counted_join(
     return joined.withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint")))
 
 
+def of_applications(contracts: DataFrame, preapps: DataFrame) -> DataFrame:
+    """The contracts that some pre-approval belongs to, a missing id to a missing id.
+
+    For a short list of pre-approvals: their distinct ids are broadcast if the
+    planner finds them small, and else the contracts are reduced in one shuffle.
+    """
+    return null_safe_join(contracts, preapps.select("app_id").distinct(), ["app_id"], "left_semi")
+
+
 def enrich_preapprovals(
     preapps: DataFrame, contracts: DataFrame, shares: int | None = None
 ) -> DataFrame:
@@ -149,30 +159,21 @@ def preapproval_rows(
 ) -> DataFrame:
     """Cell rows of the pre-approvals, one per kind.
 
-    Over all months both kinds come out of one scan and one join: each joined
-    row is turned into a row per kind. For one month each kind filters its own
-    date before the join, so that only that month is read and shuffled.
+    All kinds come out of one scan and one join: each joined row is turned into a
+    row per kind. For one month, only pre-approvals with a date in it are read,
+    and of the contracts only theirs are counted and joined.
     """
     fields = {PREAPP: _preapp_fields, APPLY: _apply_fields}
-    dates = {PREAPP: "preapp", APPLY: "apply"}
-
-    def project(source: DataFrame, kind: str) -> DataFrame:
-        return weigh_preapprovals(source, contracts).select(
-            *_ROW_KEYS, *[expr.alias(name) for name, expr in fields[kind]().items()]
-        )
-
     if month is not None:
-        return _stack([
-            project(
-                preapps.filter(
-                    in_month(F.col(f"{dates[k]}_month"), F.col(f"{dates[k]}_date"), month)
-                ),
-                k,
-            )
-            for k in kinds
-        ])
+        preapps = preapps.filter(reduce(or_, [
+            in_month(F.col(f"{k}_month"), F.col(f"{k}_date"), month) for k in kinds
+        ]))
+        contracts = of_applications(contracts, preapps)
+    weighed = weigh_preapprovals(preapps, contracts)
     if len(kinds) == 1:
-        return project(preapps, kinds[0])
+        return weighed.select(
+            *_ROW_KEYS, *[expr.alias(name) for name, expr in fields[kinds[0]]().items()]
+        )
 
     names = ["month", *_MEASURES[PREAPP], *_MEASURES[APPLY]]
 
@@ -183,9 +184,8 @@ def preapproval_rows(
             for n in names
         ])
 
-    return weigh_preapprovals(preapps, contracts).select(
-        *_ROW_KEYS, F.inline(F.array(*[entry(kind) for kind in kinds]))
-    )
+    rows = weighed.select(*_ROW_KEYS, F.inline(F.array(*[entry(kind) for kind in kinds])))
+    return rows if month is None else rows.filter(F.col("month") == month)
 
 
 def effective_rows(contracts: DataFrame, month: str | None = None) -> DataFrame:
@@ -245,8 +245,8 @@ def stack_kinds(
 ) -> DataFrame:
     """Rows of all three kinds, with the brand and month filters at the scans.
 
-    The contract lookup behind the pre-approvals is not filtered: a
-    pre-approval may belong to a contract of another brand or month.
+    The contract lookup behind the pre-approvals keeps every brand and month, as
+    a pre-approval may belong to a contract of another one.
     """
     own_contracts = contracts
     if brand is not None:

@@ -87,6 +87,21 @@ def test_month_filter_reaches_every_scan(spark, tmp_path):
     assert len(months) == 3 and all("EqualTo(brand,B)" in p for p in months)
 
 
+def test_month_lookup_is_reduced_to_the_month_before_it_is_counted(spark, tmp_path, conf):
+    paths = {}
+    for kind in ("preapp", "contract"):
+        frame(spark, kind, {}, {}).write.parquet(str(tmp_path / kind))
+        paths[kind] = spark.read.parquet(str(tmp_path / kind))
+    conf(adaptive__enabled="false")
+    plan = explain(funnel.funnel(paths["preapp"], paths["contract"], None, "202503"), "simple")
+    counted = plan[plan.index("LeftOuter"):]
+    assert counted.index("HashAggregate") < counted.index("LeftSemi")
+    # Broadcast ids: the contracts are not shuffled before they are reduced and counted.
+    reduced = counted[counted.index("LeftSemi"):]
+    assert "BroadcastHashJoin" in counted[: counted.index("LeftSemi") + 1]
+    assert "Exchange hashpartitioning" not in reduced[: reduced.index("FileScan")]
+
+
 def test_report_and_total_share_one_shuffle(spark, sf_dir, conf):
     conf(adaptive__enabled="false")
     plan = explain(entry.queries()["brand_month_report"](spark, sf_dir), "simple")
