@@ -1,7 +1,13 @@
 """From raw documents to packed training sequences: five stages, each a corpus operator.
 
 Every stage works on all that the one before kept. All but the last return the
-columns of documents; the last returns the pieces of packed sequences.
+columns of documents, from the first on with ``row_key``; the last returns the
+pieces of packed sequences.
+
+Rows are judged, not ids: the first stage numbers the rows, and the stages after
+it run on that number, so a null id or an id that repeats is a value like any
+other. A stage called on its own, on a table without ``row_key``, goes by
+``doc_id`` under its operator's rule: rows without id leave, an id counts once.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealerflow.llm import mixing, ngram_join, packing, quality, radix_dedup
-from dealerflow.llm.common import one_row_per_id, read_table, saved, ship_package
+from dealerflow.llm.common import ROW_KEY, one_row_per_id, read_table, saved, ship_package, with_row_key
 from dealerflow.llm.queries import KEEP_FROM, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,37 +27,45 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose ids are in ``ids``, one row each."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    rows = one_row_per_id(docs, "doc_id", *rest).select(*docs.columns)
-    return rows.join(ids, "doc_id", "left_semi")
+def _key(docs: DataFrame) -> str:
+    return ROW_KEY if ROW_KEY in docs.columns else "doc_id"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """One row per key; nothing is left out where the rows are numbered."""
+    key = _key(docs)
+    return one_row_per_id(docs, key, *(c for c in docs.columns if c != key)).select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject, every row judged on its own."""
+    """Documents that the classifier doesn't reject, every row judged on its own and numbered."""
     ship_package(spark)
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).where(F.col("score") >= KEEP_FROM).select("row.*")
+    return quality.score_documents(with_row_key(docs), model).where(F.col("score") >= KEEP_FROM).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts. Rows without id leave here."""
+    """One document of each group of equal texts."""
     ship_package(spark)
-    return _only(docs, radix_dedup.exact_duplicates(docs).where("kept").select("doc_id"))
+    key = _key(docs)
+    kept = radix_dedup.exact_duplicates(docs, key).where("kept").select(key)
+    return _rows(docs).join(kept, key, "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies."""
+    """The document with the smallest key of each component of near copies."""
     ship_package(spark)
-    return _only(docs, ngram_join.near_duplicates(docs).where("component_id = doc_id").select("doc_id"))
+    key = _key(docs)
+    kept = ngram_join.near_duplicates(docs, key).where(F.col("component_id") == F.col(key)).select(key)
+    return _rows(docs).join(kept, key, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, up to three times."""
     ship_package(spark)
-    copies = mixing.mix_to_targets(docs).where("copies > 0").select("doc_id", "copies")
-    rows = one_row_per_id(docs, "doc_id", *(c for c in docs.columns if c != "doc_id")).join(copies, "doc_id")
+    key = _key(docs)
+    copies = mixing.mix_to_targets(docs, key).where("copies > 0").select(key, "copies")
+    rows = _rows(docs).join(copies, key)
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

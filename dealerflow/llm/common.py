@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once.
 CHUNK = 1 << 21
+#: Column of the number that tells rows apart.
+ROW_KEY = "row_key"
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -69,6 +71,39 @@ def one_row_per_id(docs: DataFrame, id_col: str, *values: str) -> DataFrame:
     return kept.groupBy(id_col).agg(row).select(id_col, *(F.col(f"row.{v}").alias(v) for v in values))
 
 
+def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """All rows and columns with ``row_key``, a whole number of each row's own, in the order of ids.
+
+    Where every row has a whole number of its own as id, that is the key, and only
+    ids are shuffled to find that out. Else all rows are sorted by id (null
+    last) and content, numbered and stored once. Rows alike in every
+    column may swap numbers, so the numbers are the same in every run.
+    """
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        ids = docs.select(F.col(id_col).alias("id")).groupBy("id").count()
+        if ids.where("id is null or count > 1").isEmpty():
+            return docs.withColumn(ROW_KEY, F.col(id_col).cast("bigint"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # A digest spreads rows of one id over tasks, the place in the input those that are alike.
+    content = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    row = docs.select(
+        F.struct(*columns).alias("row"), F.col(f"`{id_col}`").alias("id"), content.alias("content"), F.monotonically_increasing_id().alias("place")
+    )
+    order = [F.col("id").asc_nulls_last(), "content", "place"]
+    row = row.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The upper bits of the number are the task, the lower 33 its rows from 0 on.
+    placed = saved(row.select("row", F.monotonically_increasing_id().alias("at")))
+    task = F.shiftright("at", 33)
+    sizes = sorted(placed.groupBy(task.alias("task")).count().collect())  # a row for each task
+    firsts, first = [], 0
+    for number, n in sizes:
+        firsts.append((number, first))
+        first += n
+    starts = placed.sparkSession.createDataFrame(firsts, "task bigint, first bigint")
+    key = F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("task", task).join(F.broadcast(starts), "task").select("row.*", key.alias(ROW_KEY))
+
+
 def text_chunks(
     batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from compare import assert_same, duck
 from dealerflow.llm import (
-    chat, components, hilbert_ann, license_scan, mixing, ngram_join, oracle, packing, quality, queries, radix_dedup,
+    chat, common, components, hilbert_ann, license_scan, mixing, ngram_join, oracle, packing, quality, queries, radix_dedup,
     recompression, url_filter, words,
 )
 from dealerflow.llm.common import ship_package
@@ -433,3 +433,31 @@ def test_pipeline_stages(shipped, sf_dir):
             assert kept == set(range(1, 18)) - {1, 5, 6}
         if name == "near_dedup":
             assert kept == {i for i, (_, c) in brute_components(edge_rows()).items() if i == c}
+
+
+def test_pipeline_keeps_rows_with_null_and_repeated_ids(shipped, sf_dir, monkeypatch):
+    texts = [" ".join(passage(60, 1000 + k)) for k in range(40)]
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else 100 + k for k in range(40)]
+    rows = [(i, t, "a") for i, t in zip(ids, texts, strict=True)] + [(None, texts[0], "a"), (7, texts[1], "a"), (None, texts[0] + " end", "a")]
+    docs = table(shipped, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    monkeypatch.setattr(corpus_pipeline, "KEEP_FROM", 0.0)
+    expected = {"quality": rows, "exact_dedup": rows[:40] + rows[42:], "near_dedup": rows[:40], "mixing": rows[:40]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.saved(stage(shipped, docs, sf_dir))
+        got = collections.Counter((r.doc_id, r.text) for r in docs.collect())
+        want = collections.Counter((i, t) for i, t, _ in expected[name])
+        if name == "near_dedup":  # of the three near copies of a text any may stay
+            got = collections.Counter((i, t.removesuffix(" end")) for i, t in got.elements())
+        if name == "mixing":
+            got = collections.Counter((i, t.removesuffix(" end")) for i, t in got)
+        assert got == want, name
+
+
+def test_row_keys_are_unique_and_follow_ids(shipped):
+    docs = table(shipped, edge_rows()).select("doc_id", "text", "source").repartition(5)
+    keys = [sorted((r.row_key, r.doc_id, r.text) for r in common.with_row_key(d).collect()) for d in (docs, docs.repartition(3))]
+    assert keys[0] == keys[1] and [k for k, *_ in keys[0]] == list(range(len(edge_rows())))
+    ids = [i for _, i, _ in keys[0]]
+    assert ids == sorted(ids[:-1]) + [None]
+    clean = common.with_row_key(docs.where("doc_id > 1"))
+    assert clean.where("row_key <> doc_id").isEmpty() and clean.count() == 16
