@@ -29,6 +29,8 @@ from dealerflow.llm.common import saved
 
 #: Curves, dimensions and bits of a projection, vectors of a range.
 CURVES, DIMS, BITS, RANGE = 4, 6, 10, 4096
+#: Parts of a range hold about this many times its vectors, and this many times as many queries, at most.
+PART, TURN = 2, 4
 #: Vectors the projections and ranges are fitted on, queries the window is fitted on, recall to reach there.
 FIT_VECTORS, FIT_QUERIES, FIT_RECALL = 8192, 64, 0.96
 
@@ -174,7 +176,7 @@ def nearest(
     curves = fit_curves(np.array(sample.tolist(), float), float(facts.top), math.ceil(facts.n / range_size))
     reps = saved(asked.select("node").distinct().join(nodes.select("node", "vector"), "node"))
     window = fit_window(nodes, reps, curves, k, recall)
-    met = meet(nodes, reps, curves, window, k + 1)
+    met = meet(nodes, reps, curves, window, k + 1, range_size)
     best = _top(met.distinct(), "query", "node", k + 1).drop("rank")
 
     # From nodes to ids: the k + 1 best ids of every asked vector, then without the asker's own.
@@ -209,19 +211,24 @@ def fit_window(nodes: DataFrame, reps: DataFrame, curves: Curves, k: int, recall
     return int(gaps[min(len(gaps) - 1, math.ceil(recall * len(gaps)) - 1)])
 
 
-def meet(nodes: DataFrame, reps: DataFrame, curves: Curves, window: int, k: int) -> DataFrame:
-    """query, node, score: the ``k`` best of every range that a query asks (its own not left out)."""
+def deal(nodes: DataFrame, reps: DataFrame, curves: Curves, window: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """The vectors and the queries with the places where they meet: curve, range, part of its vectors, turn of its queries.
+
+    A vector is in one part of its range and comes to all turns; a query has one
+    turn in a range and goes to all parts. So every pair meets once a curve, and
+    no place holds more than a bounded number of either.
+    """
     kind = nodes.schema["node"].dataType.simpleString()
     most = len(curves.bounds[0])
 
-    def place(asking: bool):
+    def place(asking: bool, reach: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for first in range(0, whole.num_rows, 2048):
                     batch = whole.slice(first, 2048)
                     own = curves.ranges(_matrix(batch.column(1)), asking)
                     for c, spots in enumerate(own):
-                        for step in range(-window if asking else 0, (window if asking else 0) + 1):
+                        for step in range(-reach, reach + 1):
                             hit = spots + step
                             inside = pa.array(np.flatnonzero((hit >= 0) & (hit <= most)))
                             columns = [batch.column(0).take(inside), batch.column(1).take(inside)]
@@ -233,8 +240,35 @@ def meet(nodes: DataFrame, reps: DataFrame, curves: Curves, window: int, k: int)
         return run
 
     schema = f"node {kind}, vector array<double>, curve int, range int"
-    data = nodes.select("node", "vector").mapInArrow(place(False), schema)
-    asked = reps.select("node", "vector").mapInArrow(place(True), schema)
+    data = nodes.select("node", "vector").mapInArrow(place(False, 0), schema)
+    asked = reps.select("node", "vector").mapInArrow(place(True, window), schema)
+    one = F.lit(1).cast("bigint")
+    wide = None
+    if most:  # a single range holds no more than its size
+        many = data.groupBy("curve", "range").agg(F.ceil(F.count(F.lit(1)) / (PART * size)).alias("parts"))
+        own = reps.select("node", "vector").mapInArrow(place(True, 0), schema).groupBy("curve", "range").count()
+        near = own.select("curve", F.explode(F.sequence(F.col("range") - window, F.col("range") + window)).alias("range"), "count")
+        near = near.groupBy("curve", "range").agg(F.ceil(F.sum("count") / (TURN * size)).alias("turns"))
+        both = many.withColumn("turns", one).unionByName(near.withColumn("parts", one))
+        both = both.groupBy("curve", "range").agg(F.max("parts").alias("parts"), F.max("turns").alias("turns"))
+        wide = saved(both.where("parts > 1 or turns > 1"))
+    if wide is None or wide.isEmpty():
+        return tuple(t.withColumns({"part": F.lit(0).cast("bigint"), "turn": F.lit(0).cast("bigint")}) for t in (data, asked))
+
+    def spread(rows: DataFrame, by: str, over: str) -> DataFrame:
+        """One of ``by`` by the node's hash, each of ``over``."""
+        rows = rows.join(wide, ["curve", "range"], "left").withColumns({c: F.coalesce(c, one) for c in ("parts", "turns")})
+        rows = rows.withColumn(by, F.pmod(F.xxhash64("node"), f"{by}s"))
+        rows = rows.withColumn(over, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{over}s") - 1)))
+        return rows.select("node", "vector", "curve", "range", "part", "turn")
+
+    return spread(data, "part", "turn"), spread(asked, "turn", "part")
+
+
+def meet(nodes: DataFrame, reps: DataFrame, curves: Curves, window: int, k: int, size: int = RANGE) -> DataFrame:
+    """query, node, score: the ``k`` best of every part of a range that a query asks (its own not left out)."""
+    kind = nodes.schema["node"].dataType.simpleString()
+    data, asked = deal(nodes, reps, curves, window, size)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"query": left["node"].iloc[:0], "node": right["node"].iloc[:0], "score": np.zeros(0)})]
@@ -251,5 +285,5 @@ def meet(nodes: DataFrame, reps: DataFrame, curves: Curves, window: int, k: int)
                 found.append(best)
         return pd.concat(found)
 
-    keys = ["curve", "range"]
+    keys = ["curve", "range", "part", "turn"]
     return asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(score, f"query {kind}, node {kind}, score double")

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import assert_same, duck
@@ -325,6 +326,34 @@ def test_neighbours(shipped):
         assert hits >= least * 20 * len(got)
 
 
+def test_neighbours_of_a_cluster_in_one_cell(shipped):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 16))
+    x[::3] = x[0] + 1e-6 * rng.normal(size=(400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = shipped.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    size = 30
+    nodes = common.saved(frame.selectExpr("vec_id as node", "embedding as vector"))
+    reps = nodes.where("node % 3 = 0")
+    curves = hilbert_ann.fit_curves(x, 1.0, 40)
+    places = ["curve", "range", "part", "turn"]
+    data, asked = hilbert_ann.deal(nodes, reps, curves, 1, size)
+    assert data.groupBy("curve", "range").agg({"node": "approx_count_distinct"}).agg({"approx_count_distinct(node)": "max"}).first()[0] > 300
+    for rows, times in ((data, hilbert_ann.PART), (asked, hilbert_ann.TURN)):
+        assert max(r["count"] for r in rows.groupBy(*places).count().collect()) < 1.6 * times * size
+    pairs = data.alias("a").join(asked.alias("b"), places).select("curve", F.col("a.node"), F.col("b.node").alias("query"))
+    whole = [t.select("curve", "range", "node").distinct() for t in (data, asked)]
+    expected = whole[0].alias("a").join(whole[1].alias("b"), ["curve", "range"])
+    assert pairs.count() == pairs.distinct().count() == expected.count()
+    got = collections.defaultdict(dict)
+    for r in hilbert_ann.nearest(frame, "id % 60 = 0", k=5, range_size=size).collect():
+        got[r.query_id][r.vec_id] = r.score
+    assert set(got) == set(range(0, 1200, 60))
+    best = {q: np.sort(np.delete(x @ x[q], q))[-5:] for q in got}
+    hits = sum(np.allclose(sorted(got[q].values()), best[q], rtol=0, atol=1e-14) for q in got)
+    assert hits >= 0.9 * len(got)
+
+
 # --- packing ---------------------------------------------------------------
 
 
