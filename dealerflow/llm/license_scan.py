@@ -10,6 +10,7 @@ each seed and gives span and edits. A notice without edits has one seed, itself.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -79,29 +80,46 @@ def _finds(text: str, needle: str) -> Iterator[int]:
         at = text.find(needle, at + 1)
 
 
+def _free(taken: list[tuple[int, int, int]], low: int, high: int) -> Iterator[tuple[int, int]]:
+    """What the ``taken`` places, sorted and apart from each other, leave of a region."""
+    i = bisect(taken, (low,))
+    if i and taken[i - 1][1] > low:
+        low = taken[i - 1][1]
+    while i < len(taken) and taken[i][0] < high:
+        yield low, taken[i][0]
+        low, i = taken[i][1], i + 1
+    yield low, high
+
+
 def places(flat: str, notice: Notice) -> list[tuple[int, int, int]]:
     """Start, end and edits of the notice's places in a normalised text.
 
     Exact notices: every place. Others: places that do not overlap, found in the
-    regions around their seeds.
+    regions around their seeds, those with fewer edits first, until no further
+    place fits between them. A region is one notice long, so the work follows the
+    number of seeds.
     """
+    size = len(notice.text)
     if not notice.edits:
-        size = len(notice.text)
         return [(at + 1, at + 1 + size, 0) for at in _finds(flat, f" {notice.text} ")]
-    length, regions = len(notice.text), []
-    for offset, piece in seeds(notice):
-        for at in _finds(flat, piece):
-            regions.append((max(0, at - offset - notice.edits - 1), at - offset + length + notice.edits + 1))
-    regions.sort()
-    found, i = [], 0
-    while i < len(regions):
-        low, high = regions[i]
-        while i < len(regions) and regions[i][0] <= high:
-            high = max(high, regions[i][1])
-            i += 1
-        for m in _verifier(notice).finditer(flat, low, min(high, len(flat))):
-            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-    return found
+    starts = sorted({at - offset for offset, piece in seeds(notice) for at in _finds(flat, piece)})
+    regions, i = [], 0
+    while i < len(starts):
+        first = starts[i]
+        while i < len(starts) and starts[i] <= first + notice.edits:  # most often seeds of one place
+            last, i = starts[i], i + 1
+        regions.append((max(0, first - notice.edits - 1), min(last + size + notice.edits + 1, len(flat))))
+    taken: list[tuple[int, int, int]] = []
+    search, least = _verifier(notice).search, size - notice.edits + 2
+    while regions:
+        best = [(m, region) for region in regions if (m := search(flat, *region))]
+        found = sorted((sum(m.fuzzy_counts), m.start(), m.end()) for m, _ in best)
+        for edits, start, end in found:
+            i = bisect(taken, (start,))
+            if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or taken[i][0] >= end):
+                taken.insert(i, (start, end, edits))
+        regions = sorted({part for _, region in best for part in _free(taken, *region) if part[1] - part[0] >= least})
+    return taken
 
 
 def normalise(text: str) -> tuple[str, int]:

@@ -121,6 +121,33 @@ def test_notice_places_and_spans(shipped):
     assert {r.doc_id for r in rows if r.matches} == {16}
 
 
+def test_edited_notices_before_an_exact_one():
+    notice = license_scan.Notice("mpl", "mozilla public license version", 3)
+    edited = "mozilla public licence version"
+    assert license_scan.places(f" {edited} {notice.text} ", notice) == [(1, 31, 1), (32, 62, 0)]
+    for mixed in ([edited] * 50 + [notice.text], [notice.text, edited, "x", edited, notice.text, edited.replace("public", "publik")]):
+        flat, _ = license_scan.normalise(" ".join(mixed))
+        expected, at = [], 1
+        for part in mixed:
+            if part != "x":
+                expected.append((at, at + len(part), sum(a != b for a, b in zip(part, notice.text, strict=True))))
+            at += len(part) + 1
+        assert license_scan.places(flat, notice) == expected
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["all rights reserved", "all right reserved", "al rights resrved", "rights", "reserved", "all", "x"]), max_size=12))
+def test_no_place_of_a_notice_is_left_between_those_found(parts):
+    notice = license_scan.Notice("l", "all rights reserved", 2)
+    flat, _ = license_scan.normalise(" ".join(parts))
+    found = license_scan.places(flat, notice)
+    edges = [0, *(x for a, b, _ in found for x in (a, b)), len(flat)]
+    assert edges == sorted(edges)
+    for low, high in zip(edges[::2], edges[1::2], strict=True):
+        assert not flat[low:high].strip() or distance_to_part(flat[low:high].strip(), notice.text) > 2
+    assert all(distance_to_part(flat[a:b], notice.text) <= e for a, b, e in found)
+
+
 # --- words -----------------------------------------------------------------
 
 
