@@ -100,6 +100,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     again.add_argument("inbox")
     again.add_argument("landed")
     again.add_argument("--extract", action="append", choices=sorted(set(CLEAN) - {"brand_stores"}), required=True)
+    again.add_argument("--multi-line", action="store_true", help="quoted cells may hold line breaks")
     for name in ("scorecard", "brand"):
         job = jobs.add_parser(name)
         job.add_argument("landed")
@@ -129,7 +130,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         land_extracts(spark, args.inbox, args.landed, fmt=args.format, multi_line=args.multi_line)
     elif args.job == "refresh":
         for name in args.extract:
-            refresh(spark, EXTRACTS[name], f"{args.inbox}/{name}", args.landed)
+            refresh(spark, EXTRACTS[name], f"{args.inbox}/{name}", args.landed, multi_line=args.multi_line)
     elif args.job == "scorecard":
         p = ReportParams(
             as_of=args.as_of, branch=args.branch, excluded=tuple(args.exclude), rank_scope=args.rank_scope,

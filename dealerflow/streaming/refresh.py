@@ -26,11 +26,16 @@ CLEAN = {
 }
 
 
-def extract_stream(spark: SparkSession, extract: Extract, folder: str) -> DataFrame:
-    """New CSV files of an extract as a cleaned stream; all files share one header."""
-    header = read_extract(spark, extract, folder, named=False).columns
+def extract_stream(spark: SparkSession, extract: Extract, folder: str, multi_line: bool = False) -> DataFrame:
+    """New CSV files of an extract as a cleaned stream; all files share one header.
+
+    As in landing, a row with too few or too many cells is an error, and
+    ``multi_line`` takes line breaks inside quoted cells as part of them.
+    """
+    header = read_extract(spark, extract, folder, multi_line=multi_line, named=False).columns
     schema = StructType([StructField(column, StringType()) for column in header])
-    files = spark.readStream.schema(schema).options(**csv_options()).csv(folder)
+    options = csv_options(multi_line) | {"mode": "FAILFAST", "columnPruning": False}
+    files = spark.readStream.schema(schema).options(**options).csv(folder)
     return CLEAN[extract.name](name_columns(files, extract))
 
 
@@ -56,7 +61,8 @@ def _publish(spark: SparkSession, staged: str, table: str, tag: str) -> None:
 
 
 def refresh(
-    spark: SparkSession, extract: Extract, folder: str, landed: str, checkpoints: str | None = None
+    spark: SparkSession, extract: Extract, folder: str, landed: str, checkpoints: str | None = None,
+    multi_line: bool = False,
 ) -> StreamingQuery:
     """Append the files that arrived since the last refresh; returns when done.
 
@@ -64,7 +70,7 @@ def refresh(
     stays plain Parquet that ``land`` may have written before. The record of files
     taken lies beside the landed table unless ``checkpoints`` says otherwise: it
     is worth exactly as much as the table it describes, and landing the extract
-    anew removes it.
+    anew removes it. A malformed row fails the batch, and nothing of it is moved.
     """
     progress = f"{checkpoints or landed + '/_progress'}/{extract.name}"
     table = f"{landed}/{extract.name}"
@@ -78,7 +84,7 @@ def refresh(
         _publish(batch.sparkSession, staged, table, f"refresh{number:08d}")
 
     query = (
-        extract_stream(spark, extract, folder)
+        extract_stream(spark, extract, folder, multi_line)
         .writeStream.foreachBatch(append)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)

@@ -106,3 +106,25 @@ def test_line_breaks_in_cells_and_malformed_rows(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "landed" / "brand_stores")).count() == 1
     with pytest.raises(Exception, match="MALFORMED|FAILFAST|Malformed"):
         jobs.land_extracts(spark, str(tmp_path / "inbox"), str(tmp_path / "other"), one)
+
+
+def test_refresh_with_line_breaks_in_cells_and_malformed_rows(spark, tmp_path):
+    inbox, landed, extract = tmp_path / "inbox" / "channels", str(tmp_path / "landed"), jobs.EXTRACTS["channels"]
+    inbox.mkdir(parents=True)
+    headers = list(extract.headers)
+    address = next(i for i, name in enumerate(extract.headers.values()) if name in extract.text)
+
+    def arrive(name, cell):
+        cells = ["1"] * len(headers)
+        cells[address] = cell
+        (inbox / name).write_text(",".join(headers) + "\n" + ",".join(cells) + "\n", encoding="utf-8")
+
+    arrive("first.csv", '"floor 1\nfloor 2"')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|Malformed"):
+        jobs.refresh(spark, extract, str(inbox), str(tmp_path / "other"))
+    assert not list((tmp_path / "other").glob("channels/**/*.parquet"))
+    for name in ("first.csv", "second.csv"):
+        arrive(name, '"floor 1\nfloor 2"')
+        jobs.main(["refresh", str(tmp_path / "inbox"), landed, "--extract", "channels", "--multi-line"])
+    rows = spark.read.parquet(f"{landed}/channels").collect()
+    assert len(rows) == 2 and all("floor 1\nfloor 2" in map(str, r.asDict().values()) for r in rows)
