@@ -47,15 +47,15 @@ class Encoder:
 
     Such a tokenizer cuts before every single blank or line break between two
     other characters, so the stretches between them are encoded once and
-    remembered. Texts with other runs of white space are encoded as a whole.
-    Control strings inside texts are ordinary text.
+    remembered. Texts with other runs of white space are encoded as a whole, and
+    so are texts with one of the tokenizer's added tokens, which gets its own id.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.marks = {mark: self.stretch(mark) for mark in ".,"}
         self.line = self.word("\n")
@@ -92,6 +92,8 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return self.whole(text)
         first, *rest = text.replace("\n", " \n").split(" ")
         if first and (first[0].isspace() or first[-1].isspace()):
             return self.whole(text)

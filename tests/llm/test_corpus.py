@@ -390,6 +390,15 @@ def test_encoder_is_the_tokenizer():
         assert e.encode(text) == e.whole(text), text
 
 
+def test_added_tokens_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    plain, e = Tokenizer.from_file(queries.tokenizer_path()), packing.Encoder(queries.tokenizer_path())
+    for text in ["one <|endoftext|> two", "<|endoftext|>", "a\n<|endoftext|>b", "a <|endoftext|><|endoftext|>.", "<|endoftext| >", "one two."]:
+        assert array("I", e.encode(text)).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert array("I", e.encode("one <|endoftext|> two")).tolist() == [505, 220, 50256, 734]
+
+
 def test_packing(shipped):
     rows = [(i, "word " * int(n), "a") for i, n in enumerate(np.random.default_rng(2).integers(0, 3000, 300))] + edge_rows()
     got = packing.pack_documents(table(shipped, rows), queries.tokenizer_path(), block=64).collect()
