@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealerflow.llm.common import saved, texts_of
@@ -29,6 +29,8 @@ from dealerflow.llm.common import saved, texts_of
 LENGTH, END_ID, BLOCK = 2048, 0, 32_768
 #: Words whose ids a worker remembers, at most.
 REMEMBERED = 1_000_000
+#: Bits of a sequence's number for its bin and, above them, its block; the round is on top.
+BIN_BITS, BLOCK_BITS = 28, 30
 
 
 # Fixed values of byte-level BPE: how a text is cut, and the bytes that stand for themselves.
@@ -216,11 +218,33 @@ def _block(length: int, fresh: bool, tag: int):
         offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
         fill = np.bincount(bins, sizes).astype(np.int64)
         block = int(rows["block"].iloc[0])
-        return rows.assign(sequence_id=(tag << 58) + (block << 20) + bins, offset=offset, fill=fill[bins]).drop(columns="block")
+        return rows.assign(sequence_id=(tag << BIN_BITS + BLOCK_BITS) + (block << BIN_BITS) + bins, offset=offset, fill=fill[bins]).drop(columns="block")
 
     return pack
 
 
+def deal(rows: DataFrame, key: Column, blocks: int, block: int) -> DataFrame:
+    """``rows`` of a stored table with their ``block``: by ``key``, and a block of more than twice its size in parts.
+
+    Rows with one key, as pieces of rows that share a null or repeated id, are
+    told apart by their place in the table.
+    """
+    dealt = rows.withColumn("block", F.pmod(key, F.lit(blocks)))
+    if blocks == 1:
+        return dealt
+    large = dealt.groupBy("block").count().where(F.col("count") > 2 * block).orderBy("block").collect()
+    if not large:
+        return dealt
+    # A row of ``large`` stands for more than two blocks of pieces.
+    parts = [math.ceil(r["count"] / block) for r in large]
+    firsts = np.cumsum([blocks, *parts]).tolist()
+    listed = [(r["block"], first, n) for r, first, n in zip(large, firsts, parts, strict=False)]
+    table = rows.sparkSession.createDataFrame(listed, "block bigint, first bigint, parts bigint")
+    placed = dealt.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(table), "block", "left")
+    part = F.col("first") + F.pmod(F.xxhash64("block", "place"), "parts")
+    return placed.withColumn("block", F.coalesce(part, "block")).select(*rows.columns, "block")
+
+
 def pack(cut: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """The pieces with ``sequence_id`` and gapless ``offset``; ``cut`` must read a stored table.
 
@@ -237,7 +261,7 @@ def pack(cut: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
             break
         blocks = wanted
         key = F.xxhash64(F.lit(tag), *(F.col(c) for c in (("sequence_id",) if tag else (columns[0], "piece", "start"))))
-        dealt = rest.withColumn("block", F.pmod(key, F.lit(blocks)))
+        dealt = deal(rest, key, blocks, block)
         if not tag:
             dealt = dealt.withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint"), "fill": F.lit(0).cast("bigint")})
         schema = dealt.drop("block").schema

@@ -424,6 +424,33 @@ def test_packing(shipped):
     assert len(bins) <= 1.02 * sum(r.length for r in got) / 2048 + 1
 
 
+def test_blocks_of_one_repeated_id_are_bounded(shipped, monkeypatch):
+    rows = [(None if i % 2 else 5, "word " * 700, "a") for i in range(600)] + [(100 + i, "word " * (i + 1), "a") for i in range(200)]
+    sizes = []
+    deal = packing.deal
+
+    def dealt(*args):
+        out = deal(*args)
+        sizes.extend(r["count"] for r in out.groupBy("block").count().collect())
+        return out
+
+    monkeypatch.setattr(packing, "deal", dealt)
+    got = packing.pack_documents(table(shipped, rows), queries.tokenizer_path(), block=64).collect()
+    assert max(sizes) <= 2 * 64 and len(got) == 800
+    fill = collections.Counter()
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048
+    assert collections.Counter(r.doc_id for r in got if r.doc_id is None or r.doc_id == 5) == {None: 300, 5: 300}
+
+
+def test_sequence_numbers_of_blocks_do_not_meet():
+    n = (1 << 20) + 1
+    rows = packing.pd.DataFrame({"doc_id": np.arange(n), "piece": 0, "start": 0, "length": 2048, "sequence_id": 0, "offset": 0, "fill": 0, "block": 0})
+    pack = packing._block(2048, True, 0)
+    assert pack(rows)["sequence_id"].max() < pack(rows[:1].assign(block=1))["sequence_id"].min()
+
+
 def test_local_search_never_worse():
     rng = np.random.default_rng(0)
     for sizes in (rng.integers(300, 1400, 600), rng.integers(600, 800, 600), rng.integers(1025, 2000, 200)):
