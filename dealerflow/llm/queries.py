@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerflow.llm import chat, hilbert_ann, license_scan, mixing, ngram_join, packing, quality, radix_dedup, recompression, url_filter
+from dealerflow.llm import chat, hilbert_ann, license_scan, mixing, ngram_join, packing, periodic_runs, quality, radix_dedup, recompression, url_filter
 from dealerflow.llm.common import read_table, ship_package
 
 KEEP_FROM = 0.7
@@ -84,6 +84,40 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), index).drop("listed")
 
 
+def _bent(words: Column, g: Column) -> Column:
+    """The words joined by blanks, those from number ``g % n`` on in periods of a length that ``g`` gives."""
+    n = F.size(words)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    part = lambda c, first, size: F.slice(c, first.cast("int"), size.cast("int"))
+    tail = F.flatten(F.array_repeat(part(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    return F.array_join(F.concat(part(words, F.lit(1), a), part(tail, F.lit(1), n - a)), " ")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g = F.floor(h / 10)
+    bent = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, _bent(w, g)))[0]  # one evaluation of ``words``
+    docs = docs.withColumn("text", F.when(h % 10 == 0, bent).otherwise(F.col("text")))
+    found = periodic_runs.find_runs(docs)
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    more = lambda r, best: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.aggregate("runs", none, lambda best, r: F.when(best.isNull() | more(r, best), r).otherwise(best))
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return found.withColumn("best", best).select(
+        "row.doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -107,4 +141,5 @@ QUERIES = {
     "op8_hilbert_neighbours": op8_hilbert_neighbours,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,
+    "op11_periodic_runs": op11_periodic_runs,
 }

@@ -32,6 +32,8 @@ def _spaces() -> np.ndarray:
 
 
 SPACE = _spaces()
+#: Bytes between terms: all of ASCII but digits and letters.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 @lru_cache(maxsize=4)
@@ -50,11 +52,11 @@ def _lowered(word: bytes, lower: bool) -> bytes:
     return bytes(b + 32 if 65 <= b <= 90 else b for b in word) if lower else word
 
 
-def _segment(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segment(raw: np.ndarray, at: np.ndarray, lower: bool, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of one segment; ``at``: where documents start in it."""
     table, powers, inverses = _tables(lower)
     n = len(raw)
-    word = ~SPACE[raw]
+    word = ~gaps[raw]
     fresh = np.ones(n + 1, bool)
     fresh[1:n] = ~word[:-1]
     fresh[at] = True
@@ -73,9 +75,9 @@ def _segment(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray,
 
 
 def word_hashes(
-    raw: np.ndarray, offsets: np.ndarray, lower: bool = False
+    raw: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.ndarray = SPACE
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of concatenated documents.
+    """Words of concatenated documents, by default ``[^\\x20\\x09-\\x0D]+``; ``gaps`` marks the bytes between words.
 
     Returns the words' hashes, starts and ends in ``raw``, and for every document
     where its words begin (one more entry than documents). ``lower`` takes A-Z
@@ -87,16 +89,16 @@ def word_hashes(
         end = min(pos + SEGMENT, n)
         if end < n:
             inner = offsets[np.searchsorted(offsets, end, side="right") - 1]
-            gaps = np.flatnonzero(SPACE[raw[pos:end]])
-            cut = max(int(inner), pos + int(gaps[-1]) + 1 if len(gaps) else pos)
+            found = np.flatnonzero(gaps[raw[pos:end]])
+            cut = max(int(inner), pos + int(found[-1]) + 1 if len(found) else pos)
             if cut <= pos:  # one word fills the segment
                 limit = int(offsets[np.searchsorted(offsets, pos, side="right")])
                 end = pos + SEGMENT
-                while end < limit and not SPACE[raw[end : end + SEGMENT]].any():
+                while end < limit and not gaps[raw[end : end + SEGMENT]].any():
                     end += SEGMENT
                 end = min(end, limit)
                 if end < limit:
-                    end = min(limit, end + int(np.flatnonzero(SPACE[raw[end : end + SEGMENT]])[0]))
+                    end = min(limit, end + int(np.flatnonzero(gaps[raw[end : end + SEGMENT]])[0]))
                 name = xxhash.xxh64_intdigest(_lowered(raw[pos:end].tobytes(), lower))
                 parts.append((np.array([name], np.uint64), np.array([pos]), np.array([end])))
                 pos = end
@@ -104,7 +106,7 @@ def word_hashes(
             end = cut
         lo, hi = np.searchsorted(offsets, [pos, end])
         at = np.unique(offsets[lo:hi] - pos)
-        hashes, starts, ends = _segment(raw[pos:end], at, lower)
+        hashes, starts, ends = _segment(raw[pos:end], at, lower, gaps)
         parts.append((hashes, starts + pos, ends + pos))
         pos = end
     if not parts:
