@@ -111,4 +111,34 @@ WITH r AS (
 SELECT page_id, host, path, CASE WHEN base THEN rule END AS rule, coalesce(verdict, 'allow') AS verdict FROM best WHERE k = 1
 """
 
-QUERIES = {"op4_recompression": OP4, "op5_radix_dedup": OP5, "op6_source_mixing": OP6, "op10_url_filter": OP10}
+OP13 = r"""
+WITH words AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM documents
+), tf AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM words GROUP BY doc_id, term
+), docs AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id
+), facts AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM docs
+), asked AS (
+  SELECT DISTINCT item_id, term
+  FROM (SELECT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+        FROM benchmark)
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * (SELECT docs FROM facts) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf WHERE term IN (SELECT term FROM asked) GROUP BY term
+), scored AS (
+  SELECT asked.item_id, tf.doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * facts.docs) // facts.terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN docs USING (doc_id) CROSS JOIN facts
+  GROUP BY asked.item_id, tf.doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+QUERIES = {"op4_recompression": OP4, "op5_radix_dedup": OP5, "op6_source_mixing": OP6, "op10_url_filter": OP10, "op13_max_sketch_search": OP13}

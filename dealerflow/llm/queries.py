@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerflow.llm import chat, hilbert_ann, license_scan, mixing, ngram_join, packing, periodic_runs, quality, radix_dedup, recompression, url_filter
-from dealerflow.llm.common import read_table, ship_package
+from dealerflow.llm import chat, hilbert_ann, license_scan, max_sketch, mixing, ngram_join, packing, periodic_runs, quality, radix_dedup, recompression, toxicity, url_filter
+from dealerflow.llm.common import read_table, saved, ship_package
 
 KEEP_FROM = 0.7
+TOXIC_FROM = 0.5
 QUERY_ROWS = "id % 20 = 0"
 
 
@@ -118,6 +119,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model).select("row.doc_id", "score")
+    predicted = (F.col("score") >= TOXIC_FROM).cast("int")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op13_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = saved(max_sketch.build_index(read_table(spark, sf_dir, "documents")))
+    return max_sketch.search(index, read_table(spark, sf_dir, "benchmark"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -142,4 +156,6 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_toxicity": op12_toxicity,
+    "op13_max_sketch_search": op13_max_sketch_search,
 }
