@@ -228,11 +228,11 @@ def test_toxicity_learns_and_never_sees_held_out(shipped, tmp_path):
 
 
 def test_toxicity_without_labels(shipped):
-    docs = table(shipped, [(1, "a"), (2, None)])
+    docs = table(shipped, [(k, "a") for k in range(8)] + [(8, None)])
     none = shipped.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(docs, none)
-    assert [r.score for r in toxicity.score_documents(docs, model).collect()] == pytest.approx([0, 0], abs=1e-4)
-    one = toxicity.train(docs, shipped.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"))
+    assert [r.score for r in toxicity.score_documents(docs, model).collect()] == pytest.approx([0] * 9, abs=1e-4)
+    one = toxicity.train(docs, shipped.createDataFrame([(k, 1) for k in range(9)], "doc_id long, toxic int"))
     assert all(r.score > 0.9 for r in toxicity.score_documents(docs, one).collect())
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
 
