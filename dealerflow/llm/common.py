@@ -6,7 +6,9 @@ import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once.
 CHUNK = 1 << 21
+#: Numbers of a list that is broadcast, at most.
+SHORT = 1 << 19
 #: Column of the number that tells rows apart.
 ROW_KEY = "row_key"
 
@@ -38,22 +42,117 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where none is set (tests)."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where none is set a local session (tests) gets one of its own; on a cluster
+    that is an error, as executors share no local folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='llm-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Paths of the tables that ``saved`` has written and nothing has removed yet.
+_WRITTEN: list[str] = []
+
+
 def saved(table: DataFrame) -> DataFrame:
-    """The table written to the shared folder and read again: lineage ends here, any executor may go."""
-    path = f"{shared_dir(table.sparkSession)}/llm-{uuid.uuid4().hex}"
+    """The table written to the shared folder and read again: lineage ends here, any executor may go.
+
+    The files go with the session, or before with the ``scratch`` they were written in.
+    """
+    spark = table.sparkSession
+    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
     table.write.parquet(path)
+    _WRITTEN.append(path)
+    store, at = _stored(spark, path)
+    store.deleteOnExit(at)
     # Plans that are done with hold shuffle files until both collectors have run.
     gc.collect()
-    table.sparkSession._jvm.System.gc()
-    return table.sparkSession.read.schema(table.schema).parquet(path)
+    spark._jvm.System.gc()
+    return spark.read.schema(table.schema).parquet(path)
+
+
+def _stored(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes in the end what ``saved`` wrote inside, but for the tables given to the function it yields.
+
+    What is read from the others must be written by then.
+    """
+    first, kept = len(_WRITTEN), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        out = saved(table)
+        kept.add(_WRITTEN[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        drop(spark, [path for path in _WRITTEN[first:] if path not in kept])
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that ``saved`` wrote."""
+    for path in paths:
+        store, at = _stored(spark, path)
+        store.delete(at, True)
+        _WRITTEN.remove(path)
+
+
+@dataclass(frozen=True)
+class Numbered:
+    """All rows as ``key``, ``id`` and values; ``key`` is a whole number of each row's own, in the order of ids.
+
+    ``plain``: the key is the id itself.
+    """
+
+    rows: DataFrame
+    plain: bool
+
+    def with_id(self, table: DataFrame, key: str, name: str) -> DataFrame:
+        """``table`` with the ids of the rows that its column ``key`` numbers, under ``name``."""
+        if self.plain:
+            return table.withColumn(name, F.col(key).cast(self.rows.schema["id"].dataType))
+        ids = self.rows.select(F.col("key").alias("_number"), F.col("id").alias(name))
+        return table.join(ids, table[key] == ids["_number"], "left").drop("_number")
+
+
+def numbered(rows: DataFrame) -> Numbered:
+    """The rows of a table (id and values), none left out: a null id or one that repeats is told apart by the number.
+
+    Null ids come last; rows of one id are in the order of a digest of their values.
+    """
+    plain, values = _own_ids(rows, "id"), [c for c in rows.columns if c != "id"]
+    if plain:
+        return Numbered(rows.select(F.col("id").cast("bigint").alias("key"), "id", *values), plain)
+    return Numbered(_sorted_rows(rows, "id").select("key", "row.*"), plain)
+
+
+#: Rows of a group that counts as heavy, at least, and heavy groups at most.
+HEAVY_ROWS, HEAVY_GROUPS = 1024, 8192
+
+
+def join_groups(members: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Each member with the columns of its group; ``groups`` has its number of members as ``n``, ``total`` is their sum.
+
+    Members of heavy groups meet them by broadcast and are not shuffled: there are
+    at most ``HEAVY_GROUPS`` groups of that size in the table. No other group is
+    large enough to make a task uneven. Keys are never null.
+    """
+    least = max(HEAVY_ROWS, total // HEAVY_GROUPS + 1)
+    heavy = groups.where(F.col("n") >= least)
+    light = members.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return members.join(F.broadcast(heavy), keys).unionByName(light.join(groups.where(F.col("n") < least), keys))
 
 
 def one_row_per_id(docs: DataFrame, id_col: str, *values: str) -> DataFrame:
@@ -71,18 +170,40 @@ def one_row_per_id(docs: DataFrame, id_col: str, *values: str) -> DataFrame:
     return kept.groupBy(id_col).agg(row).select(id_col, *(F.col(f"row.{v}").alias(v) for v in values))
 
 
+def _own_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether every row has a whole number of its own as id; only ids are shuffled to find that out."""
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return False
+    ids = docs.select(F.col(f"`{id_col}`").alias("id")).groupBy("id").count()
+    return ids.where("id is null or count > 1").isEmpty()
+
+
 def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """All rows and columns with ``row_key``, a whole number of each row's own, in the order of ids.
 
-    Where every row has a whole number of its own as id, that is the key, and only
-    ids are shuffled to find that out. Else all rows are sorted by id (null
-    last) and content, numbered and stored once. Rows alike in every
-    column may swap numbers, so the numbers are the same in every run.
+    Where every row has a whole number of its own as id, that is the key. Else all
+    rows are sorted by id (null last) and content, numbered and stored once. Rows
+    alike in every column may swap numbers, so the numbers are the same in every
+    run.
     """
-    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
-        ids = docs.select(F.col(id_col).alias("id")).groupBy("id").count()
-        if ids.where("id is null or count > 1").isEmpty():
-            return docs.withColumn(ROW_KEY, F.col(id_col).cast("bigint"))
+    if _own_ids(docs, id_col):
+        return docs.withColumn(ROW_KEY, F.col(id_col).cast("bigint"))
+    return _sorted_rows(docs, id_col).select("row.*", F.col("key").alias(ROW_KEY))
+
+
+def numbered_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """All rows as ``key`` and a struct ``row`` of all their columns, whatever these are called; keys as in ``with_row_key``."""
+    if _own_ids(docs, id_col):
+        return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return _sorted_rows(docs, id_col)
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` (key, row) but for the keys in ``gone``, a stored table; a list that is short is broadcast, and no row moves."""
+    return rows.join(F.broadcast(gone) if gone.count() <= SHORT else gone, "key", "left_anti")
+
+
+def _sorted_rows(docs: DataFrame, id_col: str) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in docs.columns]
     # A digest spreads rows of one id over tasks, the place in the input those that are alike.
     content = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
@@ -101,7 +222,7 @@ def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         first += n
     starts = placed.sparkSession.createDataFrame(firsts, "task bigint, first bigint")
     key = F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)
-    return placed.withColumn("task", task).join(F.broadcast(starts), "task").select("row.*", key.alias(ROW_KEY))
+    return placed.withColumn("task", task).join(F.broadcast(starts), "task").select(key.alias("key"), "row")
 
 
 def text_chunks(

@@ -2,9 +2,13 @@
 
 Vectors are projected several times to a few dimensions, shifted, and put in
 the order of a Hilbert curve. Every curve is cut into ranges of a few thousand
-vectors, which Spark deals to its tasks. A query goes to its own range and its
-neighbours on each curve; there its best partners are found by exact inner
-products, and the lists of all ranges are merged and ranked again.
+vectors, which Spark deals to its tasks. A query goes to its own range on each
+curve, there its best partners are found by exact inner products, and the lists
+of all curves are merged and ranked again. Then it goes outwards, in turns that
+double the distance: to the ranges beside its own, to the two behind them, and so
+on. It takes along the score that its best ``k`` so far require, and a range
+answers only with what reaches it, so a query gets about ``k`` rows a turn however
+many vectors it meets.
 
 How many neighbouring ranges are asked is measured: for a bounded sample of
 queries the true neighbours are found among all vectors, and the smallest window
@@ -124,15 +128,15 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("vector") == (sizes[0].dims if sizes else 0))
 
 
-def _best(queries: list[int], scores: np.ndarray, nodes: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` best nodes of each query: rows of query, node and score."""
+def _best(scores: np.ndarray, k: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` best scores of each row; a row with a bound has none below it."""
+    cut = np.full(len(scores), -np.inf)
     if scores.shape[1] > k:
         # Ties at the cut are kept, so that the smaller id can win them.
         cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-        q, n = np.nonzero(scores >= cut[:, None])
-    else:
-        q, n = np.nonzero(np.ones_like(scores, bool))
-    return pd.DataFrame({"query": np.asarray(queries)[q], "node": nodes[n], "score": scores[q, n]})
+    if bounds is not None:  # a matrix product's scores are off by roundings
+        cut = np.maximum(cut, bounds - 1e-9 * np.maximum(1, np.abs(bounds)))
+    return np.nonzero(scores >= cut[:, None])
 
 
 def _top(rows: DataFrame, by: str, node: str, k: int, rank: str = "rank") -> DataFrame:
@@ -176,8 +180,15 @@ def nearest(
     curves = fit_curves(np.array(sample.tolist(), float), float(facts.top), math.ceil(facts.n / range_size))
     reps = saved(asked.select("node").distinct().join(nodes.select("node", "vector"), "node"))
     window = fit_window(nodes, reps, curves, k, recall)
-    met = meet(nodes, reps, curves, window, k + 1, range_size)
-    best = _top(met.distinct(), "query", "node", k + 1).drop("rank")
+    best = saved(_top(meet(nodes, reps, curves, 0, 0, k + 1, range_size).distinct(), "query", "node", k + 1).drop("rank"))
+    inner = 1
+    while inner <= window:
+        outer = min(2 * inner - 1, window)
+        full = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("bound"))
+        bounds = full.where(F.col("n") > k).select(F.col("query").alias("node"), "bound")
+        more = meet(nodes, reps.join(bounds, "node", "left"), curves, inner, outer, k + 1, range_size)
+        best = saved(_top(best.unionByName(more).distinct(), "query", "node", k + 1).drop("rank"))
+        inner = outer + 1
 
     # From nodes to ids: the k + 1 best ids of every asked vector, then without the asker's own.
     ids = best.join(nodes.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("near"))
@@ -197,8 +208,10 @@ def fit_window(nodes: DataFrame, reps: DataFrame, curves: Curves, k: int, recall
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _best(names, queries @ _matrix(batch.column(1)).T, batch.column(0).to_numpy(zero_copy_only=False), k + 1)
-            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+            scores = queries @ _matrix(batch.column(1)).T
+            q, n = _best(scores, k + 1)
+            arrays = [pa.array(names, batch.column(0).type).take(pa.array(q)), batch.column(0).take(pa.array(n)), pa.array(scores[q, n])]
+            yield pa.RecordBatch.from_arrays(arrays, ["query", "node", "score"])
 
     kind = nodes.schema["node"].dataType.simpleString()
     true = nodes.select("node", "vector").mapInArrow(exact, f"query {kind}, node {kind}, score double")
@@ -211,43 +224,49 @@ def fit_window(nodes: DataFrame, reps: DataFrame, curves: Curves, k: int, recall
     return int(gaps[min(len(gaps) - 1, math.ceil(recall * len(gaps)) - 1)])
 
 
-def deal(nodes: DataFrame, reps: DataFrame, curves: Curves, window: int, size: int) -> tuple[DataFrame, DataFrame]:
+def deal(
+    nodes: DataFrame, reps: DataFrame, curves: Curves, window: int, size: int, inner: int = 0
+) -> tuple[DataFrame, DataFrame]:
     """The vectors and the queries with the places where they meet: curve, range, part of its vectors, turn of its queries.
 
-    A vector is in one part of its range and comes to all turns; a query has one
+    A query goes to the ranges ``inner`` to ``window`` away on either side. A
+    vector is in one part of its range and comes to all turns; a query has one
     turn in a range and goes to all parts. So every pair meets once a curve, and
     no place holds more than a bounded number of either.
     """
     kind = nodes.schema["node"].dataType.simpleString()
     most = len(curves.bounds[0])
+    if "bound" not in reps.columns:
+        reps = reps.withColumn("bound", F.lit(None).cast("double"))
+    steps = sorted({s for d in range(inner, window + 1) for s in (-d, d)})
 
-    def place(asking: bool, reach: int):
+    def place(asking: bool, steps: list[int]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for first in range(0, whole.num_rows, 2048):
                     batch = whole.slice(first, 2048)
                     own = curves.ranges(_matrix(batch.column(1)), asking)
                     for c, spots in enumerate(own):
-                        for step in range(-reach, reach + 1):
+                        for step in steps:
                             hit = spots + step
                             inside = pa.array(np.flatnonzero((hit >= 0) & (hit <= most)))
-                            columns = [batch.column(0).take(inside), batch.column(1).take(inside)]
+                            columns = [batch.column(i).take(inside) for i in range(batch.num_columns)]
                             places = [np.full(len(inside), c), hit[inside.to_numpy()]]
                             yield pa.RecordBatch.from_arrays(
-                                [*columns, *(pa.array(p, pa.int32()) for p in places)], ["node", "vector", "curve", "range"]
+                                [*columns, *(pa.array(p, pa.int32()) for p in places)], [*batch.schema.names, "curve", "range"]
                             )
 
         return run
 
-    schema = f"node {kind}, vector array<double>, curve int, range int"
-    data = nodes.select("node", "vector").mapInArrow(place(False, 0), schema)
-    asked = reps.select("node", "vector").mapInArrow(place(True, window), schema)
+    schema = f"node {kind}, vector array<double>"
+    data = nodes.select("node", "vector").mapInArrow(place(False, [0]), f"{schema}, curve int, range int")
+    asked = reps.select("node", "vector", "bound").mapInArrow(place(True, steps), f"{schema}, bound double, curve int, range int")
     one = F.lit(1).cast("bigint")
     wide = None
     if most:  # a single range holds no more than its size
         many = data.groupBy("curve", "range").agg(F.ceil(F.count(F.lit(1)) / (PART * size)).alias("parts"))
-        own = reps.select("node", "vector").mapInArrow(place(True, 0), schema).groupBy("curve", "range").count()
-        near = own.select("curve", F.explode(F.sequence(F.col("range") - window, F.col("range") + window)).alias("range"), "count")
+        own = reps.select("node", "vector").mapInArrow(place(True, [0]), f"{schema}, curve int, range int").groupBy("curve", "range").count()
+        near = own.select("curve", F.explode(F.array(*[F.col("range") + s for s in steps])).alias("range"), "count")
         near = near.groupBy("curve", "range").agg(F.ceil(F.sum("count") / (TURN * size)).alias("turns"))
         both = many.withColumn("turns", one).unionByName(near.withColumn("parts", one))
         both = both.groupBy("curve", "range").agg(F.max("parts").alias("parts"), F.max("turns").alias("turns"))
@@ -257,18 +276,22 @@ def deal(nodes: DataFrame, reps: DataFrame, curves: Curves, window: int, size: i
 
     def spread(rows: DataFrame, by: str, over: str) -> DataFrame:
         """One of ``by`` by the node's hash, each of ``over``."""
+        columns = rows.columns
         rows = rows.join(wide, ["curve", "range"], "left").withColumns({c: F.coalesce(c, one) for c in ("parts", "turns")})
         rows = rows.withColumn(by, F.pmod(F.xxhash64("node"), f"{by}s"))
         rows = rows.withColumn(over, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{over}s") - 1)))
-        return rows.select("node", "vector", "curve", "range", "part", "turn")
+        return rows.select(*columns, "part", "turn")
 
     return spread(data, "part", "turn"), spread(asked, "turn", "part")
 
 
-def meet(nodes: DataFrame, reps: DataFrame, curves: Curves, window: int, k: int, size: int = RANGE) -> DataFrame:
-    """query, node, score: the ``k`` best of every part of a range that a query asks (its own not left out)."""
+def meet(nodes: DataFrame, reps: DataFrame, curves: Curves, inner: int, outer: int, k: int, size: int = RANGE) -> DataFrame:
+    """query, node, score: of every part of a range that a query asks its ``k`` best, no score below the query's ``bound``.
+
+    The query's own node is not left out.
+    """
     kind = nodes.schema["node"].dataType.simpleString()
-    data, asked = deal(nodes, reps, curves, window, size)
+    data, asked = deal(nodes, reps, curves, outer, size, inner)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"query": left["node"].iloc[:0], "node": right["node"].iloc[:0], "score": np.zeros(0)})]
@@ -276,13 +299,11 @@ def meet(nodes: DataFrame, reps: DataFrame, curves: Curves, window: int, k: int,
             matrix, names = np.stack(right["vector"].to_numpy()), right["node"].to_numpy()
             for first in range(0, len(left), 256):
                 some = left.iloc[first : first + 256]
+                rows = np.stack(some["vector"].to_numpy())
+                q, n = _best(rows @ matrix.T, k, some["bound"].fillna(-np.inf).to_numpy())
                 # One product a pair, not a matrix product: equal pairs get equal scores on every curve.
-                scores = np.stack(some["vector"].to_numpy()) @ matrix.T
-                best = _best(some["node"].tolist(), scores, names, k)
-                rows = dict(zip(some["node"], some["vector"], strict=True))
-                place_of = {n: i for i, n in enumerate(names)}
-                best["score"] = [float((rows[q] * matrix[place_of[n]]).sum()) for q, n in zip(best["query"], best["node"], strict=True)]
-                found.append(best)
+                exact = np.concatenate([np.zeros(0), *((rows[q[i : i + 4096]] * matrix[n[i : i + 4096]]).sum(axis=1) for i in range(0, len(q), 4096))])
+                found.append(pd.DataFrame({"query": some["node"].to_numpy()[q], "node": names[n], "score": exact}))
         return pd.concat(found)
 
     keys = ["curve", "range", "part", "turn"]

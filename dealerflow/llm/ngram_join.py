@@ -5,11 +5,15 @@ their union. The bound limits how far sizes may differ, and by how many n-grams
 two linked sets may differ (the size-derived bound). The columns of the matrix
 (hashes of n-grams) are cut into so many blocks that two linked rows must agree
 completely in some block, so only pairs of rows that agree in a block are ever
-multiplied: their overlap is accumulated over the whole rows and compared with
-the bound. Blocks that many documents fill alike and blocks of few n-grams are
+multiplied. Blocks that many documents fill alike and blocks of few n-grams are
 left out as far as the bound allows it, so a passage shared by many documents
 does not make pairs of them.
 
+The product of a row with all its partners goes from one stretch of columns to
+the next and adds up the overlaps. After each stretch the pairs are discarded
+whose overlap can't reach the bound any more with all the n-grams still to come,
+and only the others go on.
+
 Equal sets are one row of the matrix. Of the rows that agree in a block each is
 paired with the smallest only. What that does not decide - a row that does not
 link to the smallest, against the others - is compared in blocks of rows by the
@@ -30,15 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealerflow.llm.common import one_row_per_id, saved, text_chunks
+from dealerflow.llm.common import join_groups, numbered, saved, text_chunks
 from dealerflow.llm.components import components
 from dealerflow.llm.packed import GATHER, SCHEMA, Gatherer, bucket_of, buckets_for, packed_rows, unpack
+from dealerflow.llm.radix_dedup import BITS, open_map
 from dealerflow.llm.words import mix, sequence_hashes, word_hashes
 
 #: Words of an n-gram; least overlap in percent of the union.
 WORDS, PERCENT = 4, 85
 #: Rows that meet one leading row in a task, at most about.
 MEETING = 1024
+#: Stretches of columns of a product, partners that are multiplied at once, and places that are broadcast at most.
+STRETCHES, PARTNERS, FEW = 4, 64, 1 << 17
 #: Common blocks that are listed, at most.
 COMMON = 1 << 16
 _U = np.uint64
@@ -265,11 +272,43 @@ def candidate_stars(rows: DataFrame, buckets: int, common: Common = NONE) -> Dat
     return stars.groupBy("bucket").applyInArrow(_distinct, "a bigint, b bigint")
 
 
+def overlaps(lead: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Which of ``rows`` link to ``lead``: their product with it, stretch by stretch of the columns.
+
+    All are sorted distinct n-grams. A row leaves the product as soon as what it
+    shares so far and all that either side has left can't make the least overlap.
+    """
+    sizes = np.array([len(r) for r in rows], np.int64)
+    least = -(-PERCENT * (sizes + len(lead)) // (100 + PERCENT))
+    alive = np.flatnonzero((sizes > 0) & (len(lead) > 0) & (np.minimum(sizes, len(lead)) >= least))
+    shared = np.zeros(len(rows), np.int64)
+    stretches = max(1, min(STRETCHES, len(lead) // 64))
+    ends = [len(lead) * (k + 1) // stretches for k in range(stretches)]
+    done = np.zeros(len(rows), np.int64)
+    for k, end in enumerate(ends):
+        first = ends[k - 1] if k else 0
+        columns = lead[first:end]
+        for i in alive:
+            row = rows[i]
+            # Up to the last column of the stretch; what lies between stretches has no column.
+            upto = len(row) if end == len(lead) else int(np.searchsorted(row, columns[-1], "right"))
+            part = row[done[i] : upto]
+            spot = np.minimum(np.searchsorted(columns, part), len(columns) - 1)
+            shared[i] += np.count_nonzero(columns[spot] == part)
+            done[i] = upto
+        alive = alive[shared[alive] + np.minimum(len(lead) - end, sizes[alive] - done[alive]) >= least[alive]]
+    out = np.zeros(len(rows), bool)
+    out[alive] = True
+    return out
+
+
 def linked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link, by the product of their rows.
 
-    Each ``a`` leads a meeting: its row comes first, then the rows of its
-    partners, one at a time. A leader of many is sent to several meetings.
+    Each ``a`` leads a meeting: its text comes first, then the texts of its
+    partners. A leader of many is sent to several meetings. Only texts that have a
+    place are shuffled: few places are broadcast, else the texts are sifted by a
+    map of fixed size before they meet their places.
     """
     meetings = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEETING).alias("meetings"))
     guests = pairs.join(meetings, "a").select(
@@ -279,45 +318,65 @@ def linked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         F.col("a").alias("id"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("meetings") - 1)).alias("meeting"),
         F.lit(False).alias("guest"),
     )
-    places = guests.unionByName(leads).groupBy("id").agg(F.collect_list(F.struct("lead", "meeting", "guest")).alias("places"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offsets in text_chunks(batches):
-            grams, at = gram_sets(raw, offsets)
-            rows = [grams[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.binary())], ["id", "places", "grams"])
+    places = saved(guests.unionByName(leads))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lead = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for i in range(batch.num_rows):
-                key, guest, who = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                row = np.frombuffer(batch.column(4)[i].as_buffer(), "<u8")
+        waiting: list[tuple[int, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            own = overlaps(lead, [row for _, row in waiting])
+            found = [who for (who, _), links_ in zip(waiting, own, strict=True) if links_]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(found), pa.int64()), pa.array(found, pa.int64())], ["a", "b"])
+
+        for part, raw, offsets in text_chunks(batches):
+            grams, at = gram_sets(raw, offsets)
+            for i, (first, meeting, guest, who) in enumerate(zip(*(part.column(c).to_pylist() for c in range(4)), strict=True)):
+                row = grams[at[i] : at[i + 1]]
                 if not guest:
-                    now, lead = key, row
-                elif now == key and len(row) and PERCENT * max(len(row), len(lead)) <= 100 * min(len(row), len(lead)):
-                    spot = np.minimum(np.searchsorted(lead, row), len(lead) - 1)
-                    if links(int(np.count_nonzero(lead[spot] == row)), len(row), len(lead)):
-                        found.append((key[0], who))
-            a, b = (pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [])))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
-
-    met = rows.join(places, "id").select("id", "text", "places")
-    kind = met.schema["places"].dataType.simpleString()
-    met = met.mapInArrow(sets, f"id bigint, places {kind}, grams binary").select("id", F.explode("places").alias("p"), "grams")
-    met = met.select("p.lead", "p.meeting", "p.guest", "id", "grams").repartition("lead", "meeting")
+                    if waiting:
+                        yield flush()
+                    now, lead = (first, meeting), row.copy()
+                elif now == (first, meeting):
+                    waiting.append((who, row.copy()))
+                    if len(waiting) == PARTNERS:
+                        yield flush()
+        if waiting:
+            yield flush()
+
+    texts = rows.select("id", "text")
+    if places.count() <= FEW:
+        met = texts.join(F.broadcast(places), "id")
+    else:
+        met = sifted(texts, places).join(places, "id")
+    met = met.select("lead", "meeting", "guest", "id", "text").repartition("lead", "meeting")
     return met.sortWithinPartitions("lead", "meeting", "guest").mapInArrow(multiply, "a bigint, b bigint")
 
 
+def sifted(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows whose id may be among those of ``places``: all that are, and others as far as the map is full."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    shared = texts.sparkSession.sparkContext.broadcast(open_map(places.select(slot("id").alias("slot"))))  # BITS / 8 bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], ["id", "text"])
+
+    return texts.select(slot("id").alias("slot"), "id", "text").mapInArrow(run, "id bigint, text string")
+
+
 def _may_link(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components whose sizes and blocks allow a link.
+    """Pairs of a visitor and another row, of different components, whose sizes and blocks allow a link.
 
     Blocks of different size differ in at least as many n-grams as their sizes,
     other unequal blocks in at least two.
     """
     group = group.drop_duplicates("id", ignore_index=True)
-    n, inside = group["n"].to_numpy(), group["component"].to_numpy()
+    n, inside, visits = group["n"].to_numpy(), group["component"].to_numpy(), group["visits"].to_numpy()
     level = np.searchsorted(classes(), n)
     found = [np.zeros((0, 2), np.int64)]
     for top in np.unique(level):
@@ -329,7 +388,7 @@ def _may_link(group: pd.DataFrame) -> pd.DataFrame:
         for row in np.flatnonzero(level[below] == top):
             k = below[row]
             total = n[below] + n[k]
-            fits = (inside[below] != inside[k]) & (PERCENT * np.maximum(n[below], n[k]) <= 100 * np.minimum(n[below], n[k]))
+            fits = (visits[below] | visits[k]) & (inside[below] != inside[k]) & (PERCENT * np.maximum(n[below], n[k]) <= 100 * np.minimum(n[below], n[k]))
             rows = np.flatnonzero(fits & ((level[below] < top) | (below < k)))
             apart = np.abs(sizes[rows] - sizes[row])
             apart[(apart == 0) & (names[rows] != names[row])] = 2
@@ -344,17 +403,22 @@ def _may_link(group: pd.DataFrame) -> pd.DataFrame:
 def undecided(broken: DataFrame, stars: DataFrame, sets: DataFrame, where: DataFrame) -> DataFrame:
     """Pairs around the leaders of ``broken`` pairs that may link and are not in one component.
 
-    Who shares a block with a leader is dealt into blocks of rows, and a task
-    multiplies two of them, comparing the sets' sketches.
+    Who shares a block with a leader is dealt into blocks of rows. Only who is
+    not in the leader's component visits all blocks around it, the others stay in
+    their own: among themselves they are joined already. A task compares its
+    residents and visitors by the sets' sketches.
     """
-    led = stars.join(broken.select("a").distinct(), "a")
-    size = led.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEETING).alias("size"))
-    row = led.join(size, "a").select("a", F.col("b").alias("id"), "size", F.pmod(F.xxhash64("b"), "size").alias("i"))
-    row = row.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
-    row = row.select("a", "id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-    row = row.join(sets.select("id", "n", "sketch"), "id").join(where, "id", "left")
-    row = row.withColumn("component", F.coalesce("component", "id"))
-    return row.groupBy("a", "i", "j").applyInPandas(_may_link, "a bigint, b bigint").distinct()
+    leaders = broken.select("a").distinct()
+    size = stars.join(leaders, "a").groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEETING).alias("size"))
+    in_of = lambda c: where.select(F.col("id").alias(c), F.col("component").alias(f"in_{c}"))
+    row = stars.join(size, "a").select("a", F.col("b").alias("id"), "size", F.pmod(F.xxhash64("b"), "size").alias("i"))
+    row = row.join(in_of("a"), "a", "left").join(in_of("id"), "id", "left")
+    row = row.withColumns({"lead": F.coalesce("in_a", "a"), "component": F.coalesce("in_id", "id")})
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)
+    places = F.when(F.col("component") == F.col("lead"), F.array("i")).otherwise(every)
+    row = row.withColumn("j", F.explode(places)).withColumn("visits", F.col("component") != F.col("lead"))
+    row = row.select("a", "id", "j", "component", "visits").join(sets.select("id", "n", "sketch"), "id")
+    return row.groupBy("a", "j").applyInPandas(_may_link, "a bigint, b bigint").distinct()
 
 
 def _apart(pairs: DataFrame, where: DataFrame) -> DataFrame:
@@ -365,20 +429,16 @@ def _apart(pairs: DataFrame, where: DataFrame) -> DataFrame:
     return out.where("in_a <> in_b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``n_shingles`` (size of its set), ``component_id`` (smallest id reachable by links).
-
-    A-Z count as a-z, words are ``[^\\x20\\x09-\\x0D]+``. Null and empty texts and
-    texts without words have no shingle and link with nothing. Ids are whole numbers; rows
-    without id are left out, rows that repeat an id count once. Other columns are
-    not read. N-grams are compared by 64-bit hashes, whole sets by 128 bits.
-    """
-    rows = one_row_per_id(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), "id", "text")
-    facts = saved(rows.select("id", "text").mapInArrow(_facts, "id bigint, n bigint, high bigint, low bigint, sketch binary"))
+def components_of(rows: DataFrame) -> DataFrame:
+    """``key``, ``n_shingles``, ``component`` (smallest key reachable by links) of rows (key, text) with keys of their own."""
+    rows = rows.select(F.col("key").alias("id"), "text")
+    facts = saved(rows.mapInArrow(_facts, "id bigint, n bigint, high bigint, low bigint, sketch binary"))
     # Equal sets: the smallest id stands for all.
-    named = ["n", "high", "low"]
-    first = facts.where("n > 0").groupBy(*named).agg(F.min("id").alias("rep"))
-    member = saved(facts.join(first, named, "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    named = facts.select("id", F.col("n").alias("size"), "high", "low")
+    first = named.groupBy("size", "high", "low").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    named = join_groups(named, first, ["size", "high", "low"], facts.count())
+    rep = F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id"))
+    member = saved(named.select("id", F.col("size").alias("n"), rep.alias("rep")))
     rep = member.where("id <> rep").select("id", "rep")
 
     def by_rep(pairs: DataFrame) -> DataFrame:
@@ -402,4 +462,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             where = components(near.unionByName(linked(rows, others)))
     labels = where.select(F.col("id").alias("rep"), "component")
     out = member.join(labels, "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return out.select(F.col("id").alias("key"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, ``n_shingles`` (size of its set), ``component_id`` (smallest id reachable by links).
+
+    A-Z count as a-z, words are ``[^\\x20\\x09-\\x0D]+``. Null and empty texts and
+    texts without words have no shingle and link with nothing. Rows with a null or
+    a repeated id are rows like any other; the smallest id of a component is null
+    only if all its ids are. Other columns are not read. N-grams are compared by
+    64-bit hashes, whole sets by 128 bits.
+    """
+    known = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    found = components_of(known.rows.select("key", "text")).withColumnsRenamed({"key": "_key", "component": "_component"})
+    found = known.with_id(known.with_id(found, "_key", id_col), "_component", "component_id")
+    return found.select(id_col, "n_shingles", "component_id")

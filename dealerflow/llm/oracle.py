@@ -56,6 +56,8 @@ OP6 = (
     r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), b AS (
+  SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS bits FROM d
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
          (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight,
@@ -70,23 +72,33 @@ WITH d AS (
   SELECT source, source_size,
          least((SELECT arg_min(level, rank) FROM rising WHERE level * weight <= cap) * weight, cap::DOUBLE) AS target
   FROM rising
-), t AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM target
+), c AS (
+  SELECT source, bits, sum(size)::BIGINT AS words FROM b GROUP BY source, bits
+), lv AS (
+  SELECT c.*, source_size, target,
+         (target - 3 * coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / nullif(sum(bits * words) OVER (PARTITION BY c.source ORDER BY bits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::DOUBLE AS level
+  FROM c JOIN target ON c.source IS NOT DISTINCT FROM target.source
+), common AS (
+  SELECT source, arg_max(level, bits) AS level FROM lv WHERE level * bits <= 3 GROUP BY source
+), e AS (
+  SELECT lv.* EXCLUDE (level), CASE WHEN bits = 0 THEN 0 ELSE least(coalesce(common.level * bits, 3), 3) END::DOUBLE AS copies
+  FROM lv LEFT JOIN common ON lv.source IS NOT DISTINCT FROM common.source
 ), p AS (
-  SELECT *, floor(ratio)::BIGINT AS whole, ratio - floor(ratio)::BIGINT AS part FROM t
+  SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies)::BIGINT AS part FROM e
 ), room0 AS (
-  SELECT source, target - whole * source_size AS room FROM p WHERE part > 0
+  SELECT source, max(target) - sum(whole * words)::DOUBLE AS room FROM p GROUP BY source
 ), left0 AS (
-  SELECT doc_id, d.source, size, (u / (1 - u)) / (part / (1 - part)) AS q
-  FROM (SELECT *, (('0x' || substr(md5(doc_id::VARCHAR || ':mix'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d) d
-  JOIN p ON d.source IS NOT DISTINCT FROM p.source WHERE part > 0
+  SELECT doc_id, b.source, size, (u / (1 - u)) / (part / (1 - part)) AS q
+  FROM (SELECT *, (('0x' || substr(md5(doc_id::VARCHAR || ':mix'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM b) b
+  JOIN p ON b.source IS NOT DISTINCT FROM p.source AND b.bits = p.bits WHERE part > 0
 )"""
     + "".join(_MIX_PASS.format(k=k, n=k + 1) for k in range(4))
     + r"""
 , got AS (SELECT doc_id FROM got0 UNION ALL SELECT doc_id FROM got1 UNION ALL SELECT doc_id FROM got2 UNION ALL SELECT doc_id FROM got3)
-SELECT d.doc_id, d.size, p.source_size, p.target,
-       ((p.whole + CASE WHEN got.doc_id IS NULL THEN 0 ELSE 1 END) * d.size)::BIGINT AS taken
-FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN got ON d.doc_id = got.doc_id
+SELECT b.doc_id, b.size, p.source_size, p.target,
+       ((p.whole + CASE WHEN got.doc_id IS NULL THEN 0 ELSE 1 END) * b.size)::BIGINT AS taken
+FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source AND b.bits = p.bits LEFT JOIN got ON b.doc_id = got.doc_id
 """
 )
 

@@ -17,8 +17,8 @@ from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -206,10 +206,12 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, length: int) -> np.ndarray
 
 
 def _block(length: int, fresh: bool, tag: int):
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([rows.columns[0], "piece", "start"], kind="stable", ignore_index=True)
-        sizes = rows["length"].to_numpy()
-        bins = best_fit(sizes, length) if fresh else np.unique(rows["sequence_id"].to_numpy(), return_inverse=True)[1]
+    def pack(rows: pa.Table) -> pa.Table:
+        # Ids stay in Arrow: null beside a large number would cost it its last digits elsewhere.
+        order = pc.sort_indices(rows, sort_keys=[(name, "ascending") for name in (rows.column_names[0], "piece", "start", "ids_crc32")])
+        rows = rows.take(order)
+        sizes = rows.column("length").to_numpy()
+        bins = best_fit(sizes, length) if fresh else np.unique(rows.column("sequence_id").to_numpy(), return_inverse=True)[1]
         bins = local_search(sizes, bins, length)
         order = np.lexsort((np.arange(len(bins)), bins))
         before = np.cumsum(sizes[order]) - sizes[order]
@@ -217,8 +219,10 @@ def _block(length: int, fresh: bool, tag: int):
         offset = np.empty(len(bins), np.int64)
         offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
         fill = np.bincount(bins, sizes).astype(np.int64)
-        block = int(rows["block"].iloc[0])
-        return rows.assign(sequence_id=(tag << BIN_BITS + BLOCK_BITS) + (block << BIN_BITS) + bins, offset=offset, fill=fill[bins]).drop(columns="block")
+        block = rows.column("block")[0].as_py()
+        made = {"sequence_id": (tag << BIN_BITS + BLOCK_BITS) + (block << BIN_BITS) + bins, "offset": offset, "fill": fill[bins]}
+        columns = [c for c in rows.column_names if c != "block"]
+        return pa.table([pa.array(made[c]) if c in made else rows.column(c) for c in columns], columns)
 
     return pack
 
@@ -265,7 +269,7 @@ def pack(cut: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
         if not tag:
             dealt = dealt.withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint"), "fill": F.lit(0).cast("bigint")})
         schema = dealt.drop("block").schema
-        packed = saved(dealt.groupBy("block").applyInPandas(_block(length, not tag, tag), schema))
+        packed = saved(dealt.groupBy("block").applyInArrow(_block(length, not tag, tag), schema))
         if blocks == 1:
             done.append(packed)
             break

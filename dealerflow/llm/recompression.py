@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealerflow.llm.common import one_row_per_id, saved, text_chunks
+from dealerflow.llm.common import numbered, saved, text_chunks
 from dealerflow.llm.packed import buckets_for, in_smaller_document
 from dealerflow.llm.words import mix, sequence_hashes, word_hashes
 
@@ -121,12 +121,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     A window is ``window`` consecutive words ``[^\\x20\\x09-\\x0D]+`` of one
     document; a word is removed if a window over it also stands in a document
     with a smaller id. Windows are judged on the input. A null or empty text has no words,
-    and shorter texts no window. Ids are whole numbers; rows without id are left
-    out, rows that repeat an id count once. Other columns are not read.
+    and shorter texts no window. Rows with a null or a repeated id are rows like any
+    other: null ids come last, and of rows with one id the one whose text has the
+    smaller digest counts as smaller. Other columns are not read.
     Names are 64-bit hashes: among ``n`` windows one is mistaken with
     probability ``n / 2^64``.
     """
-    rows = one_row_per_id(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), "id", "text")
+    known = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = known.rows.select(F.col("key").alias("id"), "text")
     buckets = buckets_for(rows, "text", 1 / 8)
 
     def symbols(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -150,7 +152,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     shared = saved(shared.withColumnRenamed("names", "symbols"))
     with_symbols = rows.join(shared, "id", "left").select("id", "text", "symbols")
     left = in_smaller_document(with_symbols, windows, buckets).withColumnRenamed("names", "windows")
-    known = with_symbols.join(left, "id", "left").select("id", "text", "symbols", "windows")
+    both = with_symbols.join(left, "id", "left").select("id", "text", "symbols", "windows")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in text_chunks(batches):
@@ -173,5 +175,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             arrays = [part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n_words", "n_removed", "kept_sha256"])
 
-    out = known.mapInArrow(strip, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    out = both.mapInArrow(strip, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return known.with_id(out.withColumnRenamed("id", "_key"), "_key", id_col).select(id_col, "n_words", "n_removed", "kept_sha256")

@@ -9,6 +9,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -169,12 +170,17 @@ def test_word_hashes(docs):
 # --- near duplicates -------------------------------------------------------
 
 
+def by_id(rows):
+    """The rows in the order of ids, null last."""
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+
+
 def brute_components(rows):
+    """Size of the set and smallest number of the component of every row, by its number in the order of ids."""
     sets = {}
-    for i, text, *_ in rows:
-        if i is not None:
-            w = WORD.findall(lowered(text))
-            sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set()
+    for i, (_, text, *_) in enumerate(by_id(rows)):
+        w = WORD.findall(lowered(text))
+        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set()
     parent = {i: i for i in sets}
 
     def find(x):
@@ -210,8 +216,9 @@ def chains():
 
 @pytest.mark.parametrize("rows", [edge_rows(), chains()], ids=["edges", "chains"])
 def test_near_duplicates(shipped, rows):
-    got = ngram_join.near_duplicates(table(shipped, rows)).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    got = collections.Counter(tuple(r) for r in ngram_join.near_duplicates(table(shipped, rows)).collect())
+    ids = [r[0] for r in by_id(rows)]
+    assert got == collections.Counter((ids[i], n, ids[c]) for i, (n, c) in brute_components(rows).items())
 
 
 def test_components_of_long_chains(shipped):
@@ -242,30 +249,57 @@ def test_components(shipped):
 
 @pytest.mark.parametrize("rows", [edge_rows(), chains()], ids=["edges", "chains"])
 def test_remove_repeats(shipped, rows):
-    texts = {i: WORD.findall(t or "") for i, t, *_ in rows if i is not None}
+    numbers = {r.row_key: r for r in common.with_row_key(table(shipped, rows).select("doc_id", "text")).collect()}
+    ids, texts = {k: r.doc_id for k, r in numbers.items()}, {k: WORD.findall(r.text or "") for k, r in numbers.items()}
     first = {}
     for i in sorted(texts):
         for k in range(len(texts[i]) - 12):
             first.setdefault(tuple(texts[i][k : k + 13]), i)
-    got = {r.doc_id: r for r in recompression.remove_repeats(table(shipped, rows)).collect()}
-    assert set(got) == set(texts)
+    got = collections.Counter(tuple(r) for r in recompression.remove_repeats(table(shipped, rows)).collect())
+    expected = collections.Counter()
     for i, w in texts.items():
         gone = set()
         for k in range(len(w) - 12):
             if first[tuple(w[k : k + 13])] < i:
                 gone.update(range(k, k + 13))
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        assert (got[i].n_words, got[i].n_removed) == (len(w), len(gone)), i
-        assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest(), i
+        expected[ids[i], len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    assert got == expected
 
 
 # --- exact duplicates, mixing ----------------------------------------------
 
 
 def test_exact_duplicates(shipped):
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in radix_dedup.exact_duplicates(table(shipped, edge_rows())).collect()}
-    assert got[1] == got[2] == (2, 2) and got[5] == got[6] == got[7] == (7, 3)
-    assert got[10] == (10, 1) and got[11] == (11, 1) and len(got) == 17
+    rows = radix_dedup.exact_duplicates(table(shipped, edge_rows())).collect()
+    assert len(rows) == len(edge_rows()) and sum(r.kept for r in rows) == len(rows) - 4
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in rows}
+    assert got[1] == got[2] == (2, 3) and got[5] == got[6] == got[7] == (7, 3)
+    assert got[10] == (10, 1) and got[11] == (11, 1) and got[None] == (None, 1)
+
+
+def test_exact_duplicates_without_own_ids(shipped):
+    """A third of the ids null, another third alike: every row is counted, and one of each group stays."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k % 40}" + " " * (k % 7), "a") for k in range(600)]
+    got = radix_dedup.exact_duplicates(table(shipped, rows)).collect()
+    assert len(got) == 600 and sum(r.kept for r in got) == 40 and {r.group_size for r in got} == {15}
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, *_ in rows)
+    for r in got:
+        longest = [i for i, t, _ in rows if hashlib.sha256(t.replace(" ", "").encode()).hexdigest() == r.text_sha256 and len(t) == max(
+            len(u) for _, u, _ in rows if u.split() == t.split())]
+        assert r.keep_id == min(longest, key=lambda i: (i is None, i or 0))
+
+
+def test_exact_duplicates_of_wide_blocks(shipped, monkeypatch):
+    """Texts that part only far behind their heads, in blocks of several parts, and few rounds for them."""
+    monkeypatch.setattr(radix_dedup, "PART", 1000)
+    rounds = []
+    split = radix_dedup._split
+    monkeypatch.setattr(radix_dedup, "_split", lambda members, total: rounds.append(1) or split(members, total))
+    texts = ["a" * 300_000, "a" * 299_999 + "b", "a" * 150_000 + "b" + "a" * 149_999, "a" * 250_000]
+    rows = [(10 * k + i, t, "s") for k in range(3) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in radix_dedup.exact_duplicates(table(shipped, rows)).collect()}
+    assert got == {10 * k + i: (i, 3) for k in range(3) for i in range(4)} and len(rounds) <= 6
 
 
 def test_exact_duplicates_of_long_texts_with_equal_heads(shipped):
@@ -302,6 +336,34 @@ def test_mixing(shipped):
     assert sorted(got, key=str) == sorted(again, key=str)
 
 
+def test_mixing_counts_rows_without_own_ids(shipped):
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, "w " * (1 + k % 9), "ab"[k % 2]) for k in range(900)]
+    got = mixing.mix_to_targets(table(shipped, rows)).collect()
+    assert collections.Counter((r.doc_id, r.size) for r in got) == collections.Counter((i, len(t.split())) for i, t, _ in rows)
+    assert sum({r.source: r.source_size for r in got}.values()) == sum(len(t.split()) for _, t, _ in rows)
+
+
+def test_mixing_follows_the_stated_probabilities(shipped):
+    """Over many seeds a document is taken as often as expected, long ones more often than short ones."""
+    rows = [(i, "w " * int(2 ** (i % 7)), "ab"[i % 5 == 0]) for i in range(2100)]
+    keyed = table(shipped, rows).selectExpr("doc_id as key", "text", "source")
+    sized = keyed.selectExpr("false as unnamed", "source as name", "size(split(trim(text), ' ')) as size")
+    classes = sized.selectExpr("*", "length(bin(size)) as bits").groupBy("unnamed", "name", "bits").agg(F.sum("size").alias("words"), F.count("size").alias("n"))
+    copies = mixing.expected_copies(classes, mixing.source_targets(classes)).collect()
+    expected = {(r.name, r.bits): r.whole + r.part for r in copies}
+    assert all(expected[s, b] <= expected[s, b + 1] <= 3 for s, b in expected if (s, b + 1) in expected)
+    assert len({round(x, 6) for x in expected.values()}) > 4
+    seeds, taken = 4, collections.Counter()
+    for seed in range(seeds):
+        for r in mixing.copies_of(keyed, seed=str(seed)).collect():
+            taken[r.name, len(f"{r.size:b}")] += r.copies
+    docs = collections.Counter((s, len(f"{len(t.split()):b}")) for _, t, s in rows)
+    for key, n in docs.items():
+        share = expected[key] % 1
+        noise = (share * (1 - share) / (seeds * n)) ** 0.5
+        assert abs(taken[key] / (seeds * n) - expected[key]) < 5 * noise + 0.04, key
+
+
 # --- chat ------------------------------------------------------------------
 
 
@@ -446,9 +508,17 @@ def test_blocks_of_one_repeated_id_are_bounded(shipped, monkeypatch):
 
 def test_sequence_numbers_of_blocks_do_not_meet():
     n = (1 << 20) + 1
-    rows = packing.pd.DataFrame({"doc_id": np.arange(n), "piece": 0, "start": 0, "length": 2048, "sequence_id": 0, "offset": 0, "fill": 0, "block": 0})
+    same = {"piece": 0, "start": 0, "length": 2048, "ids_crc32": 0, "sequence_id": 0, "offset": 0, "fill": 0}
+    rows = lambda n, block: pa.table({"doc_id": np.arange(n), **{c: np.full(n, v) for c, v in same.items()}, "block": np.full(n, block)})
     pack = packing._block(2048, True, 0)
-    assert pack(rows)["sequence_id"].max() < pack(rows[:1].assign(block=1))["sequence_id"].min()
+    assert pack(rows(n, 0))["sequence_id"].to_numpy().max() < pack(rows(1, 1))["sequence_id"].to_numpy().min()
+
+
+def test_packing_keeps_large_ids_beside_null(shipped):
+    ids = [None, 2**53 + 1, 2**53 + 1, -(2**53) - 1, 2**63 - 1, None, *range(40)]
+    for block in (4, 1 << 15):
+        got = packing.pack_documents(table(shipped, [(i, "word " * 500, "a") for i in ids]), queries.tokenizer_path(), block=block).collect()
+        assert collections.Counter(r.doc_id for r in got) == collections.Counter(ids)
 
 
 def test_local_search_never_worse():
@@ -520,11 +590,27 @@ def test_pipeline_stages(shipped, sf_dir):
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         after = stage(shipped, docs, sf_dir)
         assert after.columns == docs.columns
-        kept = {r.doc_id for r in after.select("doc_id").collect()}
+        kept = collections.Counter(r.doc_id for r in after.select("doc_id").collect())
+        ids = [r[0] for r in by_id(edge_rows())]
         if name == "exact_dedup":
-            assert kept == set(range(1, 18)) - {1, 5, 6}
+            assert kept == collections.Counter([*(set(range(1, 18)) - {1, 5, 6}), None])
         if name == "near_dedup":
-            assert kept == {i for i, (_, c) in brute_components(edge_rows()).items() if i == c}
+            assert kept == collections.Counter(ids[i] for i, (_, c) in brute_components(edge_rows()).items() if i == c)
+
+
+def test_pipeline_stages_with_clashing_columns(shipped, sf_dir, monkeypatch):
+    """Columns that carry the stages' own names, alike in all rows, come through as they are."""
+    rows = [(k, " ".join(passage(60, 2000 + k // 2 * (k < 20) + k * (k >= 20)))) for k in range(40)]
+    names = "row_key long, key long, row string, copies int, copy int, component long, keep long, score double, place long"
+    docs = shipped.createDataFrame([(i, t, "en", "s", len(t), 1, 2, "r", 3, 4, 5, 6, 0.5, 7) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    monkeypatch.setattr(corpus_pipeline, "KEEP_FROM", 0.0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = common.saved(stage(shipped, docs, sf_dir))
+        assert after.columns == docs.columns
+        got = {r.doc_id for r in after.collect()}
+        assert got == (set(range(40)) if name in ("quality", "mixing") else set(range(40)) - set(range(1, 20, 2))), name
+        assert after.select("row_key", "key", "row", "copies", "copy", "component", "keep", "score", "place").distinct().collect() == [(1, 2, "r", 3, 4, 5, 6, 0.5, 7)]
+    assert {r.doc_id for r in corpus_pipeline.pack_sequences(shipped, docs, sf_dir).collect()} == set(range(40))
 
 
 def test_pipeline_keeps_rows_with_null_and_repeated_ids(shipped, sf_dir, monkeypatch):
