@@ -1,13 +1,11 @@
 """From raw documents to packed training sequences: five stages, each a corpus operator.
 
 Every stage works on all that the one before kept. All but the last return the
-columns of documents, from the first on with ``row_key``; the last returns the
-pieces of packed sequences.
+columns of documents; the last returns the pieces of packed sequences.
 
-Rows are judged, not ids: the first stage numbers the rows, and the stages after
-it run on that number, so a null id or an id that repeats is a value like any
-other. A stage called on its own, on a table without ``row_key``, goes by
-``doc_id`` under its operator's rule: rows without id leave, an id counts once.
+Rows are judged, not ids: a stage numbers its rows where ids are null or repeat,
+and the number stays inside the stage, beside a struct of the row's own columns,
+so no column name can clash with it.
 """
 
 from __future__ import annotations
@@ -18,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealerflow.llm import mixing, ngram_join, packing, quality, radix_dedup
-from dealerflow.llm.common import ROW_KEY, one_row_per_id, read_table, saved, ship_package, with_row_key
+from dealerflow.llm.common import numbered_rows, read_table, saved, scratch, ship_package, without
 from dealerflow.llm.queries import KEEP_FROM, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,29 +25,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
-def _key(docs: DataFrame) -> str:
-    return ROW_KEY if ROW_KEY in docs.columns else "doc_id"
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    """One row per key; nothing is left out where the rows are numbered."""
-    key = _key(docs)
-    return one_row_per_id(docs, key, *(c for c in docs.columns if c != key)).select(*docs.columns)
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject, every row judged on its own and numbered."""
+    """Documents that the classifier doesn't reject, every row judged on its own."""
     ship_package(spark)
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score_documents(with_row_key(docs), model).where(F.col("score") >= KEEP_FROM).select("row.*")
+    return quality.score_documents(docs, model).where(F.col("score") >= KEEP_FROM).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     ship_package(spark)
-    key = _key(docs)
-    kept = radix_dedup.exact_duplicates(docs, key).where("kept").select(key)
-    return _rows(docs).join(kept, key, "left_semi").select(*docs.columns)
+    rows = numbered_rows(docs)
+    found = radix_dedup.duplicates(rows.select("key", "row.text"))
+    return without(rows, saved(found.where("key <> keep").select("key"))).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,18 +46,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Near copies are what op3 says: of the sets of four words in a row, 85 percent are shared.
     """
     ship_package(spark)
-    key = _key(docs)
-    kept = ngram_join.near_duplicates(docs, key).where(F.col("component_id") == F.col(key)).select(key)
-    return _rows(docs).join(kept, key, "left_semi").select(*docs.columns)
+    rows = numbered_rows(docs)
+    found = ngram_join.components_of(rows.select("key", "row.text"))
+    return without(rows, saved(found.where("key <> component").select("key"))).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, up to three times."""
     ship_package(spark)
-    key = _key(docs)
-    copies = mixing.mix_to_targets(docs, key).where("copies > 0").select(key, "copies")
-    rows = _rows(docs).join(copies, key)
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = numbered_rows(docs)
+    copies = mixing.copies_of(rows.select("key", "row.source", "row.text")).where("copies > 0").select("key", "copies")
+    every = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return rows.join(copies, "key").select("row", every.alias("copy")).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,5 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written as Parquet and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
     return docs
