@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -67,16 +66,26 @@ def saved(table: DataFrame) -> DataFrame:
     """
     spark = table.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-    table.write.parquet(path)
+    with _swept(spark):
+        table.write.parquet(path)
     _WRITTEN.append(path)
     store, at = _stored(spark, path)
     store.deleteOnExit(at)
-    # Plans that are done with hold shuffle files until both collectors have run.
-    gc.collect()
-    spark._jvm.System.gc()
     return spark.read.schema(table.schema).parquet(path)
 
 
+@contextmanager
+def _swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it is done, and don't wait for the driver's garbage collector."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _stored(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at

@@ -102,6 +102,37 @@ FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source AND b.bits = p.bits LEFT
 """
 )
 
+OP7 = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+  FROM c
+), marked AS (
+  -- One character more for every backslash, every number sign before two others, and every mark that closes a turn.
+  SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+            + coalesce(list_sum([length(x) - 2 for x in regexp_extract_all(text, '#{3,}')]), 0)
+            + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS said,
+         CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15
+              ELSE 8 + length(role) + length(role) - length(replace(replace(role, '\', ''), ']', ''))
+                   + coalesce(list_sum([length(x) - 2 for x in regexp_extract_all(role, '#{3,}')]), 0)
+                   + (length(role) - length(replace(role, '</turn>', ''))) // 7 END AS opening,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY k) AS before,
+         row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS last
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
+       sum(opening + said + 8)::BIGINT AS formatted_chars,
+       bool_and(CASE coalesce(before, '') WHEN '' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
+                WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END)
+       AND max(CASE WHEN last = 1 THEN role END) = 'assistant' AS valid
+FROM marked GROUP BY conv_id
+"""
+
 OP10 = r"""
 WITH r AS (
   SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -153,4 +184,4 @@ WITH words AS (
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
-QUERIES = {"op4_recompression": OP4, "op5_radix_dedup": OP5, "op6_source_mixing": OP6, "op10_url_filter": OP10, "op13_max_sketch_search": OP13}
+QUERIES = {"op4_recompression": OP4, "op5_radix_dedup": OP5, "op6_source_mixing": OP6, "op7_chat_formatting": OP7, "op10_url_filter": OP10, "op13_max_sketch_search": OP13}

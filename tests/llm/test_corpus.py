@@ -136,6 +136,26 @@ def test_edited_notices_before_an_exact_one():
         assert license_scan.places(flat, notice) == expected
 
 
+def test_base_columns_like_brute_force(shipped, sf_dir, tmp_path):
+    """n_words, n_base, first and last word and base labels of the query, over whole tables."""
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    edges = [(9001, None, "a"), (9002, "", "a"), (9003, "CC BY cc by-cc BY", "a"), (9003, "all all rights reserved\x00rights", "a"), (None, "General public\nLICENSE é", "a")]
+    docs = shipped.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").unionByName(
+        shipped.createDataFrame(edges, "doc_id long, text string, source string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    expected = collections.Counter()
+    for r in docs.collect():
+        w = word.findall(lowered(r.text))
+        places = [(k, label) for phrase, label in phrases.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        at = [k for k, _ in places]
+        expected[r.doc_id, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))] += 1
+    got = queries.queries()["op1_license_scan"](shipped, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == expected
+    assert sum(n for key, n in expected.items() if key[2]) > 3
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["all rights reserved", "all right reserved", "al rights resrved", "rights", "reserved", "all", "x"]), max_size=12))
 def test_no_place_of_a_notice_is_left_between_those_found(parts):
@@ -570,6 +590,45 @@ def test_quality_learns_and_never_sees_held_out(shipped):
     assert np.array_equal(quality.train(docs, flipped).weights, model.weights)
 
 
+def brute_features(text, meta):
+    """Word weights by bucket and the bins of all statistics, one text at a time."""
+    raw = text.encode()
+    tokens = [t for t in re.split(rb"[\x20\x09-\x0D]+", raw) if t]
+    low = [bytes(b + 32 if 65 <= b <= 90 else b for b in t) for t in tokens]
+    counts = collections.Counter(low)
+    name = {t: int(words.word_hashes(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0][0]) for t in counts}
+    norm = sum(counts.values()) ** 0.5
+    weights = sorted(((name[t] >> 24) % quality.WORDS, n**0.5 / norm) for t, n in counts.items())
+    size = lambda n: min(quality.BINS - 2, int(np.log2(n + 1.0)))
+    share = lambda a, b: min(quality.BINS - 1, int((a / max(b, 1)) ** 0.5 * quality.BINS))
+    n, top = len(tokens), max(counts.values(), default=0)
+    again = sum(a == b for a, b in zip(low, low[1:]))
+    letters = sum(b >= 128 or chr(b).isalpha() for b in raw)
+    upper, digits = sum(65 <= b <= 90 for b in raw), sum(48 <= b <= 57 for b in raw)
+    marks = sum(33 <= b < 127 and not chr(b).isalnum() for b in raw)
+    bins = [
+        size(len(raw)), size(n), share(len(counts), n), share(top, n), share(again, n), share(upper, letters), share(digits, len(raw)),
+        share(marks, len(raw)), share(raw.count(b"|"), n), share(raw.count(b"\n"), n), min(quality.BINS - 1, len(raw) // max(n, 1)),
+        quality.BINS - 1 if meta is None else size(max(meta, 0)),
+    ]
+    return weights, [quality.WORDS + quality.BINS * k + b for k, b in enumerate(bins)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text(st.sampled_from("aB c\n|1.!É\t"), max_size=60), st.one_of(st.none(), st.integers(0, 9000))), min_size=1, max_size=5))
+def test_quality_features_like_brute_force(docs):
+    raw = [t.encode() for t, _ in docs]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    meta = np.array([np.nan if m is None else m for _, m in docs], float)
+    index, value, at = quality.features(np.frombuffer(b"".join(raw), np.uint8), offsets, meta)
+    for k, (text, m) in enumerate(docs):
+        own, x = index[at[k] : at[k + 1]], value[at[k] : at[k + 1]]
+        weights, bins = brute_features(text, m)
+        is_word = own < quality.WORDS
+        assert np.allclose(sorted(zip(own[is_word].tolist(), x[is_word].tolist())), weights) if weights else not is_word.any()
+        assert own[~is_word].tolist() == bins and (x[~is_word] == 0.5).all()
+
+
 # --- all together ----------------------------------------------------------
 
 
@@ -598,6 +657,40 @@ def test_pipeline_stages(shipped, sf_dir):
             assert kept == collections.Counter(ids[i] for i, (_, c) in brute_components(edge_rows()).items() if i == c)
 
 
+def test_pipeline_run_like_brute_force(shipped, tmp_path):
+    """The whole run against one document at a time: kept texts, then every piece of every copy."""
+    good = [(k, " ".join(passage(50 + k, 3000 + k)), "ab"[k % 2]) for k in range(60)]
+    copies = [(100 + k, good[k][1] + " " * k, "a") for k in range(8)] + [(200 + k, good[k][1].replace(" ", "\n", 2) + " end", "b") for k in range(5)]
+    junk = [(300 + k, "BUY!! | " * (20 + k), "a") for k in range(30)]
+    rows = good + copies + junk + [(400, " ".join(passage(3000, 9)), "b"), (401, None, "a")]
+    docs = table(shipped, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    labels = [(i, int(i < 300 or i >= 400)) for i, *_ in rows]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    shipped.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    written = len(common._WRITTEN)
+    got = corpus_pipeline.run(shipped, str(tmp_path)).collect()
+    assert len(common._WRITTEN) <= written + len(corpus_pipeline.STAGES)  # a stage's own tables are gone
+
+    model = quality.train(docs, shipped.read.parquet(f"{tmp_path}/labels.parquet"))
+    kept = {r.doc_id for r in quality.score_documents(docs, model).where("score >= 0.7").select("row.doc_id").collect()}
+    assert not kept & set(range(300, 330)) and len(kept & set(range(60))) > 50
+    left = [r for r in rows if r[0] in kept]
+    groups = collections.defaultdict(list)
+    for i, t, s in left:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i))
+    left = [r for r in left if r[0] in {min(g)[1] for g in groups.values()}]
+    ids = [r[0] for r in by_id(left)]
+    firsts = {ids[i] for i, (_, c) in brute_components(left).items() if i == c}
+    left = [r for r in left if r[0] in firsts]
+    mixed = {r.doc_id: r.copies for r in mixing.mix_to_targets(table(shipped, left)).collect()}
+    e, expected = packing.Encoder(queries.tokenizer_path()), collections.Counter()
+    for i, t, _ in left:
+        n = len(e.whole(t or "")) // 4 + 1
+        for k in range(-(-n // 2048)):
+            expected[i, k] = mixed[i]
+    assert collections.Counter((r.doc_id, r.piece) for r in got) == +expected
+
+
 def test_pipeline_stages_with_clashing_columns(shipped, sf_dir, monkeypatch):
     """Columns that carry the stages' own names, alike in all rows, come through as they are."""
     rows = [(k, " ".join(passage(60, 2000 + k // 2 * (k < 20) + k * (k >= 20)))) for k in range(40)]
