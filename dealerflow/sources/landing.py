@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dealerflow.files import Folder
+
 PARTITION = {"contracts": "eff_month", "preapprovals": "preapp_month"}
 _SORT = {"contracts": "eff_date", "preapprovals": "apply_date"}
 
@@ -19,7 +21,7 @@ def land(cleaned: DataFrame, name: str, folder: str) -> str:
     """
     path = f"{folder}/{name}"
     month = PARTITION.get(name)
-    _forget_refresh(cleaned.sparkSession, f"{folder}/_progress/{name}")
+    _forget_refresh(cleaned.sparkSession, folder, name)
     if month is None:
         cleaned.write.mode("overwrite").parquet(path)
         return path
@@ -33,11 +35,10 @@ def land(cleaned: DataFrame, name: str, folder: str) -> str:
     return path
 
 
-def _forget_refresh(spark: SparkSession, progress: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(progress).getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in (progress, f"{progress}-staged"):
-        files.delete(path(folder), True)
+def _forget_refresh(spark: SparkSession, folder: str, name: str) -> None:
+    progress = Folder(spark, f"{folder}/_progress")
+    for entry in (name, f"{name}-staged"):
+        progress.remove(entry)
 
 
 def read_landed(spark: SparkSession, like: DataFrame, name: str, folder: str) -> DataFrame:
