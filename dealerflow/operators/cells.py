@@ -10,6 +10,7 @@ keys together, and a measure stays null where its kind has no row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -28,8 +29,11 @@ FUNNEL_KEYS = [
 ]
 _ROW_KEYS = FUNNEL_KEYS[1:]
 _PREAPP_KEYS = [key for key in _ROW_KEYS if key != "prod_class"]
+_PREAPP_FACTS = ["apply_month", "preapp_result", "manual_ts", "auto_ts", "manual_result", "auto_result"]
 # Shares of the pre-approvals without an application id, at least.
 SPREAD = 64
+# Hot applications that are listed, at most.
+MOST_HOT = 10_000
 
 PREAPP, APPLY, EFFECTIVE = "preapp", "apply", "effective"
 
@@ -48,8 +52,36 @@ def shares_of(preapps: DataFrame) -> int:
     return max(SPREAD, int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", number)))
 
 
+Hot = Sequence[tuple[object, int]]
+
+
+def hot_applications(preapps: DataFrame, rows: int) -> Hot:
+    """Application ids with more pre-approvals than ``rows``, and in how many shares of that size to spread each.
+
+    One pass over the ids, counted on the map side. ``MOST_HOT`` ids at most: with
+    more of them ``rows`` doubles until the list is short enough.
+    """
+    counted = preapps.filter(F.col("app_id").isNotNull()).groupBy("app_id").agg(F.count(F.lit(1)).alias("rows"))
+    found = counted.filter(F.col("rows") > rows).orderBy(F.desc("rows"), "app_id").limit(MOST_HOT + 1).collect()
+    while len(found) > MOST_HOT:
+        rows *= 2
+        found = [r for r in found if r["rows"] > rows]
+    return [(r["app_id"], -(-r["rows"] // rows)) for r in found]
+
+
+def _shares(preapps: DataFrame, rows: DataFrame, shares: int, hot: Hot) -> DataFrame:
+    """``rows`` with the number of shares that their application id is spread over."""
+    spread = F.when(F.col("app_id").isNull(), shares)
+    if not hot:
+        return rows.withColumn("shares", spread.otherwise(1))
+    kind = preapps.schema["app_id"].dataType.simpleString()
+    listed = F.broadcast(preapps.sparkSession.createDataFrame(hot, f"app_id {kind}, hot_shares int"))  # MOST_HOT rows
+    joined = rows.join(listed, "app_id", "left")
+    return joined.withColumn("shares", spread.otherwise(F.coalesce("hot_shares", F.lit(1)))).drop("hot_shares")
+
+
 def _counted_join(
-    preapps: DataFrame, contracts: DataFrame, columns: list[str], shares: int | None
+    preapps: DataFrame, contracts: DataFrame, columns: list[str], shares: int | None, hot: Hot = ()
 ) -> DataFrame:
     """Pre-approvals with the distinct ``columns`` of their contracts and how often each occurs.
 
@@ -58,20 +90,21 @@ def _counted_join(
 
     Pre-approvals that never got an application id share one key. They are
     spread over ``shares`` by their other columns, and what the contracts without
-    an id have is repeated for each share. Any other hot id is left to the
-    adaptive skew split, which a left join allows on this side.
+    an id have is repeated for each share. So are the ids in ``hot`` (from
+    ``hot_applications``), over as many shares as their rows need; any other
+    hot id is left to the adaptive skew split, which a left join allows on this
+    side.
     """
     shares = shares or shares_of(preapps)
-    no_id = F.col("app_id").isNull()
-    share = F.pmod(F.xxhash64("preapp_date", *_PREAPP_KEYS), F.lit(shares)).cast("int")
-    every = F.when(no_id, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))
-    counted = (
-        contract_lookup(contracts)
-        .groupBy("app_id", *columns)
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("share", F.explode(every))
-    )
-    spread = preapps.withColumn("share", F.when(no_id, share).otherwise(0))
+    told_apart = ["preapp_date", *_PREAPP_KEYS, *(_PREAPP_FACTS if hot else [])]
+    share = F.pmod(F.xxhash64(*told_apart), F.col("shares")).cast("int")
+    counted = contract_lookup(contracts).groupBy("app_id", *columns).agg(F.count(F.lit(1)).alias("copies"))
+    counted = _shares(preapps, counted, shares, hot).withColumn(
+        "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    ).drop("shares")
+    spread = _shares(preapps, preapps, shares, hot).withColumn(
+        "share", F.when(F.col("shares") > 1, share).otherwise(0)
+    ).drop("shares")
     joined = null_safe_join(spread, counted, ["app_id", "share"]).drop("share")
     return joined.withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint")))
 
@@ -86,20 +119,20 @@ def of_applications(contracts: DataFrame, preapps: DataFrame) -> DataFrame:
 
 
 def enrich_preapprovals(
-    preapps: DataFrame, contracts: DataFrame, shares: int | None = None
+    preapps: DataFrame, contracts: DataFrame, shares: int | None = None, hot: Hot = ()
 ) -> DataFrame:
     """Pre-approvals with their contract columns; equal contracts are one row with ``copies``."""
-    return _counted_join(preapps, contracts, ["eff_date", "app_status", "prod_class"], shares)
+    return _counted_join(preapps, contracts, ["eff_date", "app_status", "prod_class"], shares, hot)
 
 
 def weigh_preapprovals(
-    preapps: DataFrame, contracts: DataFrame, shares: int | None = None
+    preapps: DataFrame, contracts: DataFrame, shares: int | None = None, hot: Hot = ()
 ) -> DataFrame:
     """Pre-approvals by product class, with ``copies`` in place of repeated rows.
 
     The join sees each (id, class) once and the counts are multiplied later.
     """
-    return _counted_join(preapps, contracts, ["prod_class"], shares)
+    return _counted_join(preapps, contracts, ["prod_class"], shares, hot)
 
 
 def _passed(result: str) -> Column:
@@ -156,6 +189,7 @@ def preapproval_rows(
     contracts: DataFrame,
     kinds: tuple[str, ...] = (PREAPP, APPLY),
     month: str | None = None,
+    hot: Hot = (),
 ) -> DataFrame:
     """Cell rows of the pre-approvals, one per kind.
 
@@ -169,7 +203,7 @@ def preapproval_rows(
             in_month(F.col(f"{k}_month"), F.col(f"{k}_date"), month) for k in kinds
         ]))
         contracts = of_applications(contracts, preapps)
-    weighed = weigh_preapprovals(preapps, contracts)
+    weighed = weigh_preapprovals(preapps, contracts, hot=hot)
     if len(kinds) == 1:
         return weighed.select(
             *_ROW_KEYS, *[expr.alias(name) for name, expr in fields[kinds[0]]().items()]
@@ -241,7 +275,7 @@ def funnel_cells(rows: DataFrame) -> DataFrame:
 
 
 def stack_kinds(
-    preapps: DataFrame, contracts: DataFrame, brand: str | None = None, month: str | None = None
+    preapps: DataFrame, contracts: DataFrame, brand: str | None = None, month: str | None = None, hot: Hot = ()
 ) -> DataFrame:
     """Rows of all three kinds, with the brand and month filters at the scans.
 
@@ -253,6 +287,6 @@ def stack_kinds(
         preapps = preapps.filter(F.col("brand") == brand)
         own_contracts = contracts.filter(F.col("brand") == brand)
     return _stack([
-        preapproval_rows(preapps, contracts, month=month),
+        preapproval_rows(preapps, contracts, month=month, hot=hot),
         effective_rows(own_contracts, month),
     ])
