@@ -2,7 +2,8 @@
 
 ``land`` cleans the five extracts and the store list into Parquet tables;
 ``scorecard`` and ``brand`` write the two report families from those tables;
-``refresh`` appends newly arrived files to the landed tables.
+``refresh`` appends newly arrived files to the landed tables; ``channel-months``
+stores the monthly sets of active channels.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from dealerflow.functions import vocabulary as words
 from dealerflow.operators import cleaning
 from dealerflow.params import ReportParams
 from dealerflow.plans import brand, scorecard
+from dealerflow.plans.channel_months import store_channel_months
 from dealerflow.session import build_session
 from dealerflow.sinks import reports
 from dealerflow.sources.extracts import read_extract
 from dealerflow.sources.landing import land
+from dealerflow.sources.rejects import set_aside, split_rejects
 from dealerflow.sources.schemas import EXTRACTS
 from dealerflow.streaming.refresh import refresh
 
@@ -36,17 +39,27 @@ CLEAN: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 def land_extracts(
     spark: SparkSession, inbox: str, landed: str, names: Sequence[str] = tuple(CLEAN), fmt: str = "csv",
-    multi_line: bool = False,
+    multi_line: bool = False, max_rejects: int = 0,
 ) -> list[str]:
     """Clean and land extracts found in ``inbox`` under their names.
 
     A CSV row with too few or too many cells fails the landing; ``multi_line``
-    takes line breaks inside quoted cells as part of them.
+    takes line breaks inside quoted cells as part of them. With ``max_rejects``
+    up to so many malformed rows of an extract are set aside in the table
+    ``_rejects/<name>`` (file, row text, reason) and the others land, at the price
+    of a second reading; more of them fail the landing and leave the landed table as
+    it was.
     """
-    return [
-        land(CLEAN[name](read_extract(spark, EXTRACTS[name], f"{inbox}/{name}", fmt, multi_line, strict=True)), name, landed)
-        for name in names
-    ]
+    paths = []
+    for name in names:
+        source = f"{inbox}/{name}"
+        if max_rejects and fmt == "csv":
+            rows, rejects = split_rejects(spark, EXTRACTS[name], source, multi_line)
+            set_aside(rejects, name, landed, max_rejects)
+        else:
+            rows = read_extract(spark, EXTRACTS[name], source, fmt, multi_line, strict=True)
+        paths.append(land(CLEAN[name](rows), name, landed))
+    return paths
 
 
 def _tables(spark: SparkSession, landed: str, *names: str) -> list[DataFrame]:
@@ -70,8 +83,8 @@ def run_brand(spark: SparkSession, landed: str, out: str, p: ReportParams, fmt:
     inputs = _tables(spark, landed, "preapprovals", "contracts", "brand_stores", "channels")
     return reports.export_brand(
         brand.brand_month_report(*inputs, p),
-        brand.brand_all_months(*inputs, p, months),
-        f"{out}/brand={p.brand}", p, fmt,
+        brand.brand_months(*inputs, p),
+        f"{out}/brand={p.brand}", p, fmt, months,
     )
 
 
@@ -82,9 +95,9 @@ def run_brands(spark: SparkSession, landed: str, out: str, p: ReportParams, fmt:
     return reports.write_report(
         {
             "brand_month_reports": brand.brand_month_reports(*inputs, p),
-            "brand_all_months_tables": brand.brand_all_months_tables(*inputs, months),
+            "brand_all_months_tables": lambda work: brand.widen(work["long"], months),
         },
-        out, p, fmt,
+        out, p, fmt, {"long": brand.brand_months_tables(*inputs)},
     )
 
 
@@ -95,12 +108,16 @@ def main(argv: Sequence[str] | None = None) -> None:
     landing.add_argument("inbox")
     landing.add_argument("landed")
     landing.add_argument("--format", default="csv")
+    landing.add_argument("--max-rejects", type=int, default=0, help="malformed rows an extract may have; they are set aside")
     landing.add_argument("--multi-line", action="store_true", help="quoted cells may hold line breaks")
     again = jobs.add_parser("refresh")
     again.add_argument("inbox")
     again.add_argument("landed")
     again.add_argument("--extract", action="append", choices=sorted(set(CLEAN) - {"brand_stores"}), required=True)
     again.add_argument("--multi-line", action="store_true", help="quoted cells may hold line breaks")
+    sets = jobs.add_parser("channel-months")
+    sets.add_argument("landed")
+    sets.add_argument("--month", action="append", help="months to store again; all if left out")
     for name in ("scorecard", "brand"):
         job = jobs.add_parser(name)
         job.add_argument("landed")
@@ -127,10 +144,12 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = build_session(shuffle_bytes=args.shuffle_bytes, cores=args.cores)
     if args.job == "land":
-        land_extracts(spark, args.inbox, args.landed, fmt=args.format, multi_line=args.multi_line)
+        land_extracts(spark, args.inbox, args.landed, fmt=args.format, multi_line=args.multi_line, max_rejects=args.max_rejects)
     elif args.job == "refresh":
         for name in args.extract:
             refresh(spark, EXTRACTS[name], f"{args.inbox}/{name}", args.landed, multi_line=args.multi_line)
+    elif args.job == "channel-months":
+        store_channel_months(*_tables(spark, args.landed, "contracts"), args.landed, args.month)
     elif args.job == "scorecard":
         p = ReportParams(
             as_of=args.as_of, branch=args.branch, excluded=tuple(args.exclude), rank_scope=args.rank_scope,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -154,39 +154,68 @@ def _effective_by_month(
     return present.withColumn("eff_cnt", F.lit(0).cast("bigint")).unionByName(counted)
 
 
-def report_months(
-    preapps: DataFrame, contracts: DataFrame, stores: DataFrame, channels: DataFrame, own: str | None
-) -> list[str | None]:
-    """Months in which a store of the brand ``own`` has a cell; a bounded driver read.
+def month_level(count: Column) -> Column:
+    """Level of a month's count: up to 1, up to 2, above; none without a cell."""
+    return F.when(count <= 1, 1).when(count <= 2, 2).when(count > 2, 3)
 
-    Without a brand: the months of all brands' reports.
-    """
-    rows = _effective_by_month(preapps, contracts, own)
-    if own is None:
-        listed, keys = _stores_of_all(stores, channels), [REPORT_BRAND, "channel_id"]
-        rows = _of_own_report(rows)
-    else:
-        listed, keys = _stores_of(stores, channels, own), ["channel_id"]
-    months = null_safe_join(rows, listed.select(*keys), keys, "left_semi").select("month").distinct()
-    return sorted((row.month for row in months.collect()), key=lambda m: (m is None, m))
+
+def _months_of_stores(rows: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Listed stores with a row for each month that has a cell, and one without month or count where none has."""
+    sums = rows.groupBy("brand", "channel_id", "month").agg(F.sum("eff_cnt").alias("eff_cnt"))
+    own = [key for key in keys if key != "channel_id"]
+    return null_safe_join(listed, sums.withColumns({key: F.col("brand") for key in own}), keys).select(
+        *own, "brand", *STORE_COLUMNS, "month", "eff_cnt",
+        F.when(F.col("month").isNotNull(), month_level(F.col("eff_cnt"))).alias("level"),
+    )
 
 
-def _months_by_channel(rows: DataFrame, months: Sequence[str | None]) -> DataFrame:
-    """One row per brand and channel, one column per month: null without a cell.
+def brand_months(
+    preapps: DataFrame, contracts: DataFrame, stores: DataFrame, channels: DataFrame, p: ReportParams
+) -> DataFrame:
+    """Effective contracts and level of every store of the brand, one row per month that has a cell.
 
-    Summed by month first, so that a fact row is looked at once and not once a month.
+    The long form of the all-months table: no month has to be known before, and
+    the facts are read once. ``eff_cnt`` is 0 where no contract of the cells is
+    effective and null only for a store without any cell.
     """
-    sums = rows.groupBy("brand", "channel_id", "month").agg(F.sum("eff_cnt").alias("eff_cnt"))
-    return sums.groupBy("brand", "channel_id").agg(*[
-        F.max(F.when(F.col("month").eqNullSafe(F.lit(month)), F.col("eff_cnt"))).alias(_month_name(month))
-        for month in months
-    ])
+    rows = _effective_by_month(preapps, contracts, p.need("brand"))
+    return _months_of_stores(rows, _stores_of(stores, channels, p.brand), ["channel_id"])
+
+
+def brand_months_tables(
+    preapps: DataFrame, contracts: DataFrame, stores: DataFrame, channels: DataFrame
+) -> DataFrame:
+    """``brand_months`` of every brand on the store list, under ``report_brand``, from one pass."""
+    rows = _effective_by_month(preapps, contracts).filter(F.col("brand").isNotNull())
+    return _months_of_stores(rows, _stores_of_all(stores, channels), [REPORT_BRAND, "channel_id"])
+
+
+def months_of(long: DataFrame) -> list[str | None]:
+    """Months of a long form in order, None last if some cell has no month; a bounded driver read."""
+    months = long.filter(F.col("eff_cnt").isNotNull()).select("month").distinct()
+    return sorted((row.month for row in months.collect()), key=lambda m: (m is None, m))
 
 
 def _month_name(month: str | None) -> str:
     return NO_MONTH if month is None else month
 
 
+def widen(long: DataFrame, months: Sequence[str | None] | None = None) -> DataFrame:
+    """A long form with one row per store and one column per month: null without a cell.
+
+    Without ``months`` all months of the long form are columns, ``null`` for
+    cells without a month; that reads ``long`` twice, so let it be a stored
+    table. A store that is listed twice alike is one row.
+    """
+    if months is None:
+        months = months_of(long)
+    keys = [name for name in (REPORT_BRAND, "brand", *STORE_COLUMNS) if name in long.columns]
+    return long.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("month").eqNullSafe(F.lit(month)), F.col("eff_cnt"))).alias(_month_name(month))
+        for month in months
+    ]) if months else long.select(*keys).distinct()
+
+
 def brand_all_months(
     preapps: DataFrame,
     contracts: DataFrame,
@@ -197,19 +226,12 @@ def brand_all_months(
 ) -> DataFrame:
     """Effective contracts of every store of the brand, one column per month.
 
-    With ``months`` given the columns are those months and the plan is one
-    aggregate and one join. Otherwise the months come from the data, and rows
-    without a month get a column named ``null``. A month without a cell is null,
-    one whose cells hold no effective contract is 0.
+    With ``months`` given the facts are read once. Otherwise the months come from
+    the data, and rows without a month get a column named ``null``; to read the
+    facts once then too, store ``brand_months`` and ``widen`` it. A month without
+    a cell is null, one whose cells hold no effective contract is 0.
     """
-    p.need("brand")
-    if months is None:
-        months = report_months(preapps, contracts, stores, channels, p.brand)
-    by_channel = _months_by_channel(_effective_by_month(preapps, contracts, p.need("brand")), months)
-    listed = _stores_of(stores, channels, p.need("brand"))
-    return null_safe_join(listed, by_channel, ["channel_id"]).select(
-        "brand", *STORE_COLUMNS, *[F.col(f"`{_month_name(month)}`") for month in months]
-    )
+    return widen(brand_months(preapps, contracts, stores, channels, p), months)
 
 
 def brand_all_months_tables(
@@ -219,19 +241,8 @@ def brand_all_months_tables(
     channels: DataFrame,
     months: Sequence[str | None] | None = None,
 ) -> DataFrame:
-    """The all-months table of every brand on the store list, from one pass.
-
-    Without ``months`` all months of the data are columns, ``null`` for rows without a month.
-    """
-    if months is None:
-        months = report_months(preapps, contracts, stores, channels, None)
-    by_channel = _of_own_report(
-        _months_by_channel(_effective_by_month(preapps, contracts), months)
-    )
-    listed = _stores_of_all(stores, channels)
-    return null_safe_join(listed, by_channel, [REPORT_BRAND, "channel_id"]).select(
-        REPORT_BRAND, "brand", *STORE_COLUMNS, *[F.col(f"`{_month_name(month)}`") for month in months]
-    )
+    """The all-months table of every brand on the store list; ``months`` as in ``brand_all_months``."""
+    return widen(brand_months_tables(preapps, contracts, stores, channels), months)
 
 
 def month_columns(table: DataFrame) -> list[str]:
@@ -242,8 +253,5 @@ def month_columns(table: DataFrame) -> list[str]:
 def brand_month_levels(all_months: DataFrame) -> DataFrame:
     """The pivot with each month cell replaced by its level: up to 1, up to 2, above."""
     return all_months.withColumns({
-        name: F.when(F.col(f"`{name}`") <= 1, 1)
-        .when(F.col(f"`{name}`") <= 2, 2)
-        .when(F.col(f"`{name}`") > 2, 3)
-        for name in month_columns(all_months)
+        name: month_level(F.col(f"`{name}`")) for name in month_columns(all_months)
     })

@@ -27,6 +27,8 @@ PARAMS = ReportParams(
     year=1995,
     cutoff=date(1995, 1, 1),
 )
+#: Months of the all-months tables: the test tables' years, and cells without a month.
+MONTHS = [*(f"{year}{month:02d}" for year in range(1995, 2002) for month in range(1, 13)), None]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 BRANDS = 25
 

@@ -14,6 +14,7 @@ KEYS = [
 STORE = ["channel_id", "store_name", "address", "owner", "supervisor", "channel_status"]
 COUNTS = ["preapp_cnt", "preapp_pass", "apply_cnt", "apply_pass", "eff_cnt"]
 NOW, BEFORE, LABEL = "199603", "199602", "199602"
+MONTHS = [*(f"{year}{month:02d}" for year in range(1995, 2002) for month in range(1, 13)), "null"]
 BRAND, EXCLUDED, PARTNER, BRANCH = "Brand#1", "NATION_3", "1-URGENT", "BRANCH_A"
 
 
@@ -45,6 +46,15 @@ def nearest(x, digits):
     )
 
 
+def by_month(value="eff_cnt"):
+    """A column for each month of the fixed list."""
+    return ", ".join(f"max(CASE WHEN month = '{m}' THEN {value} END) AS \"{m}\"" for m in MONTHS)
+
+
+def level(count):
+    return f"CASE WHEN {count} <= 1 THEN 1 WHEN {count} <= 2 THEN 2 WHEN {count} > 2 THEN 3 END"
+
+
 def ranked(metric, way, ties, within=""):
     part = f"PARTITION BY {within} " if within else ""
     order = ", ".join([f"{metric} {way} NULLS LAST", *[f"{t} ASC NULLS LAST" for t in ties]])
@@ -470,11 +480,22 @@ enriched AS (
         f"ORDER BY CASE WHEN preapp_cnt IS NOT NULL THEN 0 WHEN apply_cnt IS NOT NULL THEN 1 ELSE 2 END, {_KEY_ORDER} LIMIT 4",
     ),
     "brand_stores": with_(*_S, select="SELECT * FROM brand_stores"),
+    "brand_stores_stacked": with_(STORES, select="SELECT brand, store_name, address, position FROM stores"),
     "brand_choices": with_(STORES, select="SELECT brand, min(position) AS first_position FROM stores GROUP BY 1"),
     "brand_month_report": with_(
         *_F, *_S, MONTH_DETAIL, select="SELECT * FROM detail UNION ALL BY NAME SELECT * FROM total"
     ),
     "brand_month_total": with_(*_F, *_S, MONTH_DETAIL, select="SELECT * FROM total"),
+    "brand_months": with_(
+        *_F, *_S, ALL_MONTHS,
+        select=f"SELECT brand, {cols(STORE)}, nullif(month, 'null') AS month, eff_cnt, "
+        f"CASE WHEN month <> 'null' THEN {level('eff_cnt')} END AS level FROM cells",
+    ),
+    "brand_months_tables": with_(
+        *_F, *_S, EVERY_ALL_MONTHS,
+        select=f"SELECT report_brand, brand, {cols(STORE)}, nullif(month, 'null') AS month, eff_cnt, "
+        f"CASE WHEN month <> 'null' THEN {level('eff_cnt')} END AS level FROM cells",
+    ),
     "brand_all_months": with_(
         *_F, *_S, ALL_MONTHS, select=f"PIVOT cells ON month USING max(eff_cnt) GROUP BY brand, {cols(STORE)}"
     ),
@@ -496,6 +517,11 @@ enriched AS (
     ),
     "active_channels_year": with_(*_C, YEAR_ACTIVE, select="SELECT * FROM year_active"),
     "active_store_score": with_(*_C, YEAR_ACTIVE, ACTIVE, select="SELECT * FROM active"),
+    "channel_months": with_(
+        *_C, select="SELECT DISTINCT manager_id, manager, channel_id, eff_month FROM contracts WHERE eff_month IS NOT NULL"
+    ),
+    "active_channels_year_merged": with_(*_C, YEAR_ACTIVE, select="SELECT * FROM year_active"),
+    "active_store_score_merged": with_(*_C, YEAR_ACTIVE, ACTIVE, select="SELECT * FROM active"),
     "team_headcount": with_(ROSTER, HEADS, select="SELECT * FROM heads"),
     "new_store_score": with_(CHANNELS, ROSTER, HEADS, NEW_STORES, select="SELECT * FROM new_stores"),
     "fast_track_count": with_(*_C, FAST, select="SELECT * FROM fast"),
@@ -516,3 +542,20 @@ enriched AS (
         "advisor NULLS LAST, manager NULLS LAST LIMIT 10",
     ),
 }
+
+#: The all-months tables with a fixed list of months, as they are registered; above, the months come from the data.
+FIXED_MONTHS: dict[str, str] = {
+    "brand_all_months": with_(
+        *_F, *_S, ALL_MONTHS, select=f"SELECT brand, {cols(STORE)}, {by_month()} FROM cells GROUP BY brand, {cols(STORE)}"
+    ),
+    "brand_month_levels": with_(
+        *_F, *_S, ALL_MONTHS,
+        # The level of every month; the count of what has no month stays as it is.
+        select=f"""SELECT * REPLACE ({", ".join(f'{level(chr(34) + m + chr(34))} AS "{m}"' for m in MONTHS[:-1])})
+FROM (SELECT brand, {cols(STORE)}, {by_month()} FROM cells GROUP BY brand, {cols(STORE)})""",
+    ),
+    "brand_all_months_tables": with_(
+        *_F, *_S, EVERY_ALL_MONTHS,
+        select=f"SELECT report_brand, brand, {cols(STORE)}, {by_month()} FROM cells GROUP BY report_brand, brand, {cols(STORE)}",
+    ),
+}
