@@ -66,7 +66,7 @@ def saved(table: DataFrame) -> DataFrame:
     """
     spark = table.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-    with _swept(spark):
+    with swept(spark):
         table.write.parquet(path)
     _WRITTEN.append(path)
     store, at = _stored(spark, path)
@@ -75,7 +75,7 @@ def saved(table: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _swept(spark: SparkSession) -> Iterator[None]:
+def swept(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what runs inside go when it is done, and don't wait for the driver's garbage collector."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, "false")

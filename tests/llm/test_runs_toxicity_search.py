@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dealerflow.llm import max_sketch, periodic_runs, queries, toxicity
+from dealerflow.llm import max_sketch, periodic_runs, queries, toxicity, training
 from dealerflow.llm.common import saved, ship_package
 from dealerflow.llm.words import MARKS, word_hashes
 
@@ -237,6 +237,43 @@ def test_toxicity_without_labels(shipped):
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_peaks_of_long_texts_are_those_of_one_block(monkeypatch):
+    rows, at, _ = toxicity.buckets(*arrays([" ".join(prose(n, n)) for n in (0, 1, 2, 40, 0, 200, 1)]))
+    laid, begins = toxicity._padded(rows, at)
+    model = toxicity._model(toxicity._first_state())
+    whole = model.peaks(laid, begins, begins + np.diff(at) + 1)
+    for block in (7, 1):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        for one, other in zip(whole, model.peaks(laid, begins, begins + np.diff(at) + 1), strict=True):
+            assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(one, other, strict=True))
+
+
+def test_toxicity_learns_from_every_label_in_shards(shipped, monkeypatch):
+    """All labelled texts are fitted on or calibrate, long ones too, in one shard or many; one shard is the plain fit."""
+    rows, labels = labelled(shipped)
+    # A word that only long texts have, its label with it: left out, it would say nothing.
+    rows += [(k, "the of and to " * 5000 + ("zzqqx " * 3 if k % 2 else "")) for k in range(2000, 2024)]
+    labels += [(k, k % 2) for k in range(2000, 2024)]
+    docs, marks = table(shipped, rows), shipped.createDataFrame(labels, "doc_id long, toxic int")
+    texts = dict(rows)
+    known = [(k, y) for k, y in sorted(labels) if zlib.crc32(str(k).encode()) % 5]
+    fitted, own = ([(k, y) for k, y in known if toxicity._calibrates(k) == c] for c in (False, True))
+    assert len(fitted) + len(own) == len(known) > 1150
+    plain = toxicity.fit(*toxicity.buckets(*arrays([texts[k] for k, _ in fitted]))[:2], np.array([y for _, y in fitted], float))
+    model = toxicity.train(docs, marks)
+    assert np.array_equal(model.table, plain.table) and np.array_equal(model.weights, plain.weights) and model.bias == plain.bias
+    own_rows = toxicity.buckets(*arrays([texts[k] for k, _ in own]))
+    assert np.allclose(model.margins, toxicity.calibrate(plain, *own_rows, np.array([y for _, y in own])).margins, atol=1 / toxicity.GRID)
+    monkeypatch.setattr(training, "SHARD", 1 << 19)
+    split, again = toxicity.train(docs, marks), toxicity.train(docs.repartition(5), marks)
+    assert np.array_equal(split.table, again.table) and not np.array_equal(split.table, model.table)
+    for found in (model, split):
+        scores = toxicity.score_documents(docs, found).select("row.doc_id", "score").collect()
+        held = [r for r in scores if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+        assert sum((r.score >= 0.5) == dict(labels)[r.doc_id] for r in held) >= 0.97 * len(held)
+        assert all((r.score >= 0.5) == r.doc_id % 2 for r in scores if r.doc_id >= 2000)
+
+
 # --- ranked search ----------------------------------------------------------
 
 
