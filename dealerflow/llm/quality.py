@@ -5,8 +5,8 @@ The score of a document with features ``x`` is the logistic of
     w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
 The pairwise part is half of ``sum_f (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2``, so
-it costs as much as there are features, not pairs. Training sees a bounded
-sample of labelled documents; scoring is one narrow pass over all of them.
+it costs as much as there are features, not pairs. Training sees every labelled
+document, in shards on the executors; scoring is one narrow pass over all of them.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealerflow.llm.common import one_row_per_id, text_chunks
+from dealerflow.llm import training
+from dealerflow.llm.common import saved, scratch, text_chunks
+from dealerflow.llm.training import State
 from dealerflow.llm.words import word_hashes
 
-#: Labelled documents the model is fitted on, at most; chosen by a hash of their ids.
-SAMPLE = 16_000
+#: Passes over the labelled documents, documents of a step, size and penalty of the steps, seed of the start and the order.
+EPOCHS, BATCH, RATE, PENALTY, SEED = 8, 128, 0.05, 1e-5, 7
 #: Buckets of hashed words, bins of a statistic, and the rank of the interactions.
 WORDS, BINS, RANK = 1 << 14, 16, 8
 STATS = ("length", "words", "distinct", "top_word", "repeats", "upper", "digits", "marks", "bars", "lines", "word_length", "metadata")
@@ -109,49 +111,69 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margins(index, value, at), -30, 30)))
 
 
-def fit(
-    index: np.ndarray, value: np.ndarray, at: np.ndarray, labels: np.ndarray,
-    epochs: int = 8, batch: int = 128, rate: float = 0.05, penalty: float = 1e-5,
-) -> Model:
-    """Adaptive gradient steps on the logistic loss over shuffled small batches, from a fixed seed.
+def _start(rng: np.random.Generator) -> np.ndarray:
+    return rng.normal(0, 0.02, (SIZE, RANK))
 
-    Without labels of both kinds the score is the same for all: 1 for no labels
-    at all, else near the one kind there is.
-    """
-    n = len(labels)
-    rng = np.random.default_rng(7)
-    weights, factors = np.zeros(SIZE), rng.normal(0, 0.02, (SIZE, RANK))
-    positive = float(labels.sum())
+
+def _first_state(n: int, positive: float) -> State:
+    """Weights, factors and bias, then the sums of squared steps of each."""
+    bias = np.full((1, 1), np.log(positive / (n - positive)))
+    return [np.zeros((SIZE, 1)), _start(np.random.default_rng(SEED)), bias, np.full((SIZE, 1), 1e-6), np.full((SIZE, RANK), 1e-6), np.full((1, 1), 1e-6)]
+
+
+def _model(state: State) -> Model:
+    return Model(float(state[2][0, 0]), state[0][:, 0], state[1])
+
+
+def _one_kind(positive: float, n: int) -> Model:
+    """Without labels of both kinds the score is the same for all: 1 for no labels at all, else near the one kind there is."""
+    return Model(30.0 if positive == n else -30.0, np.zeros(SIZE), np.zeros((SIZE, RANK)))
+
+
+def _order(n: int, epoch: int) -> np.ndarray:
+    """In which order an epoch takes ``n`` documents."""
+    rng = np.random.default_rng(SEED)
+    _start(rng)
+    return [rng.permutation(n) for _ in range(epoch + 1)][-1]
+
+
+def fit(index: np.ndarray, value: np.ndarray, at: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """A model of documents in memory."""
+    n, positive = len(labels), float(labels.sum())
     if not n or positive in (0.0, float(n)):
-        return Model(30.0 if positive == n else -30.0, weights, np.zeros((SIZE, RANK)))
-    bias = np.log(positive / (n - positive))
-    gw, gv, gb = np.full(SIZE, 1e-6), np.full((SIZE, RANK), 1e-6), 1e-6
-    for _ in range(epochs):
-        order = rng.permutation(n)
-        for first in range(0, n, batch):
-            rows = order[first : first + batch]
-            sizes = at[rows + 1] - at[rows]
-            inner = np.concatenate([[0], np.cumsum(sizes)])
-            take = np.repeat(at[rows] - inner[:-1], sizes) + np.arange(inner[-1])
-            i, x = index[take], value[take]
-            model = Model(bias, weights, factors)
-            error = (model.scores(i, x, inner) - labels[rows]) / len(rows)
-            v = factors[i] * x[:, None]
-            sums = np.add.reduceat(v, inner[:-1], axis=0)
-            own = np.repeat(np.arange(len(rows)), sizes)
-            scaled = (error[own] * x)[:, None]
-            used, slot = np.unique(i, return_inverse=True)
-            dw = np.bincount(slot, scaled[:, 0]) + penalty * weights[used]
-            step = scaled * (sums[own] - v)
-            dv = np.stack([np.bincount(slot, step[:, f]) for f in range(RANK)], axis=1) + penalty * factors[used]
-            db = error.sum()
-            gw[used] += dw**2
-            gv[used] += dv**2
-            gb += db**2
-            weights[used] -= rate * dw / np.sqrt(gw[used])
-            factors[used] -= rate * dv / np.sqrt(gv[used])
-            bias -= rate * db / np.sqrt(gb)
-    return Model(float(bias), weights, factors)
+        return _one_kind(positive, n)
+    state = _first_state(n, positive)
+    for epoch in range(epochs):
+        steps(state, index, value, at, labels, _order(n, epoch))
+    return _model(state)
+
+
+def steps(state: State, index: np.ndarray, value: np.ndarray, at: np.ndarray, labels: np.ndarray, order: np.ndarray) -> None:
+    """Adaptive gradient steps on the logistic loss over small batches, in place."""
+    weights, factors, bias, gw, gv, gb = state
+    weights, gw = weights[:, 0], gw[:, 0]
+    for first in range(0, len(order), BATCH):
+        rows = order[first : first + BATCH]
+        sizes = at[rows + 1] - at[rows]
+        inner = np.concatenate([[0], np.cumsum(sizes)])
+        take = np.repeat(at[rows] - inner[:-1], sizes) + np.arange(inner[-1])
+        i, x = index[take].astype(np.int64), value[take].astype(float)
+        error = (_model(state).scores(i, x, inner) - labels[rows]) / len(rows)
+        v = factors[i] * x[:, None]
+        sums = np.add.reduceat(v, inner[:-1], axis=0)
+        own = np.repeat(np.arange(len(rows)), sizes)
+        scaled = (error[own] * x)[:, None]
+        used, slot = np.unique(i, return_inverse=True)
+        dw = np.bincount(slot, scaled[:, 0]) + PENALTY * weights[used]
+        step = scaled * (sums[own] - v)
+        dv = np.stack([np.bincount(slot, step[:, f]) for f in range(RANK)], axis=1) + PENALTY * factors[used]
+        db = error.sum()
+        gw[used] += dw**2
+        gv[used] += dv**2
+        gb += db**2
+        weights[used] -= RATE * dw / np.sqrt(gw[used])
+        factors[used] -= RATE * dv / np.sqrt(gv[used])
+        bias -= RATE * db / np.sqrt(gb)
 
 
 def held_out(id_col: Column) -> Column:
@@ -161,38 +183,39 @@ def held_out(id_col: Column) -> Column:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_col: str | None = "n_chars",
-    label_col: str = "quality", sample: int = SAMPLE,
+    label_col: str = "quality",
 ) -> Model:
-    """Fit on at most ``sample`` labelled documents, whole texts, without the held-out ones.
+    """Fit on all labelled documents, whole texts, without the held-out ones, in shards on the executors.
 
-    The ids of the sample (bounded by the parameter) are broadcast; its feature
-    vectors are computed by the executors and gathered, in order of id.
+    What comes to the driver is the model.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("double").alias("label"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     meta = F.col(meta_col).cast("double") if meta_col else F.lit(None).cast("double")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), meta.alias("meta"))
-    rows = one_row_per_id(rows.join(F.broadcast(known), "id"), "id", "text", "meta", "label")
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offsets in text_chunks(batches):
-            index, value, at = features(raw, offsets, _metadata(part))
-            cut = lambda a, kind: pa.array([a[at[i] : at[i + 1]].astype(kind).tobytes() for i in range(part.num_rows)])
-            arrays = [part.column(0), part.column(3), cut(index, "<i4"), cut(value, "<f4")]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "label", "index", "value"])
+    def shard(state: State, table: pa.Table, epoch: int) -> None:
+        steps(state, *_shard_features(table), table["label"].to_numpy(), _order(table.num_rows, epoch))
+
+    with scratch(docs.sparkSession):
+        rows = saved(training.labelled(rows, known, "text", "meta").select("id", "text", "meta", "label"))
+        n, positive, size = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        if positive in (0.0, float(n)):
+            return _one_kind(positive, n)
+        return _model(training.trained(rows, training.shards_of(size), _first_state(n, positive), shard, EPOCHS))
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.select("id", "text", "meta", "label").mapInArrow(vectors, f"id {kind}, label double, index binary, value binary")
-    got = sorted(got.collect(), key=lambda r: r.id)
-    index = np.frombuffer(b"".join(r["index"] for r in got), "<i4").astype(np.int64)
-    value = np.frombuffer(b"".join(r["value"] for r in got), "<f4").astype(float)
-    at = np.concatenate([[0], np.cumsum([len(r["index"]) // 4 for r in got])]).astype(np.int64)
-    return fit(index, value, at, np.array([r["label"] for r in got]))
+def _shard_features(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of all documents of a shard, values to seven digits."""
+    parts = [features(raw, offsets, _metadata(part)) for part, raw, offsets in training.chunks(table)]
+    sizes = np.concatenate([np.diff(at) for _, _, at in parts])
+    index = np.concatenate([i.astype(np.int32) for i, _, _ in parts])
+    value = np.concatenate([x.astype(np.float32) for _, x, _ in parts])
+    return index, value, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def _metadata(part: pa.RecordBatch) -> np.ndarray:
-    return np.array([np.nan if x is None else x for x in part.column(2).to_pylist()], float)
+    return np.array([np.nan if x is None else x for x in part.column("meta").to_pylist()], float)
 
 
 def score_documents(

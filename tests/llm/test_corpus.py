@@ -19,7 +19,7 @@ import corpus_pipeline
 from compare import assert_same, duck
 from dealerflow.llm import (
     chat, common, components, hilbert_ann, license_scan, mixing, ngram_join, oracle, packing, quality, queries, radix_dedup,
-    recompression, url_filter, words,
+    recompression, training, url_filter, words,
 )
 from dealerflow.llm.common import ship_package
 
@@ -732,3 +732,22 @@ def test_row_keys_are_unique_and_follow_ids(shipped):
     assert ids == sorted(ids[:-1]) + [None]
     clean = common.with_row_key(docs.where("doc_id > 1"))
     assert clean.where("row_key <> doc_id").isEmpty() and clean.count() == 16
+
+
+def test_quality_learns_from_every_label_in_shards(shipped, monkeypatch):
+    """One shard is the plain fit, many are the same in every run; the driver gets no document's features."""
+    rows = [(i, ("buy now | " * (3 + i % 5) if i % 3 else f"a quiet sentence of prose number {i} ") * (1 + i % 4), "en", "s", i) for i in range(900)]
+    docs = shipped.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = shipped.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, quality int")
+    fitted = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    raw = [r[1].encode() for r in fitted]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    index, value, at = quality.features(np.frombuffer(b"".join(raw), np.uint8), offsets, np.array([r[4] for r in fitted], float))
+    plain = quality.fit(index, value.astype(np.float32), at, np.array([float(r[0] % 3 == 0) for r in fitted]))
+    model = quality.train(docs, labels)
+    assert np.array_equal(model.weights, plain.weights) and np.array_equal(model.factors, plain.factors) and model.bias == plain.bias
+    monkeypatch.setattr(training, "SHARD", 1 << 13)
+    split, again = quality.train(docs, labels), quality.train(docs.repartition(3), labels)
+    assert np.array_equal(split.factors, again.factors) and not np.array_equal(split.factors, model.factors)
+    scores = quality.score_documents(docs, split).select("row.doc_id", "score").collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in scores) >= 0.99 * len(scores)
