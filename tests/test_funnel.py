@@ -212,3 +212,26 @@ def test_top_cells_start_with_preapprovals(spark):
 
 def test_keys_are_all_used(spark):
     assert set(KEYS) | {"month", "prod_class"} == set(cells.FUNNEL_KEYS)
+
+
+ODD = [None, "", "\x01", "\x02", "\x020", "\x021", "\x022", "\x02\x01", "a\x01b", "\x0221", "中", " "]
+
+
+def test_packed_keys_stay_what_they_are(spark):
+    """Any text, the marks of the packing too, missing and empty keys: each a cell of its own, with its keys unchanged."""
+    pairs = [(a, b) for a in ODD for b in ODD]
+    preapps = frame(spark, "preapp", *[{"store_city": a, "product": b} for a, b in pairs])
+    contracts = frame(spark, "contract", *[{"app_id": 5, "store_city": a, "product": b, "prod_class": a} for a, b in pairs])
+    found = lambda cells_, *keys: sorted([tuple(r[k] for k in keys) for r in cells_.collect()], key=str)
+    for got in (cells.preapp_cells(preapps, contracts), cells.apply_cells(preapps, contracts)):
+        assert found(got, "store_city", "product") == sorted(pairs, key=str)
+    got = funnel(preapps, contracts).filter(F.col("eff_cnt") == 1)
+    assert found(got, "prod_class", "store_city", "product") == sorted([(a, a, b) for a, b in pairs], key=str)
+    assert got.columns == [*cells.FUNNEL_KEYS, *MEASURES]
+
+
+def test_cells_are_shuffled_by_one_text_of_keys(spark):
+    """Neither the lookup join nor the grouping sends the descriptive keys as columns of their own."""
+    plan = cells.apply_cells(frame(spark, "preapp", {}), frame(spark, "contract", {}))._jdf.queryExecution().optimizedPlan()
+    joined = plan.toString().split("Join LeftOuter")
+    assert len(joined) == 2 and "Aggregate [month#" in joined[0] and "store_city#" not in joined[0].split("Aggregate [month#")[1]
