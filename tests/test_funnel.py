@@ -235,3 +235,25 @@ def test_cells_are_shuffled_by_one_text_of_keys(spark):
     plan = cells.apply_cells(frame(spark, "preapp", {}), frame(spark, "contract", {}))._jdf.queryExecution().optimizedPlan()
     joined = plan.toString().split("Join LeftOuter")
     assert len(joined) == 2 and "Aggregate [month#" in joined[0] and "store_city#" not in joined[0].split("Aggregate [month#")[1]
+
+
+def test_a_preapproval_is_sent_once_for_both_months(spark):
+    """Rows are stacked once per pre-approval and contract; they get their months after the shuffle by keys."""
+    preapps = frame(spark, "preapp", {"app_id": 1}, {"app_id": 2}, {"app_id": None, "apply_date": None})
+    contracts = frame(spark, "contract", {"app_id": 1}, {"app_id": 1})
+    assert cells.stack_kinds(preapps, contracts).count() == 5
+    plan = funnel(preapps, contracts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("RepartitionByExpression [row_keys#") < plan.index("Join LeftOuter")
+
+
+@pytest.mark.parametrize("first", [date(1, 1, 1), date(2025, 3, 1), date(9999, 12, 31), None])
+@pytest.mark.parametrize("second", [date(1, 1, 1), date(2025, 3, 1), date(9999, 12, 31), None])
+def test_both_months_come_out_as_they_were(spark, first, second):
+    label = lambda day: None if day is None else str(day.year * 100 + day.month)
+    preapps = frame(spark, "preapp", {"app_id": 1, "preapp_date": first, "apply_date": second, "manual_ts": None})
+    contracts = frame(spark, "contract", *[{"app_id": 1, "eff_date": second, "product": "other"}] * 3)
+    expected = {(label(first), "product"): [3, 0, None, None, None, None]}
+    expected.setdefault((label(second), "product"), [None] * 6)[2] = 3
+    expected[(label(second), "other")] = [None] * 4 + ([0, 0.0] if second is None else [3, 3.0])
+    got = {(r["month"], r["product"]): [r[m] for m in MEASURES] for r in funnel(preapps, contracts).collect()}
+    assert got == expected
