@@ -1,5 +1,6 @@
 """Extract files, landed tables, refresh and report sinks."""
 
+import re
 from dataclasses import replace
 from datetime import date, datetime
 from pathlib import Path
@@ -13,7 +14,7 @@ from compare import assert_same, duck
 from dealerflow.functions import vocabulary as words
 from dealerflow.operators import cleaning
 from dealerflow.operators.cells import final_approval
-from dealerflow.plans import brand, scorecard
+from dealerflow.plans import brand, funnel, scorecard
 from dealerflow.sinks import reports
 from dealerflow.sources import landing, schemas
 from dealerflow.sources import tpch_extracts as src
@@ -285,3 +286,54 @@ def test_brand_export_holds_the_all_months_table(spark, landed, sf_dir, tmp_path
     assert spark.read.parquet(paths["brand_month_report"]).count() > 0
     with pytest.raises(ValueError):
         reports.write_report({}, str(tmp_path), p, "xlsx")
+
+
+def small_tables(spark, folder):
+    """Lines with odd facts: missing numbers and flags, a time of day, an unshipped line."""
+    lines = [
+        (1, 1, 1, 1, 50.0, 10.0, 0.05, 0.0, "N", "O", datetime(1995, 1, 2, 13, 45, 6, 7)),
+        (1, 1, 1, 2, 49.0, 10.0, 0.05, 0.05, "R", "F", datetime(1995, 1, 2, 13, 45, 6, 7)),
+        (1, 1, 1, None, None, None, None, None, None, None, datetime(1960, 2, 29, 23, 59, 59)),
+        (1, 1, 1, 4, 1.0, None, 0.1, float("nan"), "A", "", None),
+    ]
+    rows = {
+        "lineitem": lines, "part": [(1, "n", "b", "t", 1, 1.0)], "nation": [(1, "N", 1)],
+        "orders": [(1, 1, None, 1.0, datetime(1995, 1, 1, 1, 1, 1), None)], "customer": [(1, "c", 1, 1.0, "BUILDING")],
+    }
+    for name, values in rows.items():
+        spark.createDataFrame(values, src.SCHEMAS[name]).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("with_part", [True, False])
+def test_facts_of_a_line_are_read_as_they_stand(spark, tmp_path, with_part):
+    got = src.raw_preapprovals(spark, small_tables(spark, tmp_path), with_part).orderBy(F.col("auto_result"), "manual_ts").collect()
+    facts = ["app_id", "apply_ts", "preapp_result", "preapp_reconsidered", "manual_ts", "auto_ts", "manual_result", "auto_result"]
+    auto, manual, no, refused = words.AUTO_PASS, "人工", "否", "拒绝"
+    assert sorted([tuple(r[f] for f in facts) for r in got], key=str) == sorted([
+        (9, None, auto, no, "", None, refused, refused),
+        (None, datetime(1995, 1, 2, 13, 45, 6, 7), manual, words.YES, "1995-01-04 00:00:00", "1995-01-03 00:00:00", words.PASS, words.PASS),
+        (None, None, manual, no, "", None, refused, refused),
+        (12, None, manual, no, None, None, words.PASS, refused),
+    ], key=str)
+    assert {r["preapp_date"] for r in got} == {date(1995, 1, 1)}
+    kept = src.raw_contracts(spark, str(tmp_path), with_part).collect()
+    assert sorted([(r["app_id"], r["apply_date"], r["eff_date"], r["app_status"]) for r in kept], key=str) == [
+        (10, date(1995, 1, 2), date(1995, 1, 17), "ACTIVE"), (12, None, None, "ACTIVE"), (9, date(1995, 1, 2), None, "ACTIVE"),
+    ]
+
+
+def test_both_extracts_read_the_same_orders(spark, tmp_path):
+    """The orders are shuffled once for the pre-approvals and the contracts, and narrowly for the contract lookup."""
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in keys}
+    for key, value in keys.items():
+        spark.conf.set(key, value)
+    try:
+        folder = small_tables(spark, tmp_path)
+        cells_ = funnel.funnel(src.preapprovals(spark, folder), src.contracts(spark, folder))
+        plan = cells_._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(re.findall(r"(?<!, )Exchange hashpartitioning\(o_orderkey", plan)) == 2
